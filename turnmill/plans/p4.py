@@ -1,2 +1,16 @@
-QUERIES = {}
-SQL = {}
+"""Queries on the commit graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from turnmill.operators import gitgraph
+from turnmill.sources.tables import table
+
+
+def found(spark: SparkSession, folder: str) -> DataFrame:
+    return gitgraph.commit_forest(table(spark, folder, "git_commits"), table(spark, folder, "repository_refs"))
+
+
+QUERIES = {"p4_found": found}
+SQL: dict[str, str] = {}
