@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnmill.llm import runs
+from turnmill.llm import leaks, runs
 from turnmill.sources.tables import table
 
 
@@ -12,5 +13,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return runs.runs(table(spark, folder, "history_events")).select("session_key", "first_event_key", "last_event_key", "run_length")
 
 
-QUERIES = {"p3_found": p3_found}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.where(F.col("exact_words") >= leaks.SPAN).select("doc_id", "item_id")
+
+
+def p6_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_overlaps": p6_overlaps}
 SQL: dict[str, str] = {}
