@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import leaks, runs
+from turnmill.llm import leaks, mixing, runs, truncation
 from turnmill.sources.tables import table
 
 
@@ -22,5 +22,23 @@ def p6_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_overlaps": p6_overlaps}
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(mixing.counted(table(spark, folder, "documents")), table(spark, folder, "mixture_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(mixing.counted(table(spark, folder, "documents")), table(spark, folder, "mixture_targets"))[1]
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.scored(table(spark, folder, "documents")).where("is_cut and doc_id is not null").select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.rates(truncation.scored(table(spark, folder, "documents")))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates,
+}
 SQL: dict[str, str] = {}
