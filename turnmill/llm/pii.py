@@ -29,7 +29,7 @@ K = len(LABELS)
 WINDOW, MARGIN = 384, 32
 FIELDS = ("input_text", "output_text", "error_text")
 #: Rows of the labelled table, passes over it, and name parts that may be held in memory.
-TRAIN_ROWS, EPOCHS, LEXICON_LIMIT = 2400, 6, 1_000_000
+TRAIN_ROWS, EPOCHS, LEXICON_LIMIT = 3000, 4, 1_000_000
 
 _TOKEN = re.compile(r"\s*(?:[぀-ヿ一-鿿]|[^\W\d_぀-ヿ一-鿿]+|\d+|\S)")
 _NUMBER = re.compile(r"[+(]?\d[\d ()./-]{4,}\d(?:[ ]?[A-Za-z]\b)?|\b[A-Z]{1,2} ?\d[\d ]{4,}\d ?[A-Z]\b")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+import uuid
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -44,6 +45,8 @@ _DECOYS = [
     "sha {dddd}-{dd}-{dd}f", "sha 9{d}a{dddd}b{dddd}c{dd}", "trace 3f2a{dddd}-{dd}aa-4b{dd}-9c{dd}-00{dddd}{dddd}ab", "{Title} {Title} restarted", "{Town} {Title} {Title} restarted", "{Word} {Title} build {dd} is green", "{Word} {Title} to the {noun} first", "{Word} {Title} was pressed twice", "{Word} {Title} after {dd} s",
     "{dd} {Title} loop ticks, line {ddd} {Title}", "see {Street} release notes", "see {Street} for the old rules", "order {dddd}-{ddd} of {ddd}", "port {dddd}, line {ddd}-{ddd}", "version {d}.{dd}.{ddd} of {Title}", "{ddd} {Title} {noun}s in lane {d}", "window {ddd}.{ddd} to {ddd}.{ddd}", "job {ddd}-{dd}-{ddd} was {adj}",
     "seq {dddd} {dd} {dddd} done", "range {ddd}/{dddd}-{ddd}", "id {ddd} of {noun}", "{Word} and {Word} are flags", "key {dddd}{dddd}{dddd}{dddd}", "{Title} {Title}: {noun} kept", "Step {dd}, {Title} {Title}, Unit {d}", "on {Title} {dd} the {noun} ran", "{noun}@{d}.{dd}.{d} pinned", "lane {dd} Road closed", "see chapter {dd} Court",
+    '{{"path":"{file}","lines":"{ddd}-{ddd}"}}', '{{"path":"{file}","lines":"{dddd}-{dddd}"}}', '{{"path":"{file}","lines":"{d}-{ddd}"}} --trace {uuid}', '{{"lines":"{dd}-{ddd}"}} {{"requestId":"req-{hex}"}}', '{{"path":"{file}","lines":"{ddd}-{dddd}"}} # attempt {d}', '{{"requestId":"req-{hex}"}}', "--trace {uuid}", "{uuid}", "span {uuid} closed",
+    "blob {hex}{hex} of {file}", "open {file} > /tmp/{noun}-{hex}.log", "--stamp=1{dddd}{dddd}{dddd} --parent-pid {dddd}", "lines {dddd}-{dddd} of {file}", "range {dddd}-{dddd}, {ddd}-{ddd}", "commit {hex} by bot", "{hex} {noun} {verb}", "since 20{dd}-0{d}-1{d}T0{d}:{dd}:{dd}Z in {file}",
     "retry in {ddd} {dddd} ms", "code {ddd}-{ddd}", "span {dddd} {dddd}", "pid {ddd}{dd}", "{Word} the {noun} first", "{Word} it {verb} late",
 ]
 _ITEMS = [
@@ -53,6 +56,8 @@ _ITEMS = [
     '{{"person":{{"full":"{name}","tel":"{phone}","nid":"{id}"}}}}', '{{"assignee":"{name}","mail":"{email}"}}', "GET /v1/people?mail={email}&state=open 200", "auth refused for {email}", "mailbox {email} bounced, fallback {phone}", "ValidationError: phone '{phone}' does not match", "address line rejected: {addr} (user {email})", "cannot geocode '{addr}'",
     "The ticket says {name} lives at {addr} and can be reached under {phone}.", "Moved to {addr} last week, says {name}.", "shipping label: {addr}", "Rückfragen an {name}, {addr}, Tel. {phone}", "caller={name}; phone={phone}; note=wants the export", "Call back {phone} before the rerun.", "Thanks, {name}", "{name}", "{email};{phone};{addr};open", "row {dd} | {name} | {email} | {phone} | open",
     "Escribe a {name} o llama al {phone}.", "Vive en {addr}.", "Herr {name} wohnt {addr}.", "tel {phone} / {email}", "mail {email}, tel {phone}", "{name} ({email})", "Signed-off-by: {name} <{email}>", "visit {addr} or call {phone}", "id number {id}; name {name}", "DNI {id}", "{phone} was dialled twice", "{addr} is the old address", "From: {name}", "{name}, {phone}, {addr}",
+    "Según {name}, el envío va a {addr}.", "Laut {name} ging alles an {addr}.", "Selon {name}, tout va bien.", "Dice {name} que no.", "deliver to: {name}, {addr}", "{name} asked us to resend the archive to {addr}.", "Frau {name} schrieb an {email}.", "Señora {name} llamó.", "{name}。", "收件人{name}，地址{addr}", "({name})", "({id})", "rejected ({id}) for {name}", "(tel {phone})", "[{id}]", "({phone})", "nid={id};", "Hi {name},", "- {name}\n- {name}", "{name}; {email}", "| {name} | {id} |", "said {name}.", "by {name}", "\"{name}\" wrote",
+    "{name} <{email}>", "owner: {name}", "holder {id}", "Ausweisnummer {id}", "Personal-ID {id} ({name})", "{addr}; {phone}", "send it to {addr}, attention {name}", "for {name} only", "Cheers, {name}", "Regards\n{name}", "Gruß, {name}", "Un saludo, {name}",
     "the note by {name} mentions {addr}", "Best, {name}", "Dr. {name} called", "ask {name} or {name} about the {noun}", "身份证{id}已登记。", "地址是{addr}。", "fax: {phone}", "customer {name} paid, {id} checked", "user {email} from {addr}", "assigned to {name}.", "{name}: {phone}", "{name} and {name} disagree.", "lives at {addr}", "deliver to {name}, {addr}",
 ]
 
@@ -81,11 +86,11 @@ class Table:
     def name(self) -> str:
         r, (g, f) = self.rng, self.parts()
         k = r.random()
-        if k < 0.60:
+        if k < 0.56:
             out = f"{g} {f}"
-        elif k < 0.75:
+        elif k < 0.71:
             out = f"{f}, {g}"
-        elif k < 0.83:
+        elif k < 0.80:
             out = f"{g} {r.choice('ABCDEFGHJKLMNPRSTW')}. {f}"
         elif k < 0.90:
             out = f"{g} {f[0].upper()}."
@@ -157,6 +162,7 @@ class Table:
                 out += {
                     "n": lambda: str(r.choice([2, 7, 12, 40, 96, 250, 512, 1800])), "noun": lambda: r.choice(_NOUNS), "adj": lambda: r.choice(_ADJ), "verb": lambda: r.choice(_VERBS), "file": lambda: r.choice(_FILES),
                     "Title": lambda: r.choice(_TITLE), "Town": lambda: r.choice(_TOWNS).split()[0], "Word": word, "Street": lambda: r.choice(_STREETS),
+                    "hex": lambda: f"{r.getrandbits(40):010x}", "uuid": lambda: str(uuid.UUID(int=r.getrandbits(128))),
                 }[slot]()
         return out, spans
 
@@ -175,7 +181,7 @@ class Table:
         return text, spans
 
 
-def rows(lexicon: list[tuple[str, str]], n: int = 2400, seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def rows(lexicon: list[tuple[str, str]], n: int = 3000, seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """n labelled rows; lexicon: (name part, given or family), known parts that half of the names use."""
     table = Table(lexicon, seed)
     return [table.row() for _ in range(n)]

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import leaks, mixing, runs, truncation
+from turnmill.llm import leaks, mixing, pii, runs, truncation
 from turnmill.sources.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.found(table(spark, folder, "history_events"), table(spark, folder, "name_lexicon"))
+    return found.select("event_key", "field_name", "pii_kind", "start_at").distinct()
+
+
+def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "history_events").select("event_key", "ingested_at", *pii.FIELDS)
+    return pii.masked(rows, table(spark, folder, "name_lexicon"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return runs.runs(table(spark, folder, "history_events")).select("session_key", "first_event_key", "last_event_key", "run_length")
 
@@ -39,6 +49,6 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates,
+    "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates,
 }
 SQL: dict[str, str] = {}
