@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import leaks, mixing, pii, runs, truncation
+from turnmill.llm import conversations, leaks, mixing, pii, runs, truncation
 from turnmill.sources.tables import table
 
 
@@ -23,6 +23,20 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return runs.runs(table(spark, folder, "history_events")).select("session_key", "first_event_key", "last_event_key", "run_length")
 
 
+def _whole(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.conversations(conversations.blocks(spark, f"{folder}/session_messages.parquet"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _whole(spark, folder).select("session_key", "msg_index", "entry_id")
+
+
+def p5_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    texts = table(spark, folder, "session_messages").where("lower(trim(entry_kind)) = 'message'").select("session_key", "entry_id", "seq_no", "markdown", "created_at")
+    texts = texts.groupBy("session_key", "entry_id", "seq_no").agg(F.min(F.struct("created_at", "markdown")).alias("m"))
+    return _whole(spark, folder).join(texts, ["session_key", "entry_id", "seq_no"]).select("session_key", "msg_index", "role", "entry_id", "m.markdown", "m.created_at")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     found = leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
     return found.where(F.col("exact_words") >= leaks.SPAN).select("doc_id", "item_id")
@@ -49,6 +63,6 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates,
+    "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates,
 }
 SQL: dict[str, str] = {}
