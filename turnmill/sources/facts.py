@@ -72,14 +72,17 @@ def outcome() -> Column:
 def capability_uses(spark: SparkSession, folder: str) -> DataFrame:
     """One row per invocation with the state of its result: the first result of the same correlation behind it, else pending.
 
-    An ignore-nulls window instead of a self-join: one shuffle by (session, correlation)."""
+    An ignore-nulls window instead of a self-join: one shuffle by (session, correlation). Invocations without a correlation can have no
+    result and don't enter it."""
     from pyspark.sql import Window
 
     e = events(spark, folder).where("kind in ('capability-invocation', 'capability-result')")
-    line = Window.partitionBy("sessionKey", "correlation").orderBy("recordStart", "contentIndex", "ordinal", "eventKey").rowsBetween(1, Window.unboundedFollowing)
-    result = F.when((F.col("kind") == "capability-result") & F.col("correlation").isNotNull(), F.struct(outcome().alias("state"), F.col("observedAt").alias("at")))
-    after = F.when(F.col("correlation").isNotNull(), F.first(result, ignorenulls=True).over(line))
-    return e.withColumn("result", after).where("kind = 'capability-invocation'").select(
+    lone = e.where("correlation is null and kind = 'capability-invocation'").withColumn("result", F.lit(None).cast("struct<state: string, at: bigint>"))
+    e = e.where("correlation is not null")
+    back = [F.col(c).desc() for c in ("recordStart", "contentIndex", "ordinal", "eventKey")]
+    line = Window.partitionBy("sessionKey", "correlation").orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)  # backwards, so that the frame only grows
+    result = F.when(F.col("kind") == "capability-result", F.struct(outcome().alias("state"), F.col("observedAt").alias("at")))
+    return e.withColumn("result", F.last(result, ignorenulls=True).over(line)).where("kind = 'capability-invocation'").unionByName(lone).select(
         F.col("eventKey").alias("useKey"), "sessionKey", "turnKey", "projectKey", "provider", "originScope", "observedAt", "recordStart", "contentIndex", "ordinal", "capabilityKey", "capabilityName",
         "inputFingerprint", F.col("correlation").alias("correlationDigest"), F.coalesce("result.state", F.lit("pending")).alias("terminalState"), F.col("result.at").alias("resultAt"),
     )
