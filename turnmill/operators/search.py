@@ -126,12 +126,12 @@ def selected_terms(frequencies: list[tuple[str, str, int]], n: int, most: int =
 def bm25(post: DataFrame, terms: list[str], doc: str, top: int = 300) -> DataFrame:
     """(doc, score_ppm, rank) of the best documents for OR-ed terms; ties by document. Only postings of the terms and one length a document are read."""
     lengths = post.groupBy(doc).agg(F.sum("tf").alias("_len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
+    n, mean = lengths.agg(F.count(F.lit(1)), F.avg("_len")).first()
     hits = post.where(F.col("term").isin(terms))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))  # at most one row a query term
-    scored = hits.join(F.broadcast(df), "term").join(lengths, doc).join(F.broadcast(stats))  # one row
-    weight = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
+    scored = hits.join(F.broadcast(df), "term").join(lengths, doc)
+    weight = F.log(1 + (F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.lit(mean or 1.0)))
     ppm = F.round(F.sum(part) * 1_000_000).cast("bigint")
     best = scored.groupBy(doc).agg(ppm.alias("score_ppm")).orderBy(F.desc("score_ppm"), doc).limit(top)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score_ppm"), doc)))  # over at most `top` rows
@@ -139,15 +139,14 @@ def bm25(post: DataFrame, terms: list[str], doc: str, top: int = 300) -> DataFra
 
 def rerank(ranked: DataFrame, post: DataFrame, documents: DataFrame, doc: str, text: str, terms: list[str], phrase: str, top: int = 200) -> DataFrame:
     """(doc, relevance_ppm): rank, share of idf matched and whether the phrase occurs, for the first `top` of a ranking."""
-    n = documents.where(F.col(doc).isNotNull()).agg(F.count(F.lit(1)).alias("_n"))
-    df = post.where(F.col("term").isin(terms)).groupBy("term").agg(F.count(F.lit(1)).alias("_df")).join(F.broadcast(n))
-    df = df.select("term", idf(F.col("_n"), F.col("_df")).alias("_idf"))
-    total = df.agg(F.sum("_idf").alias("_total"))
+    n = documents.where(F.col(doc).isNotNull()).count()
+    df = post.where(F.col("term").isin(terms)).groupBy("term").agg(idf(F.lit(n), F.count(F.lit(1))).alias("_idf"))
+    total = df.agg(F.sum("_idf")).first()[0] or 1.0
     first = F.broadcast(ranked.where(F.col("rank") <= top))  # at most `top` rows
     matched = post.where(F.col("term").isin(terms)).join(first, doc).join(F.broadcast(df), "term").groupBy(doc).agg(F.sum("_idf").alias("_matched"))
     exact = documents.select(doc, F.contains(F.lower(text), F.lit(phrase.lower())).cast("int").alias("_exact")).join(first, doc)
-    score = RANK_WEIGHT * (RANK_SHIFT + 1) / (RANK_SHIFT + F.col("rank")) + IDF_WEIGHT * F.col("_matched") / F.col("_total") + EXACT_WEIGHT * F.col("_exact")
-    return exact.join(matched, doc).join(F.broadcast(total)).select(doc, F.round(score * 1_000_000).cast("bigint").alias("relevance_ppm")).orderBy(F.desc("relevance_ppm"), doc)
+    score = RANK_WEIGHT * (RANK_SHIFT + 1) / (RANK_SHIFT + F.col("rank")) + IDF_WEIGHT * F.col("_matched") / F.lit(total) + EXACT_WEIGHT * F.col("_exact")
+    return exact.join(matched, doc).select(doc, F.round(score * 1_000_000).cast("bigint").alias("relevance_ppm")).orderBy(F.desc("relevance_ppm"), doc)
 
 
 def fuse(lists: list[DataFrame], doc: str, k: int = RANK_SHIFT) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top_k(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -72,7 +73,7 @@ def packed(rows: DataFrame, entity: str, order: list[str], size: str, limit: int
     """rows with `chunk_no`: whole rows packed greedily, in order, into chunks of at most `limit`; a larger row is a chunk of its own.
 
     Greedy packing depends on all rows before, so each entity is read in order, but as a stream: only the fill of the open chunk is held."""
-    schema = rows.schema.add("chunk_no", "bigint")
+    schema = T.StructType([*rows.schema.fields, T.StructField("chunk_no", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, chunk, fill, any_yet = None, 0, 0, False

@@ -13,4 +13,39 @@ def found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": found}
-SQL: dict[str, str] = {}
+_FOUND = """
+WITH RECURSIVE n AS (
+  SELECT repository_id AS r, lower(object_id) AS o,
+    list_filter(coalesce(TRY_CAST(from_json(CASE WHEN trim(parent_object_ids_json) = '' THEN '[]' ELSE lower(parent_object_ids_json) END, '["VARCHAR"]') AS VARCHAR[]), []), x -> x IS NOT NULL AND trim(x) <> '') AS ps
+  FROM git_commits WHERE repository_id IS NOT NULL AND object_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY repository_id, lower(object_id) ORDER BY committer_timestamp DESC NULLS LAST) = 1
+), up AS (
+  SELECT n.r, n.o, p.o AS p FROM n LEFT JOIN n p ON p.r = n.r AND p.o = n.ps[1]
+), tree AS (
+  SELECT r, o, o AS root, 0 AS depth FROM up WHERE p IS NULL
+  UNION ALL
+  SELECT up.r, up.o, tree.root, tree.depth + 1 FROM tree JOIN up ON up.r = tree.r AND up.p = tree.o
+), lost AS (
+  SELECT up.* FROM up ANTI JOIN tree ON tree.r = up.r AND tree.o = up.o
+), walk AS (
+  SELECT r, o, p AS a FROM lost
+  UNION
+  SELECT walk.r, walk.o, lost.p FROM walk JOIN lost ON lost.r = walk.r AND lost.o = walk.a
+), ring AS (
+  SELECT r, o FROM walk WHERE o = a
+), roots AS (
+  SELECT walk.r, walk.o, min(walk.a) AS root FROM walk JOIN ring ON ring.r = walk.r AND ring.o = walk.a GROUP BY 1, 2
+), links AS (
+  SELECT DISTINCT r, o, unnest(ps) AS p FROM n
+), hit AS (
+  SELECT DISTINCT n.r, n.o FROM repository_refs f JOIN n ON n.r = f.repository_id AND n.o = lower(f.object_id)
+  UNION
+  SELECT n.r, n.o FROM hit JOIN links ON links.r = hit.r AND links.o = hit.o JOIN n ON n.r = links.r AND n.o = links.p
+), placed AS (
+  SELECT r, o, root, depth FROM tree UNION ALL SELECT r, o, root, -1 FROM roots
+)
+SELECT placed.r AS repository_id, placed.o AS object_id, root AS root_object_id, depth::BIGINT AS tree_depth, CASE WHEN hit.o IS NULL THEN 0 ELSE 1 END::BIGINT AS is_reachable
+FROM placed LEFT JOIN hit ON hit.r = placed.r AND hit.o = placed.o
+"""
+
+SQL = {"p4_found": _FOUND}
