@@ -32,7 +32,7 @@ WITH RECURSIVE d AS (
 ), live AS (
   SELECT walk.* FROM walk JOIN lowest USING (session_key) WHERE rank >= floor
 ), changes AS (
-  SELECT session_key, unnest(turn_keys) AS turn_key, rank, 0 AS phase, 0 AS upsert_no, delta_id, NULL AS revision FROM live
+  SELECT session_key, unnest(turn_keys) AS turn_key, rank, 0 AS phase, 0 AS upsert_no, delta_id, NULL::VARCHAR AS revision FROM live
   UNION ALL
   SELECT u.session_key, u.turn_key, rank, 1, u.upsert_no, u.delta_id, u.revision
   FROM turn_upserts u JOIN live ON live.session_key = u.session_key AND live.delta_id = u.delta_id

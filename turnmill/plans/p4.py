@@ -16,7 +16,7 @@ QUERIES = {"p4_found": found}
 _FOUND = """
 WITH RECURSIVE n AS (
   SELECT repository_id AS r, lower(object_id) AS o,
-    list_filter(coalesce(TRY_CAST(from_json(CASE WHEN trim(parent_object_ids_json) = '' THEN '[]' ELSE lower(parent_object_ids_json) END, '["VARCHAR"]') AS VARCHAR[]), []), x -> x IS NOT NULL AND trim(x) <> '') AS ps
+    list_filter(coalesce(TRY_CAST(from_json(CASE WHEN trim(parent_object_ids_json) = '' THEN '[]' ELSE lower(parent_object_ids_json) END, '["VARCHAR"]') AS VARCHAR[]), []), lambda x: x IS NOT NULL AND trim(x) <> '') AS ps
   FROM git_commits WHERE repository_id IS NOT NULL AND object_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY repository_id, lower(object_id) ORDER BY committer_timestamp DESC NULLS LAST) = 1
 ), up AS (
