@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.llm import conversations, leaks, mixing, pii, runs, truncation
+from turnmill.llm.sql import SQL  # noqa: F401
 from turnmill.sources.tables import table
 
 
@@ -65,4 +66,4 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates,
 }
-SQL: dict[str, str] = {}
+
