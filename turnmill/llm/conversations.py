@@ -28,8 +28,9 @@ LATENESS, IDLE_MS = "30 days", 60 * 60 * 1000
 # What roles plainly mean.
 ROLES = {"user": "u", "human": "u", "assistant": "a", "agent": "a", "ai": "a", "model": "a", "bot": "a", "system": "s"}
 
-_OUT = "session_key string, block bigint, row_kind string, seq_no bigint, entry_id string, code string, place bigint, entries bigint, low bigint, high bigint, broken boolean, first_role string, last_role string, unanswered boolean"
-_NAMES = [c.split()[0] for c in _OUT.split(", ")]
+_OUT = "session_key string, block bigint, released string"
+#: A released block: its messages in order as [seq_no, entry_id, role], and its summary.
+_RELEASED = "messages array<struct<seq_no: bigint, entry_id: string, code: string>>, entries bigint, low bigint, high bigint, broken boolean, first_role string, last_role string, unanswered boolean"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.minBatchesToRetain": "2",
@@ -55,9 +56,9 @@ def entries(rows: DataFrame) -> DataFrame:
     )
 
 
-def _released(session: str, block: int, held: dict[str, list]) -> pd.DataFrame:
-    """The rows of a block: its messages in order, then its summary. held: seq_no -> [[entry_id, code], ...]"""
-    rows, roles, broken = [], [], block < 0
+def released(block: int, held: dict[str, list]) -> dict:
+    """What is released of a block. held: seq_no -> [[entry_id, code], ...]"""
+    messages, broken = [], block < 0
     numbers = sorted(map(int, held))
     for number in numbers:
         own = held[str(number)]
@@ -65,14 +66,12 @@ def _released(session: str, block: int, held: dict[str, list]) -> pd.DataFrame:
         entry, code = min(own)
         broken |= code[0] == "?"
         if code in ("u", "a", "s"):
-            rows.append([session, block, "m", number, entry, code, len(rows) + 1] + [None] * 7)
-            roles.append(code)
-    spoken = [r for r in roles if r != "s"]
-    unanswered = any(a == b == "u" for a, b in zip(spoken, spoken[1:], strict=False))
-    rows.append([session, block, "s", None, None, None, len(roles), len(numbers), numbers[0], numbers[-1], broken, spoken[0] if spoken else None, spoken[-1] if spoken else None, unanswered])
-    columns = list(zip(*rows, strict=True))
-    kinds = {"block": "int64", "place": "int64", "seq_no": "Int64", "entries": "Int64", "low": "Int64", "high": "Int64", "broken": "boolean", "unanswered": "boolean"}
-    return pd.DataFrame({n: pd.Series(list(c), dtype=kinds.get(n, "object")) for n, c in zip(_NAMES, columns, strict=True)})
+            messages.append({"seq_no": number, "entry_id": entry, "code": code})
+    spoken = [m["code"] for m in messages if m["code"] != "s"]
+    return {
+        "messages": messages, "entries": len(numbers), "low": numbers[0], "high": numbers[-1], "broken": broken, "first_role": spoken[0] if spoken else None, "last_role": spoken[-1] if spoken else None,
+        "unanswered": any(a == b == "u" for a, b in zip(spoken, spoken[1:], strict=False)),
+    }
 
 
 def _buffer(idle_ms: int):
@@ -82,7 +81,7 @@ def _buffer(idle_ms: int):
         if state.hasTimedOut:
             state.remove()
             if session != "":
-                yield _released(session, block, held)
+                yield pd.DataFrame({"session_key": [session], "block": [block], "released": [json.dumps(released(block, held))]})
             return
         last = state.getCurrentWatermarkMs()
         for df in frames:
@@ -157,10 +156,11 @@ def blocks(spark: SparkSession, path: str, files_per_batch: int | None = None, l
             run()
         _closing(spark, close)
         run()
-    return spark.read.schema(_OUT).parquet(sink)
+    rows = spark.read.schema(_OUT).parquet(sink)
+    return rows.select("session_key", "block", F.from_json("released", _RELEASED).alias("r")).select("session_key", "block", "r.*")
 
 
-def conversations(released: DataFrame) -> DataFrame:
+def conversations(blocks_released: DataFrame) -> DataFrame:
     """(session_key, msg_index, entry_id, role, seq_no) of the conversations that are whole.
 
     Messages are entries of kind message with visible text, numbered from 1 in order of seq_no. A conversation is
@@ -169,12 +169,11 @@ def conversations(released: DataFrame) -> DataFrame:
     user message, or a user message isn't followed by an assistant message before the next one or the end.
     Repeated rows count once; null sequence numbers break a conversation; rows without session_key are dropped.
     """
-    s = released.where("row_kind = 's'")
     line = Window.partitionBy("session_key").orderBy("block")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.select(
-        "session_key", "block", "entries", "low", "high", "broken", "unanswered", "first_role", "place", F.row_number().over(line).alias("n"), F.lead("block").over(line).alias("next"),
-        F.last("last_role", ignorenulls=True).over(before).alias("role_before"), F.last("last_role", ignorenulls=True).over(line).alias("role_now"), F.coalesce(F.sum("place").over(before), F.lit(0)).alias("offset"),
+    s = blocks_released.select(
+        "session_key", "block", "entries", "low", "high", "broken", "unanswered", "first_role", F.row_number().over(line).alias("n"), F.lead("block").over(line).alias("next"),
+        F.last("last_role", ignorenulls=True).over(before).alias("role_before"), F.last("last_role", ignorenulls=True).over(line).alias("role_now"), F.coalesce(F.sum(F.size("messages")).over(before), F.lit(0)).alias("offset"),
     )
     full = (F.col("block") == F.col("n") - 1) & (F.col("low") == F.col("block") * BLOCK) & (F.col("high") == F.col("low") + F.col("entries") - 1) & (F.col("next").isNull() | (F.col("entries") == BLOCK))
     starts = F.when(F.col("role_before").isNull(), F.coalesce(F.col("first_role") != "a", F.lit(True))).otherwise(~((F.col("role_before") == "u") & F.coalesce(F.col("first_role") == "u", F.lit(False))))
@@ -182,8 +181,8 @@ def conversations(released: DataFrame) -> DataFrame:
     s = s.withColumn("good", full & ~F.col("broken") & ~F.col("unanswered") & starts & ends)
     kept = s.groupBy("session_key").agg(F.bool_and("good").alias("whole")).where("whole").select("session_key")
     offsets = s.select("session_key", "block", "offset")
-    messages = released.where("row_kind = 'm'").select("session_key", "block", "seq_no", "entry_id", "code", "place")
+    messages = blocks_released.select("session_key", "block", F.posexplode("messages").alias("place", "m")).select("session_key", "block", "place", "m.*")
     names = F.when(F.col("code") == "u", "user").when(F.col("code") == "a", "assistant").otherwise("system")
     return messages.join(kept, "session_key", "left_semi").join(offsets, ["session_key", "block"]).select(
-        "session_key", (F.col("offset") + F.col("place")).alias("msg_index"), "entry_id", names.alias("role"), "seq_no"
+        "session_key", (F.col("offset") + F.col("place") + 1).alias("msg_index"), "entry_id", names.alias("role"), "seq_no"
     )
