@@ -58,7 +58,7 @@ def entries(rows: DataFrame) -> DataFrame:
 
 def released(block: int, held: dict[str, list]) -> dict:
     """What is released of a block. held: seq_no -> [[entry_id, code], ...]"""
-    messages, broken = [], block < 0
+    messages, broken = [], bool(block < 0)
     numbers = sorted(map(int, held))
     for number in numbers:
         own = held[str(number)]
