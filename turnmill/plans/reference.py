@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import text as tx
 from turnmill.operators import analyses as an
-from turnmill.operators import joins, query, search, windows
+from turnmill.operators import joins, paths, query, search, windows
 from turnmill.sources import facts
 from turnmill.sources.tables import table
+from turnmill.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -500,6 +501,18 @@ def t_rrf(spark: SparkSession, d: str) -> DataFrame:
     return search.fuse([ranked("checkpoint"), ranked("cursor")], "doc_id")
 
 
+@define("t_path_groups", "us", """, rl AS (SELECT turnKey, run_no, capabilityName, count(*) AS length FROM (SELECT *, sum(s) OVER (PARTITION BY turnKey ORDER BY recordStart, contentIndex, ordinal, useKey) AS run_no FROM (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 0 WHEN lag(capabilityName) OVER w IS NOT DISTINCT FROM capabilityName THEN 0 ELSE 1 END AS s FROM us WHERE turnKey IS NOT NULL WINDOW w AS (PARTITION BY turnKey ORDER BY recordStart, contentIndex, ordinal, useKey))) GROUP BY 1, 2, 3),
+pa AS (SELECT turnKey, sha256(string_agg(coalesce(capabilityName, '?') || ':' || CASE WHEN length = 1 THEN '1' WHEN length <= 3 THEN '2-3' ELSE '4+' END, chr(10) ORDER BY run_no)) AS fingerprint FROM (SELECT *, max(run_no) OVER (PARTITION BY turnKey) AS m FROM rl) WHERE run_no < 96 OR run_no > m - 32 GROUP BY 1)
+SELECT fingerprint, count(*) AS turns, count(DISTINCT sessionKey) AS sessions FROM pa JOIN (SELECT turnKey, min(sessionKey) AS sessionKey FROM us GROUP BY 1) USING (turnKey) GROUP BY 1""")
+def t_path_groups(spark: SparkSession, d: str) -> DataFrame:
+    return paths.path_groups(facts.capability_uses(spark, d), [*an.SOURCE, "useKey"]).drop("nodes")
+
+
+@define("t_path_families")
+def t_path_families(spark: SparkSession, d: str) -> DataFrame:
+    return paths.families(paths.path_groups(facts.capability_uses(spark, d), [*an.SOURCE, "useKey"]))
+
+
 @define("t_error_signature", "ev", r"SELECT eventKey, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(error), '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}', '<uuid>', 'g'), '\b[0-9a-f]{12,}\b', '<hex>', 'g'), '[a-z0-9_.-]*/[a-z0-9_./-]+', '<path>', 'g'), '[0-9]+', '<n>', 'g'), '\s+', ' ', 'g'))) AS signature FROM ev WHERE error IS NOT NULL")
 def t_error_signature(spark: SparkSession, d: str) -> DataFrame:
     return facts.errors(spark, d).select("eventKey", "signature")
@@ -523,6 +536,34 @@ def t_ndcg(spark: SparkSession, d: str) -> DataFrame:
     return search.quality(ranked, "suite", "rank", "relevance_grade")
 
 
+@define("s_tumbling_day", "", "SELECT epoch_us(date_trunc('day', observed_at)) AS day_start, count(*) AS n FROM (SELECT DISTINCT event_key, observed_at FROM history_events WHERE observed_at IS NOT NULL) GROUP BY 1")
+def s_tumbling_day(spark: SparkSession, d: str) -> DataFrame:
+    """The plan that streams use, over the table as a whole."""
+    rows = table(spark, d, "history_events").where("observed_at is not null").select("event_key", "observed_at").dropDuplicates(["event_key"])
+    return feeds.tumbling(rows, "observed_at", "1 day", "1 day").select(F.unix_micros("bucket_start").alias("day_start"), "n")
+
+
+@define("s_tumbling_week", "", "SELECT epoch_us(date_trunc('week', observed_at)) AS week_start, count(*) AS n FROM (SELECT DISTINCT event_key, observed_at FROM history_events WHERE observed_at IS NOT NULL) GROUP BY 1")
+def s_tumbling_week(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "history_events").where("observed_at is not null").select("event_key", "observed_at").dropDuplicates(["event_key"])
+    return feeds.tumbling(rows, "observed_at", "7 days", "1 day", "4 days").select(F.unix_micros("bucket_start").alias("week_start"), "n")
+
+
+@define("s_change_log", "", "SELECT session_key, max(received_at) AS r FROM session_commits GROUP BY 1".replace("max(received_at) AS r", "max(epoch_us(received_at)) AS position"))
+def s_change_log(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "session_commits").select("session_key", F.unix_micros("received_at").alias("position"))
+    return feeds.change_log(log, "session_key", "position")
+
+
+@define("s_rollback_replay")
+def s_rollback_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Turn ends seal turns, and every ninth lifecycle event of a session rolls one back."""
+    line = Window.partitionBy("sessionKey").orderBy(*an.SOURCE, "eventKey")
+    rows = facts.events(spark, d).where("kind = 'turn-lifecycle'").withColumn("n", F.row_number().over(line))
+    rows = rows.select("sessionKey", "n", "turnKey", (F.col("n") % 9 != 0).alias("sealed"), F.when(F.col("n") % 9 == 0, 1).alias("rollback"))
+    return feeds.rolled_back(rows, "sessionKey", ["n"], "turnKey", "sealed", "rollback")
+
+
 @define("t_redacted", "", None)
 def t_redacted(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.redact(F.col("text")).alias("text"), tx.lint(F.col("text")).cast("bigint").alias("findings"))
