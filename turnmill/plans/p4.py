@@ -12,7 +12,11 @@ def found(spark: SparkSession, folder: str) -> DataFrame:
     return gitgraph.commit_forest(table(spark, folder, "git_commits"), table(spark, folder, "repository_refs"))
 
 
-QUERIES = {"p4_found": found}
+def hierarchy(spark: SparkSession, folder: str) -> DataFrame:
+    return gitgraph.commit_hierarchy(table(spark, folder, "git_commits"))
+
+
+QUERIES = {"p4_found": found, "p4_hierarchy": hierarchy}
 _FOUND = """
 WITH RECURSIVE n AS (
   SELECT repository_id AS r, lower(object_id) AS o,
