@@ -80,16 +80,21 @@ def stable_order(resource: Resource) -> list[Column]:
     return [F.col(resource.time).desc_nulls_last(), *(F.col(k).asc() for k in resource.key)]
 
 
-def filtered(rows: DataFrame, request: Mapping[str, Any], matches: Callable[[DataFrame, dict], DataFrame] | None = None) -> DataFrame:
-    """The rows that a request's predicate keeps. match leaves may stand at the top or under ANDs; each becomes a semi-join."""
+def filtered(rows: DataFrame | Callable[[Column | None], DataFrame], request: Mapping[str, Any], matches: Callable[[DataFrame, dict], DataFrame] | None = None) -> DataFrame:
+    """The rows that a request's predicate keeps. match leaves may stand at the top or under ANDs; each becomes a semi-join.
+
+    rows may be a function of the predicate's Column, which then decides how early it is applied."""
     resource = validate(request)
     where = request.get("where")
     if where is None:
-        return rows
+        return rows(None) if callable(rows) else rows
     texts = [n for n in ([where, *where["and"]] if "and" in where else [where]) if n.get("op") == "match"]
     rest = [n for n in (where["and"] if "and" in where else [where]) if n.get("op") != "match"]
-    if rest:
-        rows = rows.where(compile_predicate({"and": rest}, resource.columns("F")))
+    condition = compile_predicate({"and": rest}, resource.columns("F")) if rest else None
+    if callable(rows):
+        rows = rows(condition)
+    elif condition is not None:
+        rows = rows.where(condition)
     for leaf in texts:
         if matches is None:
             raise InvalidQuery("no text index")
@@ -109,7 +114,7 @@ def after_position(resource: Resource, position: Mapping[str, Any]) -> Column:
     return (time < F.lit(at)) | time.isNull() | ((time == F.lit(at)) & tail)
 
 
-def records(rows: DataFrame, request: Mapping[str, Any], position: Mapping[str, Any] | None = None, matches: Callable | None = None) -> DataFrame:
+def records(rows: DataFrame | Callable, request: Mapping[str, Any], position: Mapping[str, Any] | None = None, matches: Callable | None = None) -> DataFrame:
     """A page of records in stable order. Payloads are made only for the rows of the page."""
     resource = validate(request)
     shape, limit = request["shape"], request.get("limit", MAX_LIMIT)
@@ -131,7 +136,7 @@ def _metric(m: Mapping[str, Any], columns: Mapping[str, Column]) -> Column:
     }[m["op"]]().alias(m["name"])
 
 
-def aggregate(rows: DataFrame, request: Mapping[str, Any], max_groups: int | None = None, max_candidates: int | None = None, matches: Callable | None = None) -> DataFrame:
+def aggregate(rows: DataFrame | Callable, request: Mapping[str, Any], max_groups: int | None = None, max_candidates: int | None = None, matches: Callable | None = None) -> DataFrame:
     """Exact aggregates per group: sums in decimals (empty: 0), averages as sum and count (none: null), nulls ignored.
 
     Ordered by one metric if the request names one, missing values first as the least, then by all keys with null keys first. Budgets

@@ -78,13 +78,13 @@ def define(name: str, views: str = "", sql: str | None = None):
 
 def _records(name: str, resource: str, where: dict | None, fields: list[str], views: str, sql: str) -> None:
     request = {"resource": resource, "shape": {"kind": "records", "fields": fields}} | ({"where": where} if where else {})
-    define(name, views, sql)(lambda spark, d: query.records(facts.RESOURCES[resource](spark, d), request))
+    define(name, views, sql)(lambda spark, d: query.records(facts.source(resource, spark, d), request))
 
 
 def _filter(name: str, where: dict, sql_where: str) -> None:
     """All events that a predicate keeps."""
     request = {"resource": "event", "where": where, "shape": {"kind": "records", "fields": ["eventKey"]}}
-    define(name, "ev", f"SELECT eventKey, observedAt FROM ev WHERE {sql_where}")(lambda spark, d: query.filtered(facts.events(spark, d), request).select("eventKey", "observedAt"))
+    define(name, "ev", f"SELECT eventKey, observedAt FROM ev WHERE {sql_where}")(lambda spark, d: query.filtered(facts.source("event", spark, d), request).select("eventKey", "observedAt"))
 
 
 def _leaf(field: str, op: str, value: object = None) -> dict:
@@ -121,7 +121,7 @@ _PAGE = {"resource": "event", "where": _leaf("event.kind", "in", ["capability-re
 @define("q_keyset_page2", "ev", "SELECT eventKey, observedAt, kind AS \"event_kind\" FROM ev WHERE kind IN ('capability-result', 'visible-message') ORDER BY observedAt DESC NULLS LAST, eventKey LIMIT 50 OFFSET 50")
 def q_keyset_page2(spark: SparkSession, d: str) -> DataFrame:
     """The page behind the first: its position travels in a sealed cursor."""
-    rows = facts.events(spark, d)
+    rows = facts.source("event", spark, d)
     page = query.records(rows, _PAGE).collect()
     token = query.seal_cursor(_PAGE, d, {"observedAt": page[-1]["observedAt"], "eventKey": page[-1]["eventKey"]}, b"demo")
     return query.records(rows, _PAGE, query.open_cursor(token, _PAGE, d, b"demo"))
@@ -129,13 +129,13 @@ def q_keyset_page2(spark: SparkSession, d: str) -> DataFrame:
 
 @define("q_payload_reference", "ev", "SELECT eventKey, octet_length(encode(error))::BIGINT AS byteLength, sha256(error) AS sha256 FROM ev WHERE exitCode IS NOT NULL AND exitCode <> 0 AND error IS NOT NULL")
 def q_payload_reference(spark: SparkSession, d: str) -> DataFrame:
-    rows = facts.events(spark, d).where("exitCode is not null and exitCode <> 0 and error is not null")
+    rows = facts.events(spark, d, "exitCode is not null and exitCode <> 0 and error is not null")
     return rows.select("eventKey", F.octet_length("error").cast("bigint").alias("byteLength"), F.sha2(F.encode("error", "utf-8"), 256).alias("sha256"))
 
 
 @define("q_json_field", "ev", "SELECT eventKey, json_extract_string(input, '$.path') AS path FROM (SELECT eventKey, CASE WHEN regexp_matches(input, '^[{][^{}]*[}]$') THEN input END AS input FROM ev) WHERE json_valid(input) AND json_extract_string(input, '$.path') IS NOT NULL")
 def q_json_field(spark: SparkSession, d: str) -> DataFrame:
-    rows = facts.events(spark, d).where(F.col("input").rlike(r"^[{][^{}]*[}]$"))
+    rows = facts.events(spark, d, F.col("input").rlike(r"^[{][^{}]*[}]$"))
     return rows.select("eventKey", F.get_json_object("input", "$.path").alias("path")).where("path is not null")
 
 
@@ -151,7 +151,7 @@ def _agg(name: str, resource: str, shape: dict, views: str, sql: str, where: dic
     request = {"resource": resource, "shape": {"kind": "aggregate"} | shape} | ({"where": where} if where else {})
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        out = query.aggregate(facts.RESOURCES[resource](spark, d), request, max_groups=10_000)
+        out = query.aggregate(facts.source(resource, spark, d), request, max_groups=10_000)
         for f in flat or []:
             out = out.withColumn(f"{f}_sum", F.col(f"{f}.sum")).withColumn(f"{f}_count", F.col(f"{f}.count")).drop(f)
         return out
@@ -207,7 +207,7 @@ def agg_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @define("agg_chain_digest", "ev", "SELECT sessionKey, capabilityKey, sum(k)::BIGINT AS events, sha256(string_agg(dg, '|' ORDER BY b)) AS digest FROM (SELECT sessionKey, capabilityKey, (n - 1) // 1000 AS b, count(*) AS k, sha256(string_agg(eventKey, '|' ORDER BY n)) AS dg FROM (SELECT *, row_number() OVER (PARTITION BY sessionKey, capabilityKey ORDER BY recordStart, contentIndex, ordinal, eventKey) AS n FROM ev WHERE capabilityKey IS NOT NULL) GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def agg_chain_digest(spark: SparkSession, d: str) -> DataFrame:
-    return an.chain_digest(facts.events(spark, d).where("capabilityKey is not null"), ["sessionKey", "capabilityKey"])
+    return an.chain_digest(facts.events(spark, d, "capabilityKey is not null"), ["sessionKey", "capabilityKey"])
 
 
 @define("join_inner_star", "us tu se", "SELECT us.useKey, tu.revision, se.provider AS sessionProvider FROM us JOIN tu ON tu.turnKey = us.turnKey JOIN se ON se.sessionKey = us.sessionKey")
@@ -224,7 +224,7 @@ def join_left_composite(spark: SparkSession, d: str) -> DataFrame:
 
 @define("join_top1_lateral", "ev tu", "SELECT turnKey, eventKey AS firstEventKey FROM (SELECT tu.turnKey, ev.eventKey FROM tu LEFT JOIN ev ON ev.turnKey = tu.turnKey AND ev.kind = 'capability-invocation' QUALIFY row_number() OVER (PARTITION BY tu.turnKey ORDER BY ev.recordStart, ev.contentIndex, ev.ordinal, ev.eventKey) = 1)")
 def join_top1_lateral(spark: SparkSession, d: str) -> DataFrame:
-    e = facts.events(spark, d).where("kind = 'capability-invocation' and turnKey is not null")
+    e = facts.events(spark, d, "kind = 'capability-invocation' and turnKey is not null")
     first = joins.first_by(e, ["turnKey"], an.SOURCE, ["eventKey"]).withColumnRenamed("eventKey", "firstEventKey")
     return facts.turns(spark, d).select("turnKey").join(first, "turnKey", "left")
 
@@ -559,7 +559,7 @@ def s_change_log(spark: SparkSession, d: str) -> DataFrame:
 def s_rollback_replay(spark: SparkSession, d: str) -> DataFrame:
     """Turn ends seal turns, and every ninth lifecycle event of a session rolls one back."""
     line = Window.partitionBy("sessionKey").orderBy(*an.SOURCE, "eventKey")
-    rows = facts.events(spark, d).where("kind = 'turn-lifecycle'").withColumn("n", F.row_number().over(line))
+    rows = facts.events(spark, d, "kind = 'turn-lifecycle'").withColumn("n", F.row_number().over(line))
     rows = rows.select("sessionKey", "n", "turnKey", (F.col("n") % 9 != 0).alias("sealed"), F.when(F.col("n") % 9 == 0, 1).alias("rollback"))
     return feeds.rolled_back(rows, "sessionKey", ["n"], "turnKey", "sealed", "rollback")
 
@@ -584,5 +584,5 @@ def set_minus_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @define("set_evidence_union", "ev tu", "SELECT turnKey AS turn, eventKey AS key, 0 AS kindRank FROM ev WHERE turnKey IS NOT NULL UNION ALL SELECT turnKey, turnKey, 1 FROM tu")
 def set_evidence_union(spark: SparkSession, d: str) -> DataFrame:
-    a = facts.events(spark, d).where("turnKey is not null").select(F.col("turnKey").alias("turn"), F.col("eventKey").alias("key"), F.lit(0).alias("kindRank"))
+    a = facts.events(spark, d, "turnKey is not null").select(F.col("turnKey").alias("turn"), F.col("eventKey").alias("key"), F.lit(0).alias("kindRank"))
     return a.unionByName(facts.turns(spark, d).select(F.col("turnKey").alias("turn"), F.col("turnKey").alias("key"), F.lit(1).alias("kindRank")))

@@ -45,15 +45,17 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
     return newest(rows, ["turnKey"], ["observedAt", "revision"])
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    """Deliveries of an event differ only in their arrival, so dropping duplicates of all else is enough and keeps the columns prunable."""
-    return table(spark, folder, "history_events").where("event_key is not null").select(
+def events(spark: SparkSession, folder: str, where: Column | str | None = None) -> DataFrame:
+    """Deliveries of an event differ only in their arrival. A condition goes before the dedup, so that it reaches the scan, and
+    dedup is by key alone, so that unused columns are never read."""
+    rows = table(spark, folder, "history_events").where("event_key is not null").select(
         F.col("event_key").alias("eventKey"), F.col("session_key").alias("sessionKey"), F.col("turn_key").alias("turnKey"), F.col("project_key").alias("projectKey"), "provider",
         F.col("record_start_offset").alias("recordStart"), F.col("content_index").alias("contentIndex"), F.col("event_ordinal").alias("ordinal"), F.col("origin_scope").alias("originScope"),
         micros("observed_at").alias("observedAt"), F.col("event_kind").alias("kind"), "completeness", F.col("capability_key").alias("capabilityKey"), F.col("capability_name").alias("capabilityName"),
         F.col("correlation_digest").alias("correlation"), F.col("input_fingerprint").alias("inputFingerprint"), F.col("provider_state").alias("state"), F.col("exit_code").cast("bigint").alias("exitCode"),
         F.col("duration_ms").alias("durationMs"), F.col("input_text").alias("input"), F.col("output_text").alias("output"), F.col("error_text").alias("error"),
-    ).dropDuplicates(["eventKey"])
+    )
+    return (rows if where is None else rows.where(where)).dropDuplicates(["eventKey"])
 
 
 def order(df_prefix: str = "") -> Column:
@@ -76,7 +78,7 @@ def capability_uses(spark: SparkSession, folder: str) -> DataFrame:
     result and don't enter it."""
     from pyspark.sql import Window
 
-    e = events(spark, folder).where("kind in ('capability-invocation', 'capability-result')")
+    e = events(spark, folder, "kind in ('capability-invocation', 'capability-result')")
     lone = e.where("correlation is null and kind = 'capability-invocation'").withColumn("result", F.lit(None).cast("struct<state: string, at: bigint>"))
     e = e.where("correlation is not null")
     back = [F.col(c).desc() for c in ("recordStart", "contentIndex", "ordinal", "eventKey")]
@@ -90,7 +92,7 @@ def capability_uses(spark: SparkSession, folder: str) -> DataFrame:
 
 def file_activities(spark: SparkSession, folder: str) -> DataFrame:
     """One row per file named in an invocation's input."""
-    e = events(spark, folder).where("kind = 'capability-invocation' and input is not null")
+    e = events(spark, folder, "kind = 'capability-invocation' and input is not null")
     paths = e.select("*", F.posexplode(F.array_distinct(F.regexp_extract_all("input", F.lit(_PATH), 1))).alias("activityOrdinal", "path"))
     verb = F.lower(F.col("capabilityName"))
     action = (
@@ -103,7 +105,7 @@ def file_activities(spark: SparkSession, folder: str) -> DataFrame:
 def errors(spark: SparkSession, folder: str) -> DataFrame:
     from turnmill.functions.text import error_signature
 
-    e = events(spark, folder).where("error is not null")
+    e = events(spark, folder, "error is not null")
     return e.select("eventKey", "sessionKey", "turnKey", "projectKey", "provider", "observedAt", "capabilityKey", "capabilityName", "exitCode", F.col("state").alias("providerState"), error_signature(F.col("error")).alias("signature"), F.col("error").alias("content"))
 
 
@@ -119,3 +121,15 @@ def delivery_edges(spark: SparkSession, folder: str) -> DataFrame:
 RESOURCES = {
     "session": sessions, "turn": turns, "event": events, "capability-use": capability_uses, "file-activity": file_activities, "error-occurrence": errors, "delivery-edge": delivery_edges,
 }
+
+
+def source(resource: str, spark: SparkSession, folder: str):
+    """What the query planner reads a resource through: a function of the predicate, which applies it as early as it can."""
+
+    def read(where: Column | None) -> DataFrame:
+        if resource == "event":
+            return events(spark, folder, where)
+        rows = RESOURCES[resource](spark, folder)
+        return rows if where is None else rows.where(where)
+
+    return read
