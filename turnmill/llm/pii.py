@@ -415,25 +415,25 @@ def _find(model, key: str, fields: tuple[str, ...]):
     return run
 
 
-def _model(lexicon: DataFrame):
+def _model(lexicon: DataFrame, train_rows: int = TRAIN_ROWS):
     """The trained model, sent once to every executor: at most DIM weights a label (3 MB packed), and the lexicon, whose size is checked."""
     parts = [tuple(r) for r in lexicon.where("name_part is not null and part_kind in ('given', 'family')").select("name_part", "part_kind").distinct().limit(LEXICON_LIMIT + 1).collect()]
     if len(parts) > LEXICON_LIMIT:
         raise ValueError(f"a lexicon of more than {LEXICON_LIMIT} name parts")
-    return lexicon.sparkSession.sparkContext.broadcast(trained(tuple(sorted(parts))))
+    return lexicon.sparkSession.sparkContext.broadcast(trained(tuple(sorted(parts)), train_rows))
 
 
-def found(rows: DataFrame, lexicon: DataFrame, key: str = "event_key", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def found(rows: DataFrame, lexicon: DataFrame, key: str = "event_key", fields: tuple[str, ...] = FIELDS, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Distinct (event_key, field_name, pii_kind, start_at, end_at): items with their first and last position, from 1, in code points.
 
     Null and empty texts have none; rows with a null key keep it; repeated rows give one. Lines of any length are read whole.
     """
     texts = rows.where(" or ".join(f"{f} is not null" for f in fields)).select(F.col(key).cast("string").alias(key), *fields)
     ddl = "event_key string, field_name string, pii_kind string, start_at bigint, end_at bigint"
-    return texts.mapInArrow(_find(_model(lexicon), key, fields), ddl).distinct()
+    return texts.mapInArrow(_find(_model(lexicon, train_rows), key, fields), ddl).distinct()
 
 
-def _mask(model, fields: tuple[str, ...], schema: pa.Schema | None = None):
+def _mask(model, fields: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model.value)
         for batch in batches:
@@ -451,6 +451,6 @@ def _mask(model, fields: tuple[str, ...], schema: pa.Schema | None = None):
     return run
 
 
-def masked(rows: DataFrame, lexicon: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def masked(rows: DataFrame, lexicon: DataFrame, fields: tuple[str, ...] = FIELDS, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows with every item in the fields replaced by <KIND>; all other columns and characters stay. Null and empty texts stay as they are."""
-    return rows.mapInArrow(_mask(_model(lexicon), fields), rows.schema)
+    return rows.mapInArrow(_mask(_model(lexicon, train_rows), fields), rows.schema)
