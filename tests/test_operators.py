@@ -1,0 +1,128 @@
+"""Joins, windows, text functions and retrieval on hand-written rows: nulls, ties, repeats, empty input and clashing columns."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from turnmill.functions import text as tx
+from turnmill.operators import joins, paths, search, windows
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_next_later_is_strict_and_linear(spark):
+    df = spark.createDataFrame([("c", 1, "f"), ("c", 2, "ok"), ("c", 3, "f"), ("c", 4, None), ("c", 5, "ok"), ("d", 9, "f"), (None, 1, "f"), (None, 2, "ok")], "chain string, pos int, state string")
+    got = joins.next_later(df, ["chain"], ["pos"], F.col("state") == "ok", F.col("pos"), "next")
+    assert rows(got.select("chain", "pos", "next")) == rows(spark.createDataFrame([("c", 1, 2), ("c", 2, 5), ("c", 3, 5), ("c", 4, 5), ("c", 5, None), ("d", 9, None), (None, 1, 2), (None, 2, None)], "a string, b int, c int"))
+    assert joins.next_later(df.limit(0), ["chain"], ["pos"], F.col("state") == "ok", F.col("pos"), "next").collect() == []
+
+
+def test_first_by_and_nearest(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("a", 1, "x"), ("b", None, "z"), ("b", 0, "w")], "k string, o int, v string")
+    assert rows(joins.first_by(df, ["k"], ["o"], ["v"])) == [("a", "x"), ("b", "z")]
+    left = spark.createDataFrame([("p", "l1", 10, 20), ("p", "l2", 100, 110), ("q", "l3", 1, 2)], "p string, id string, s bigint, e bigint")
+    right = spark.createDataFrame([("p", 15, "r2"), ("p", 15, "r1"), ("p", 95, "r3"), ("p", None, "r0"), ("q", None, "r9")], "p string, at bigint, rid string")
+    got = joins.nearest_in_time(left, right, ["p"], "at", "s", "e", "rid").select("id", "rid", "gap", "in_window")
+    assert rows(got) == [("l1", "r1", 0, 1), ("l2", "r3", 5, 0)]
+
+
+def test_pairs_prefixes_and_overlap(spark):
+    df = spark.createDataFrame([("t1", "a"), ("t1", "b"), ("t1", "a"), ("t2", "a"), ("t2", None), (None, "a"), (None, "b")], "t string, c string")
+    assert rows(joins.co_occurrence(df, "t", "c")) == [("a", "b", 1), ("b", "a", 1)]
+    pre = spark.createDataFrame([("r", "abcdef1"), ("r", "abcdef"), ("r", "1234567"), ("s", "abcdef1"), ("r", None)], "r string, p string")
+    ids = spark.createDataFrame([("r", "abcdef1999"), ("r", "abcdef1999"), ("r", "1234567a"), ("r", "1234567b")], "r string, id string")
+    assert rows(joins.prefix_unique(pre, "r", "p", ids, "id")) == [("r", "abcdef1", "abcdef1999")]
+    left = spark.createDataFrame([(1, "x"), (1, "y"), (1, "x"), (2, "x"), (2, "y"), (3, "x")], "l int, term string")
+    right = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "z"), ("b", "x")], "g string, term string")
+    assert rows(joins.unique_overlap(left, right, "l", "g", "term")) == [(1, "a", 2), (2, "a", 2)]
+    assert rows(joins.unique_overlap(left, right.unionByName(right.withColumn("g", F.lit("c"))), "l", "g", "term")) == []
+    with pytest.raises(ValueError):
+        joins.with_values(left, "term", [str(i) for i in range(joins.MAX_VALUES + 1)])
+
+
+def test_compare_and_bridge(spark):
+    a, b = spark.createDataFrame([("x", 3), ("y", 1)], "k string, n bigint"), spark.createDataFrame([("y", 4), ("z", 2)], "k string, n bigint")
+    assert rows(joins.full_compare(a, b, ["k"], "n")) == [("x", 3, 0, 3), ("y", 1, 4, -3), ("z", 0, 2, -2)]
+    links = spark.createDataFrame([("e", "g"), ("e", "g"), ("f", "g"), ("f", None), ("h", "g"), ("h", "i")], "k string, g string")
+    assert rows(joins.unique_bridge(links, "k", "g")) == [("e", "g")]
+
+
+def test_context_switches_carry_over_buckets(spark):
+    data = [(1, "a", "A"), (2, "b", "A"), (3, "c", None), (50, "d", "B"), (120, "e", "A"), (None, "f", "Z"), (121, "g", "A")]
+    df = spark.createDataFrame(data, "at bigint, k string, v string")
+    for bucket in (10, 1000):
+        got = {r["k"]: r["switched"] for r in windows.context_switches(df, "at", "k", "v", bucket).collect()}
+        assert got == {"a": 1, "b": 0, "c": 0, "d": 1, "e": 1, "f": 0, "g": 0}
+
+
+def test_runs_bigrams_retries(spark):
+    data = [("s", i, c) for i, c in enumerate(["x", "x", None, None, "y", "x"])]
+    r = windows.run_lengths(spark.createDataFrame(data, "s string, n int, c string"), "s", ["n"], "c")
+    assert [tuple(x) for x in r.orderBy("run_no").select("c", "length").collect()] == [("x", 2), (None, 2), ("y", 1), ("x", 1)]
+    assert windows.bigrams(r.withColumn("node", F.coalesce("c", F.lit("-"))), "s", "run_no", "node").count() == 3
+    uses = spark.createDataFrame([("s", 1, "c", "f", "failed"), ("s", 2, "c", "f", "cancelled"), ("s", 3, "c", "f", "completed"), ("s", 4, "c", None, "failed"), ("s", 5, "c", None, "failed")], "s string, n int, capabilityKey string, inputFingerprint string, terminalState string")
+    assert rows(windows.retries(uses, ["s"], ["n"], ["failed"])) == [("s", "c", 3, 2, 1)]
+    assert rows(windows.retries(uses, ["s"], ["n"], ["failed", "cancelled"])) == [("s", "c", 3, 2, 2)]
+
+
+def test_packing_is_greedy(spark):
+    sizes = [4, 4, 4, 20, 1, None, 9]
+    df = spark.createDataFrame([("s", i, n) for i, n in enumerate(sizes)] + [("t", 0, 1)], "s string, n int, size bigint")
+    got = {(r["s"], r["n"]): r["chunk_no"] for r in windows.packed(df, "s", ["n"], "size", 10).collect()}
+    assert got == {("s", 0): 0, ("s", 1): 0, ("s", 2): 1, ("s", 3): 2, ("s", 4): 3, ("s", 5): 3, ("s", 6): 3, ("t", 0): 0}
+
+
+def test_text_functions(spark):
+    df = spark.createDataFrame([("Err 12 in /a/b.c", "err 7 in  /x/y.z"), (None, None)], "a string, b string")
+    assert df.select((tx.error_signature(F.col("a")) == tx.error_signature(F.col("b"))).alias("x")).collect()[0][0] is True
+    line = spark.createDataFrame([(" a\x00\n\tb " + "x" * 300,), (None,), ("",)], "t string").select(tx.preview(F.col("t")).alias("p")).collect()
+    assert line[0][0].startswith("a b xxx") and len(line[0][0]) == 160 and line[1][0] is None and line[2][0] == ""
+    keys = spark.createDataFrame([("ab", "c"), ("a", "bc")], "x string, y string").select(tx.stable_key("d", F.col("x"), F.col("y")).alias("k")).collect()
+    assert keys[0][0] != keys[1][0]
+    secret = [("Authorization: Bearer abcdefghijklmnop.qrs",), ("see https://user:pw@host/x",), ('{"password": "hunter22"}',), ("nothing here",)]
+    got = [r[0] for r in spark.createDataFrame(secret, "t string").select(tx.redact(F.col("t"))).collect()]
+    assert got == ["Authorization: Bearer [REDACTED]", "see https://[REDACTED]@host/x", '{"password": [REDACTED]}', "nothing here"]
+    lint = spark.createDataFrame([("aaaaaaaaaaaaaaaaaaaaaaaaa",), ("q7Zp2Lx9Rt4Vb8Nm3Kc6Wd1F",), ("0123456789abcdef0123456789abcdef",)], "t string").select(tx.lint(F.col("t"))).collect()
+    assert [r[0] > 0 for r in lint] == [False, True, True]
+    for path, want in (("/a/./b/../c", "/a/c"), ("a//b\\c", "a/b/c"), ("C:\\x\\..\\y", "C:/y"), ("../a", "../a"), ("/..", "/"), ("", "."), (None, None)):
+        assert tx.normalize_path(path) == want
+    assert tx.normalize_path("/r/p/src/a.py", "/r/p") == "src/a.py" and tx.normalize_path("/r/pq/a", "/r/p") == "/r/pq/a"
+
+
+def test_analyzer():
+    assert search.natural_terms("Foo Ｂar 中文字 x") == ["foo", "bar", "中文", "文字", "中文字", "x"]
+    assert set(search.code_terms("use `getUserName` and my_var")) >= {"getusername", "get", "user", "name", "my_var", "my", "var"}
+    assert search.analyze(None) == [] and len(search.analyze("w " * 9000)) == search.BUDGETS["natural"][0]
+    assert search.analyze("é" * 200)[0][1].startswith("h:")
+    with pytest.raises(ValueError):
+        search.query_terms("?!a")
+    terms = [("natural", "a", 0), ("natural", "b", 60), ("code", "c", 3), ("natural", "d", 2)]
+    assert [t for _, t, _ in search.selected_terms(terms, 100)] == ["d", "c"]
+    assert [t for _, t, _ in search.selected_terms([("natural", "x", 90), ("natural", "y", 80), ("natural", "z", 70)], 100)] == ["z", "y"]
+
+
+def test_ranking(spark):
+    docs = spark.createDataFrame([(1, "cat dog"), (2, "cat cat cat"), (3, "dog"), (4, None), (None, "cat"), (5, "")], "d bigint, t string")
+    post = search.ascii_postings(docs, "d", "t")
+    got = search.bm25(post, ["cat"], "d").collect()
+    idf = math.log(1 + (3 - 2 + 0.5) / (2 + 0.5))
+    score = lambda tf, n: round(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 2)) * 1e6)
+    assert [(r["d"], r["score_ppm"], r["rank"]) for r in got] == [(2, score(3, 3), 1), (1, score(1, 2), 2)]
+    ranked = search.rerank(search.bm25(post, ["cat"], "d"), post, docs, "d", "t", ["cat"], "CAT DOG").collect()
+    assert [r["d"] for r in ranked] == [1, 2]
+    assert search.bm25(post, ["none"], "d").collect() == [] and search.postings(docs, "d", "t").where("term = 'cat'").count() == 2
+    a, b = spark.createDataFrame([(1, 1), (2, 2)], "d int, rank int"), spark.createDataFrame([(2, 1)], "d int, rank int")
+    assert [r["d"] for r in search.fuse([a, b], "d").collect()] == [2, 1]
+    perfect = spark.createDataFrame([("q", 1, 3), ("q", 2, 1), ("q", None, 0)], "q string, r int, g int")
+    assert rows(search.quality(perfect, "q", "r", "g")) == [("q", 1_000_000, 1_000_000)]
+
+
+def test_path_families(spark):
+    uses = [(f"t{t}", f"s{t}", c, i) for t, path in enumerate([["a", "b", "c", "d"]] * 3 + [["a", "b", "c", "c", "d"]] * 2 + [["x", "y"]]) for i, c in enumerate(path)]
+    groups = paths.path_groups(spark.createDataFrame(uses, "turnKey string, sessionKey string, capabilityName string, n int"), ["n"])
+    assert sorted((r["turns"], r["sessions"]) for r in groups.collect()) == [(1, 1), (2, 2), (3, 3)]
+    fam = paths.families(groups).collect()
+    assert len(fam) == 3 and paths.families(groups.limit(0)).collect() == []

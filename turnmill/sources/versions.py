@@ -1,4 +1,4 @@
-"""Tables kept as versions: a write makes a new folder and then moves a pointer, so readers see whole states only."""
+"""Tables kept as versions: a write makes a new folder and then a mark, so readers see whole states only."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 class VersionedTable:
-    """A folder with v=<n>/ parquet folders and a pointer file named _current. One writer at a time."""
+    """A folder with v=<n>/ parquet folders and a mark commits/<n> for each whole one; the greatest is current. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -15,29 +15,21 @@ class VersionedTable:
         self._fs = self._p(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def version(self) -> int | None:
-        at = self._p(f"{self.path}/_current")
-        if not self._fs.exists(at):
-            return None
-        return int(self.spark.read.text(f"{self.path}/_current").first()[0])
+        marks = self._p(f"{self.path}/commits")
+        return max((int(s.getPath().getName()) for s in self._fs.listStatus(marks)), default=None) if self._fs.exists(marks) else None
 
     def read(self) -> DataFrame | None:
         v = self.version()
         return None if v is None else self.spark.read.parquet(f"{self.path}/v={v}")
 
     def write(self, df: DataFrame, version: int) -> bool:
-        """Writes a version and points to it; False, without writing, if it or a later one is already there."""
+        """Writes a version and marks it; False, without writing, if it or a later one is already there. A crash before the mark leaves the old state."""
         now = self.version()
         if now is not None and now >= version:
             return False
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        draft = self._p(f"{self.path}/_draft-{version}")
-        out = self._fs.create(draft, True)
-        out.write(str(version).encode())
-        out.close()
-        at = self._p(f"{self.path}/_current")
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        return self._fs.rename(draft, at)
+        self._fs.create(self._p(f"{self.path}/commits/{version}"), False).close()
+        return True
 
 
 def json_pages(rows: DataFrame, order: list[str], page_bytes: int) -> DataFrame:
