@@ -103,6 +103,12 @@ def ascii_postings(documents: DataFrame, doc: str, text: str) -> DataFrame:
     return words.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def ascii_lengths(documents: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, length) in words [a-z0-9]+, of documents that have any; without making postings."""
+    n = F.size(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0))
+    return documents.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(doc, n.alias("_n")).groupBy(doc).agg(F.sum("_n").alias("length")).where("length > 0")
+
+
 def document_frequency(post: DataFrame) -> DataFrame:
     """df per term (and field, if there is one); postings have one row per document and term, so counting rows is exact."""
     keys = [c for c in ("field", "term") if c in post.columns]
@@ -123,9 +129,11 @@ def selected_terms(frequencies: list[tuple[str, str, int]], n: int, most: int =
     return sorted(good, key=lambda f: (f[2], rank.get(f[0], 3), order[f]))[:most]
 
 
-def bm25(post: DataFrame, terms: list[str], doc: str, top: int = 300) -> DataFrame:
-    """(doc, score_ppm, rank) of the best documents for OR-ed terms; ties by document. Only postings of the terms and one length a document are read."""
-    lengths = post.groupBy(doc).agg(F.sum("tf").alias("_len"))
+def bm25(post: DataFrame, terms: list[str], doc: str, top: int = 300, lengths: DataFrame | None = None) -> DataFrame:
+    """(doc, score_ppm, rank) of the best documents for OR-ed terms; ties by document. Only postings of the terms and one length a document are read.
+
+    lengths: (doc, length), where they are known more cheaply than by adding up all postings."""
+    lengths = post.groupBy(doc).agg(F.sum("tf").alias("_len")) if lengths is None else lengths.select(doc, F.col("length").alias("_len"))
     n, mean = lengths.agg(F.count(F.lit(1)), F.avg("_len")).first()
     hits = post.where(F.col("term").isin(terms))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))  # at most one row a query term

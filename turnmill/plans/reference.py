@@ -479,14 +479,15 @@ FROM po JOIN (SELECT doc_id, sum(tf) AS len FROM po GROUP BY 1) USING (doc_id) J
 
 @define("t_bm25", "po", f", {_BM25} SELECT * FROM b")
 def t_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(search.ascii_postings(table(spark, d, "documents"), "doc_id", "text"), _TERMS, "doc_id").withColumn("rank", F.col("rank").cast("bigint"))
+    docs = table(spark, d, "documents")
+    return search.bm25(search.ascii_postings(docs, "doc_id", "text"), _TERMS, "doc_id", lengths=search.ascii_lengths(docs, "doc_id", "text")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @define("t_search_rerank")
 def t_search_rerank(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     post = search.ascii_postings(docs, "doc_id", "text")
-    return search.rerank(search.bm25(post, _TERMS, "doc_id"), post, docs, "doc_id", "text", _TERMS, "purge marker")
+    return search.rerank(search.bm25(post, _TERMS, "doc_id", lengths=search.ascii_lengths(docs, "doc_id", "text")), post, docs, "doc_id", "text", _TERMS, "purge marker")
 
 
 @define("t_full_postings")
