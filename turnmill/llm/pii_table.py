@@ -17,7 +17,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 # The material of the table.
 _GIVEN = "Alma Boris Carla Derek Emilia Farid Gita Henrik Ines Jorge Kira Luis Mina Nils Oda Petra Quentin Rosa Stefan Tessa Umar Vera Walter Xavier Yara Zeno André Chloé Søren Núria Ömer Faith Grace Chase Rob Bill Dawn Rich".split()
 _FAMILY = "Abelmoor Brackwith Cravenholt Dunmarrow Esterling Farrowgate Gildersten Hartquell Ivesdale Karrowin Lockmere Marchwell Norvath Ostrander Pellwick Quarrendon Rustvale Stavenhagen Tormund Ulverton Varnholt Wintersby Yelland Zorbeck MacAllen O'Brannon D'Arvel Kerr-Holt van Drees de Mornay Ångvik Müllenhardt".replace("van Drees", "van_Drees").replace("de Mornay", "de_Mornay").split()
-_HOSTS = "example.org mail.example.com corp.orvane.test post.lumber.example lists.venn.invalid team.quarr.test drevik.example hub.sellan.invalid".split()
+_HOSTS = "example.org orvane.test lumber.example quarr.invalid sellan.test venn.example mail.example.com corp.orvane.test post.lumber.example lists.venn.invalid team.quarr.test drevik.example hub.sellan.invalid".split()
 _STREETS = "Harrow Mill|Quartz Hollow|Elder Bend|Pine Ridge|Maple|Old Tannery|North Ferry|Miller's Gate|Copper Beech|Sandpiper|Birch Quay|Larkspur|West Orchard|King's Landing|Gravel Hill|Cedar|Ashby|Thornbury Rise|Cobbler's End|Fernway".split("|")
 _SUFFIX = "Street St. Road Rd Lane Ave Avenue Drive Way Court Ln Blvd St Rd. Terrace Close".split()
 _TOWNS = "Altmoor|Brackley Cross|Dornfeld|Westharbour|Kaltenau|Pinnford|Oststadt|Larch Sands|Mühlen|Kornhafen".split("|")
@@ -58,6 +58,8 @@ _ITEMS = [
     "Escribe a {name} o llama al {phone}.", "Vive en {addr}.", "Herr {name} wohnt {addr}.", "tel {phone} / {email}", "mail {email}, tel {phone}", "{name} ({email})", "Signed-off-by: {name} <{email}>", "visit {addr} or call {phone}", "id number {id}; name {name}", "DNI {id}", "{phone} was dialled twice", "{addr} is the old address", "From: {name}", "{name}, {phone}, {addr}",
     "Según {name}, el envío va a {addr}.", "Laut {name} ging alles an {addr}.", "Selon {name}, tout va bien.", "Dice {name} que no.", "deliver to: {name}, {addr}", "{name} asked us to resend the archive to {addr}.", "Frau {name} schrieb an {email}.", "Señora {name} llamó.", "{name}。", "收件人{name}，地址{addr}", "({name})", "({id})", "rejected ({id}) for {name}", "(tel {phone})", "[{id}]", "({phone})", "nid={id};", "Hi {name},", "- {name}\n- {name}", "{name}; {email}", "| {name} | {id} |", "said {name}.", "by {name}", "\"{name}\" wrote",
     "{name} <{email}>", "owner: {name}", "holder {id}", "Ausweisnummer {id}", "Personal-ID {id} ({name})", "{addr}; {phone}", "send it to {addr}, attention {name}", "for {name} only", "Cheers, {name}", "Regards\n{name}", "Gruß, {name}", "Un saludo, {name}",
+    '{{"assignee":"{name}","mail":"{email}"}}', '"user":"{name}","mail":"{email}"', "邮件已发送至{email}，收件人{name}。", '{{"mail":"{email}"}}', "shipping label: {addr}\n{file}:{n}: {adj} {noun}",
+    "the letter returned from {addr}: no such house", "{addr}: locked", "The van came from {addr}: empty.", "It goes to {addr}. {{\"rows\":{n}}}", "sent from {addr} to {addr}", "{addr} {noun} {verb}", "{phone} {noun} {verb}", "{name} {noun} {verb}", "{email} {noun} {verb}", "parcel for {name} at {addr}: refused",
     "the note by {name} mentions {addr}", "Best, {name}", "Dr. {name} called", "ask {name} or {name} about the {noun}", "身份证{id}已登记。", "地址是{addr}。", "fax: {phone}", "customer {name} paid, {id} checked", "user {email} from {addr}", "assigned to {name}.", "{name}: {phone}", "{name} and {name} disagree.", "lives at {addr}", "deliver to {name}, {addr}",
 ]
 
@@ -181,7 +183,7 @@ class Table:
         return text, spans
 
 
-def rows(lexicon: list[tuple[str, str]], n: int = 3000, seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def rows(lexicon: list[tuple[str, str]], n: int = 3200, seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """n labelled rows; lexicon: (name part, given or family), known parts that half of the names use."""
     table = Table(lexicon, seed)
     return [table.row() for _ in range(n)]
