@@ -126,3 +126,21 @@ def test_path_families(spark):
     assert sorted((r["turns"], r["sessions"]) for r in groups.collect()) == [(1, 1), (2, 2), (3, 3)]
     fam = paths.families(groups).collect()
     assert len(fam) == 3 and paths.families(groups.limit(0)).collect() == []
+
+
+def test_evidence(spark):
+    from turnmill.operators import evidence as ev
+
+    texts = spark.createDataFrame([(1, "añ中😀x" * 9), (2, ""), (3, None)], "k int, t string")
+    pages = ev.byte_pages(texts, "k", "t", 16).orderBy("page_no").collect()
+    whole = ("añ中😀x" * 9).encode()
+    assert b"".join(p["content"].encode() for p in pages) == whole and all(len(p["content"].encode()) <= 16 for p in pages)
+    assert all(whole[p["start_byte"] :].startswith(p["content"].encode()) for p in pages)
+    turns = spark.createDataFrame([("s", 1, 5), ("s", 2, 10), ("u", 1, 95), ("w", 1, None)], "s string, n int, at bigint")
+    assert {(r["s"], r["n"]): r["closure"] for r in ev.closure(turns, "s", ["n"], "at", 100, 50).collect()} == {("s", 1): "hard-sealed", ("s", 2): "quiescent", ("u", 1): "open", ("w", 1): "open"}
+    cites = spark.createDataFrame([("a", "e1"), ("a", "e2"), ("b", "e1"), ("b", "e1"), ("c", "lost"), ("d", "e3")], "st string, e string")
+    catalog = spark.createDataFrame([("e1", "direct", "x"), ("e2", "weak", "y"), ("e2", "strong", "x"), ("e3", None, None)], "e string, strength string, limitation string")
+    got = {r["st"]: (r["cited"], r["strength"], r["limitations"], r["rejected"]) for r in ev.assessment(cites, catalog, "st", "e").collect()}
+    assert got == {"a": (2, "weak", ["x", "y"], 0), "b": (1, "direct", ["x"], 1), "c": (1, None, [], 1), "d": (1, None, [], 0)}
+    rng = ev.record_range(spark.createDataFrame([("s", i) for i in range(5)], "s string, n int"), "s", ["n"], 2, -2)
+    assert sorted(r["n"] for r in rng.collect()) == [1, 2, 3]

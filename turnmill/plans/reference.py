@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import text as tx
 from turnmill.operators import analyses as an
-from turnmill.operators import joins, paths, query, search, windows
+from turnmill.operators import evidence, joins, paths, query, search, windows
 from turnmill.sources import facts
 from turnmill.sources.tables import table
 from turnmill.streaming import feeds
@@ -587,3 +587,32 @@ def set_minus_groups(spark: SparkSession, d: str) -> DataFrame:
 def set_evidence_union(spark: SparkSession, d: str) -> DataFrame:
     a = facts.events(spark, d, "turnKey is not null").select(F.col("turnKey").alias("turn"), F.col("eventKey").alias("key"), F.lit(0).alias("kindRank"))
     return a.unionByName(facts.turns(spark, d).select(F.col("turnKey").alias("turn"), F.col("turnKey").alias("key"), F.lit(1).alias("kindRank")))
+
+
+@define("e_byte_pages", "", "SELECT doc_id, (i - 1)::INT AS page_no, octet_length(encode(left(text, ((i - 1) * 256)::BIGINT)))::BIGINT AS start_byte, substring(text, (i - 1) * 256 + 1, 256) AS content FROM (SELECT doc_id, text, unnest(range(1, (length(text) + 255) // 256 + 1)) AS i FROM documents WHERE length(text) > 0)")
+def e_byte_pages(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.byte_pages(table(spark, d, "documents"), "doc_id", "text", 1024)
+
+
+@define("e_json_lines", "ev", """SELECT sessionKey, n - 1 AS line_no, line, sum(octet_length(encode(line)) + 1) OVER (PARTITION BY sessionKey ORDER BY n)::BIGINT AS end_byte FROM (SELECT sessionKey, '{"eventKey":"' || eventKey || '","kind":"' || kind || '"}' AS line, row_number() OVER (PARTITION BY sessionKey ORDER BY recordStart, contentIndex, ordinal, eventKey) AS n FROM ev)""")
+def e_json_lines(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.json_lines(facts.events(spark, d), "sessionKey", [*an.SOURCE, "eventKey"], ["eventKey", "kind"])
+
+
+@define("e_closure", "tu", f"SELECT turnKey, CASE WHEN lead(1) OVER (PARTITION BY sessionKey ORDER BY startOffset, turnKey) IS NOT NULL THEN 'hard-sealed' WHEN observedAt + 300000000 <= {_MAY} THEN 'quiescent' ELSE 'open' END AS closure FROM tu")
+def e_closure(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.closure(facts.turns(spark, d), "sessionKey", ["startOffset", "turnKey"], "observedAt", _MAY, 300_000_000).select("turnKey", "closure")
+
+
+@define("e_assessment", "se", "SELECT projectKey, count(*) AS cited, CASE WHEN bool_or(confidence = 'weak') THEN 'weak' WHEN bool_or(confidence = 'strong') THEN 'strong' END AS strength, array_to_string(list_sort(list(DISTINCT method)), ',') AS limitations, 0 AS rejected FROM se WHERE projectKey IS NOT NULL GROUP BY 1")
+def e_assessment(spark: SparkSession, d: str) -> DataFrame:
+    """Projects as statements that cite their sessions."""
+    s = facts.sessions(spark, d)
+    catalog = s.select("sessionKey", F.col("confidence").alias("strength"), F.col("method").alias("limitation"))
+    out = evidence.assessment(s.where("projectKey is not null").select("projectKey", "sessionKey"), catalog, "projectKey", "sessionKey")
+    return out.withColumn("limitations", F.when(F.size("limitations") > 0, F.array_join("limitations", ",")))
+
+
+@define("e_record_range", "ev", "SELECT sessionKey, eventKey, record_no::INT AS record_no FROM (SELECT *, row_number() OVER (PARTITION BY sessionKey ORDER BY recordStart, contentIndex, ordinal, eventKey) AS record_no, count(*) OVER (PARTITION BY sessionKey) AS n FROM ev) WHERE record_no BETWEEN 2 AND n - 1")
+def e_record_range(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.record_range(facts.events(spark, d), "sessionKey", [*an.SOURCE, "eventKey"], 2, -2).select("sessionKey", "eventKey", "record_no")
