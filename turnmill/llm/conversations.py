@@ -46,7 +46,7 @@ def entries(rows: DataFrame) -> DataFrame:
     letter = F.lit("?")
     for name, code in ROLES.items():
         letter = F.when(role == name, code).otherwise(letter)
-    visible = F.coalesce(F.col("markdown"), F.lit("")).rlike(r"[^\s\p{Z}\p{C}\x{2800}\x{3164}]")
+    visible = F.coalesce(F.col("markdown"), F.lit("")).rlike(r"[^\s\p{Z}\p{Cc}\p{Cf}\x{2800}\x{3164}]")
     is_message = F.coalesce(F.lower(F.trim("entry_kind")) == "message", F.lit(False))
     epoch = F.timestamp_micros(F.lit(0))
     return rows.where("session_key is not null").select(

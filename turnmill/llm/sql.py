@@ -25,7 +25,7 @@ SELECT session_key, arg_min(event_key, n) AS first_event_key, arg_max(event_key,
 P5 = r"""
 WITH e AS (
   SELECT DISTINCT session_key, seq_no, entry_id, coalesce(lower(trim(entry_kind)) = 'message', false) AS is_message, lower(regexp_replace(coalesce(speaker_role, ''), '^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$', '', 'g')) AS said,
-    regexp_matches(coalesce(markdown, ''), '[^\s\p{Z}\p{C}]') AS visible
+    regexp_matches(coalesce(markdown, ''), '[^\s\p{Z}\p{Cc}\p{Cf}]') AS visible
   FROM session_messages WHERE session_key IS NOT NULL
 ), r AS (
   SELECT *, CASE WHEN said IN ('user', 'human') THEN 'u' WHEN said IN ('assistant', 'agent', 'ai', 'model', 'bot') THEN 'a' WHEN said = 'system' THEN 's' ELSE '?' END AS role FROM e

@@ -28,6 +28,9 @@ THRESHOLD = 0.5
 #: A length is a limit if at least SPIKE times as many texts have it as one of the lengths around it would have, and at least SPIKE_LEAST.
 SPIKE, SPIKE_LEAST = 8.0, 5
 
+#: Limits of all sources that may be held in memory.
+LIMIT_ROWS = 1_000_000
+
 # Marks that are put behind a cut.
 MARKS = ["…", "...", "[truncated]", "(truncated)", "<truncated>", "[...]", "[…]", "[cut]", "<connection reset>", "[output truncated]", "--More--", "�", "-", "-", "—"]
 _MARK = re.compile(r"(?:\s*(?:…|\.{3,}|[\[(<]\s*(?:output |text |message )?(?:truncated|cut(?: off)?|clipped|snipped?|connection (?:reset|closed|lost)|stream (?:closed|reset)|\.\.\.|…)\s*[\])>]|--More--|�+))+\s*$", re.I)
@@ -206,7 +209,10 @@ def scored(documents: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFra
     Null, empty and blank texts score 0. Rows without doc_id are scored like others. Repeated rows are scored each.
     A null source is a source of its own. Extra columns are ignored.
     """
-    known = Limits([tuple(r) for r in limits(documents).collect()])  # at most lengths/SPIKE_LEAST rows a source, some tens in practice
+    rows = [tuple(r) for r in limits(documents).limit(LIMIT_ROWS + 1).collect()]  # some tens in practice; the bound is checked
+    if len(rows) > LIMIT_ROWS:
+        raise ValueError(f"more than {LIMIT_ROWS} length limits: source isn't a field with few values")
+    known = Limits(rows)
     picked = (
         documents.where("text is not null and trim(text) != ''")
         .select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), F.expr(f"right(text, {SAMPLE_CHARS})").alias("text"), "source")
