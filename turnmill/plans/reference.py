@@ -307,7 +307,7 @@ def join_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 @define("win_top5", "us", "SELECT capabilityKey, projectKey, uses, lastAt, rank FROM (SELECT *, row_number() OVER (PARTITION BY capabilityKey ORDER BY uses DESC, lastAt DESC NULLS LAST, projectKey) AS rank FROM (SELECT capabilityKey, projectKey, count(*) AS uses, max(observedAt) AS lastAt FROM us WHERE projectKey IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 5")
 def win_top5(spark: SparkSession, d: str) -> DataFrame:
-    return an.top_projects(facts.capability_uses(spark, d))
+    return an.top_projects(facts.capability_uses(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 _RETRY = "SELECT {scope}, capabilityKey, count(*) FILTER (terminalState = 'failed') AS failed_count, count(*) FILTER (inputFingerprint IS NOT NULL AND before IS NOT NULL) AS same_input_repeat_count, count(*) FILTER (inputFingerprint IS NOT NULL AND before IN ({failed})) AS retry_after_failure_count FROM (SELECT *, lag(terminalState) OVER (PARTITION BY {scope}, capabilityKey, inputFingerprint ORDER BY recordStart, contentIndex, ordinal, useKey) AS before FROM us) GROUP BY {scope}, capabilityKey"
