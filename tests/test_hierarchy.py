@@ -94,3 +94,49 @@ def test_paths_and_descendants(spark):
     assert {r["descendant"] for r in below} == {f"{i:03d}" for i in range(21, 50)}
     assert {r["id"]: r["descendants"] for r in index.collect()} == {f"{i:03d}": 49 - i for i in range(50)}
     assert max(len(r["segment"]) for r in index.collect()) < h.SEGMENT
+
+
+def ways_up(rows):
+    """The way up of each commit until there is no parent or one would come again, by brute force."""
+    import json
+
+    parents = {(ns, o.lower()): [x for x in json.loads((p or "[]").lower()) if x.strip()] for ns, o, p, *_ in rows}
+    out = {}
+    for ns, o in parents:
+        way, at = [], o
+        while at is not None and (ns, at) in parents and at not in way:
+            way.append(at)
+            at = (parents[ns, at] or [None])[0]
+        out[ns, o] = way
+    return out
+
+
+# Cycles of three with a tail each: over 7, 10 and 2 rows a chunk they lie in one chunk or in several.
+@pytest.mark.parametrize(("seed", "chunk"), [(1, 7), (1, 1000), (2, 10), (2, 2)])
+def test_every_path_and_every_descendant(spark, seed, chunk):
+    rows, _ = graph(seed)
+    rows = [(ns, o, (t or "").replace("[ ]", "[]") or None, *x) for ns, o, t, *x in rows]
+    rows += [("r", f"{i:02d}", f'["{(i + 7) % 21:02d}"]', None, 1) for i in range(21)] + [("r", f"{i}", f'["{i - 1}"]', None, 1) for i in range(101, 140)] + [("r", "100", '["05"]', None, 1)]
+    want, commits = ways_up(rows), spark.createDataFrame(rows, N)
+    got = gitgraph.commit_paths(commits, chunk).collect()
+    assert {(r[0], r[1]): r["path"] for r in got} == {k: w[::-1] for k, w in want.items()} and len(got) == len(want)
+    below = gitgraph.commit_descendants(commits, chunk).collect()
+    pairs = {(ns, a, o) for (ns, o), w in want.items() for a in w[1:]}
+    assert {tuple(r) for r in below} == pairs and len(below) == len(pairs)
+    counts = {(r[0], r[1]): r["descendants"] for r in gitgraph.commit_hierarchy(commits, chunk).collect() if r["descendants"] is not None}
+    assert counts and all(n == sum(p[:2] == k for p in pairs) for k, n in counts.items())
+
+
+def test_all_paths_are_a_query(spark):
+    import __spark_entry__ as e
+
+    from tests.conftest import SF
+
+    queries = e.queries()
+    index = {(r[0], r[1]): r for r in queries["p4_hierarchy"](spark, SF).collect()}
+    paths = queries["p4_paths"](spark, SF).collect()
+    assert len(paths) == len(index)
+    for r in paths:
+        placed = index[r[0], r[1]]
+        assert r["path"][-1] == r["object_id"] and (placed["tree_depth"] < 0 or (len(r["path"]) - 1, r["path"][0]) == (placed["tree_depth"], placed["root_object_id"]))
+    assert queries["p4_descendants"](spark, SF).count() == sum(len(r["path"]) - 1 for r in paths)

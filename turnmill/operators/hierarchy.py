@@ -200,8 +200,8 @@ def _index_of_chunk(key: tuple, rows: pa.Table) -> pa.Table:
             below[parent[i]] += below[i] + 1
     anchors, segments = [], []
     for i in range(len(ids)):
-        if cyclic[i]:
-            anchors.append(None)
+        if cyclic[i]:  # one link at a time, as there is no top to count from
+            anchors.append(first[i])
             segments.append([])
             continue
         way, at = [], parent[i]
@@ -217,25 +217,37 @@ def path_index(local: DataFrame, direct: DataFrame | None = None) -> DataFrame:
     """(ns, id, descendants, anchor, segment): the path of a node is that of its anchor, the anchor, the segment and the node.
 
     A segment has fewer than SEGMENT ids, so the index is linear in the nodes even where paths are long. Anchors that are no nodes
-    end a path. Nodes whose way runs into a cycle of their chunk have no anchor and no count of descendants."""
+    end a path. Nodes whose way runs into a cycle of their chunk have their parent as anchor and no count of descendants."""
     extra = _subtree_totals(local, top_links(local) if direct is None else direct)
     rows = local.select("ns", "id", "chunk", "idx", "local_parent", "off", "cyclic", "parent").join(extra, ["ns", "id"], "left")
     return rows.groupBy("chunk").applyInArrow(_index_of_chunk, _INDEX)
 
 
+def _ways(links: DataFrame) -> DataFrame:
+    """(ns, id, way) of links(ns, id, up, way): a way has the ids from a node up to the one below up; joined by doubling until there is no up or an id would come again."""
+    state = cut(links.select("ns", "id", "up", "way"))
+    while not state.where("up is not null").isEmpty():
+        on = state.select("ns", F.col("id").alias("up"), F.col("up").alias("u2"), F.col("way").alias("w2"))
+        both = F.concat("way", F.coalesce("w2", F.array().cast("array<string>")))
+        state = cut(
+            state.join(on, ["ns", "up"], "left").select("ns", "id", "u2", both.alias("both"), F.array_distinct(both).alias("way"))
+            .select("ns", "id", F.when(F.size("way") == F.size("both"), F.col("u2")).alias("up"), "way")
+        )
+    return state.select("ns", "id", "way")
+
+
 def full_paths(index: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(ns, id, path): root first, of the nodes(ns, id) that are asked for, by following anchors: depth / SEGMENT rounds."""
-    steps = index.select("ns", F.col("id").alias("at"), "anchor", "segment")
-    todo = nodes.select("ns", "id").distinct().withColumn("at", F.col("id")).withColumn("path", F.array("id"))
-    done = None
-    while True:
-        moved = cut(todo.join(steps, ["ns", "at"], "left"))
-        ended = moved.where("anchor is null").select("ns", "id", "path", F.col("segment").isNull().alias("void"))
-        ended = ended.select("ns", "id", F.when(F.col("void") & (F.size("path") > 1), F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0)))).otherwise(F.col("path")).alias("path"))
-        done = ended if done is None else done.unionByName(ended)
-        todo = moved.where("anchor is not null").select("ns", "id", F.col("anchor").alias("at"), F.concat(F.array("anchor"), F.col("segment"), F.col("path")).alias("path"))
-        if todo.isEmpty():
-            return done
+    """(ns, id, path): root first, of the nodes(ns, id) that are asked for. The anchors' paths are joined by doubling, so the rounds are the logarithm of depth / SEGMENT.
+
+    Where the way up runs into a cycle, the path begins with the last id before one would come again."""
+    hubs = index.select("ns", F.col("anchor").alias("id")).where("id is not null").distinct()
+    step = F.concat(F.array("id"), F.reverse("segment"))
+    ways = _ways(index.join(hubs, ["ns", "id"], "left_semi").select("ns", "id", F.col("anchor").alias("up"), step.alias("way")))
+    above = ways.select("ns", F.col("id").alias("anchor"), F.col("way").alias("above"))
+    none = F.array().cast("array<string>")
+    asked = nodes.select("ns", "id").distinct().join(index.select("ns", "id", "anchor", "segment"), ["ns", "id"], "left").join(above, ["ns", "anchor"], "left")
+    way = F.concat(F.array("id"), F.reverse(F.coalesce("segment", none)), F.coalesce("above", none))
+    return asked.select("ns", "id", F.reverse(F.array_distinct(way)).alias("path"))
 
 
 def descendants_of(index: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -247,4 +259,4 @@ def descendants_of(index: DataFrame, nodes: DataFrame) -> DataFrame:
         step = new.join(anchored, (new["ns"] == anchored["ns"]) & (new["descendant"] == anchored["at"])).select(new["ns"], "id", F.col("more").alias("descendant")).distinct()
         new = cut(step.join(seen, ["ns", "id", "descendant"], "left_anti"))
         seen = seen.unionByName(new)
-    return seen
+    return seen.where("id != descendant")

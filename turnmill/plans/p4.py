@@ -16,7 +16,15 @@ def hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     return gitgraph.commit_hierarchy(table(spark, folder, "git_commits"))
 
 
-QUERIES = {"p4_found": found, "p4_hierarchy": hierarchy}
+def paths(spark: SparkSession, folder: str) -> DataFrame:
+    return gitgraph.commit_paths(table(spark, folder, "git_commits"))
+
+
+def descendants(spark: SparkSession, folder: str) -> DataFrame:
+    return gitgraph.commit_descendants(table(spark, folder, "git_commits"))
+
+
+QUERIES = {"p4_found": found, "p4_hierarchy": hierarchy, "p4_paths": paths, "p4_descendants": descendants}
 _FOUND = """
 WITH RECURSIVE n AS (
   SELECT repository_id AS r, lower(object_id) AS o,
