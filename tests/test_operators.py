@@ -144,3 +144,18 @@ def test_evidence(spark):
     assert got == {"a": (2, "weak", ["x", "y"], 0), "b": (1, "direct", ["x"], 1), "c": (1, None, [], 1), "d": (1, None, [], 0)}
     rng = ev.record_range(spark.createDataFrame([("s", i) for i in range(5)], "s string, n int"), "s", ["n"], 2, -2)
     assert sorted(r["n"] for r in rng.collect()) == [1, 2, 3]
+
+
+def test_fielded_search(spark):
+    other = [(i, "nothing here") for i in range(10, 20)]
+    docs = spark.createDataFrame([(1, "数据库 快照"), (2, "größe der datei"), (3, "run `cursor_x` now"), (4, "cursor x now then"), (None, "cursor"), (5, None), (6, "gro e"), *other], "d bigint, t string")
+    found = lambda q: [r["d"] for r in search.fielded_search(docs, "d", "t", q, q).collect()]
+    assert found("数据库") == [1] and found("Größe") == [2] and found("absent") == []
+    assert found("cursor") == [4, 3] and set(found("cursor_x")) == {3, 4}
+
+
+def test_field_weights(spark):
+    post = spark.createDataFrame([(1, "natural", "a", 1), (1, "code", "a", 1), (2, "code", "a", 1), (3, "natural", "b", 2)], "d int, field string, term string, tf bigint")
+    got = {r["d"]: r["score_ppm"] for r in search.bm25(post, [("natural", "a"), ("code", "a")], "d").collect()}
+    part = lambda w, df, n: math.log(1 + (3 - df + 0.5) / (df + 0.5)) * w * 2.2 / (w + 1.2 * (0.25 + 0.75 * n / (5 / 3)))
+    assert got == {1: round((part(8, 1, 2) + part(4, 2, 2)) * 1e6), 2: round(part(4, 2, 1) * 1e6)}

@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnmill.session import cut
+
 # Budgets of the analyzer per field, BM25 constants and field weights, rerank weights.
 BUDGETS = {"natural": (6144, 3072), "code": (2048, 1024), "capability": (192, 192)}
 QUERY_TERMS, LONG_TERM = 192, 256
 K1, B = 1.2, 0.75
-WEIGHTS = {"capability": 8.0, "code": 4.0, "natural": 2.0}
+WEIGHTS = {"natural": 8.0, "code": 4.0, "capability": 2.0}
 RANK_WEIGHT, IDF_WEIGHT, EXACT_WEIGHT, RANK_SHIFT = 0.45, 0.40, 0.15, 60
 
 _CJK = "぀-ヿ㐀-䶿一-鿿가-힣"
@@ -97,6 +99,30 @@ def postings(documents: DataFrame, doc: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"{doc} {rows.schema[doc].dataType.simpleString()}, field string, term string, tf bigint")
 
 
+def matches(documents: DataFrame, doc: str, text: str, terms: list[tuple[str, str]]) -> DataFrame:
+    """(doc, length, hits) of every document that has terms: their number over all fields, and (field, term, tf) of those of the (field, term) asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = set(terms)
+        for batch in batches:
+            docs, lengths, hits = [], [], []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = analyze(t)
+                if own:
+                    counts: dict[tuple[str, str], int] = {}
+                    for ft in own:
+                        if ft in wanted:
+                            counts[ft] = counts.get(ft, 0) + 1
+                    docs.append(d)
+                    lengths.append(len(own))
+                    hits.append([{"field": f, "term": term, "tf": n} for (f, term), n in counts.items()])
+            kind = pa.list_(pa.struct([("field", pa.string()), ("term", pa.string()), ("tf", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(lengths, pa.int64()), pa.array(hits, kind)], names=[doc, "length", "hits"])
+
+    rows = documents.where(F.col(doc).isNotNull()).select(doc, text)
+    return rows.mapInArrow(run, f"{doc} {rows.schema[doc].dataType.simpleString()}, length bigint, hits array<struct<field: string, term: string, tf: bigint>>")
+
+
 def ascii_postings(documents: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, term, tf) of the words [a-z0-9]+ of a text: all in the JVM."""
     words = documents.where(F.col(doc).isNotNull()).select(doc, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)).alias("term"))
@@ -129,34 +155,56 @@ def selected_terms(frequencies: list[tuple[str, str, int]], n: int, most: int =
     return sorted(good, key=lambda f: (f[2], rank.get(f[0], 3), order[f]))[:most]
 
 
-def bm25(post: DataFrame, terms: list[str], doc: str, top: int = 300, lengths: DataFrame | None = None) -> DataFrame:
+def _of_terms(post: DataFrame, terms: list) -> tuple[DataFrame, list[str]]:
+    """The postings of the terms, and their key columns: the terms are (field, term) where the postings have fields."""
+    if "field" not in post.columns:
+        return post.where(F.col("term").isin(terms)), ["term"]
+    return post.where(F.concat_ws(" ", "field", "term").isin([f"{f} {t}" for f, t in terms])), ["field", "term"]
+
+
+def bm25(post: DataFrame, terms: list, doc: str, top: int = 300, lengths: DataFrame | None = None) -> DataFrame:
     """(doc, score_ppm, rank) of the best documents for OR-ed terms; ties by document. Only postings of the terms and one length a document are read.
 
+    Postings with fields: terms are (field, term), the frequency counts WEIGHTS times and the length is that of all fields.
     lengths: (doc, length), where they are known more cheaply than by adding up all postings."""
     lengths = post.groupBy(doc).agg(F.sum("tf").alias("_len")) if lengths is None else lengths.select(doc, F.col("length").alias("_len"))
     n, mean = lengths.agg(F.count(F.lit(1)), F.avg("_len")).first()
-    hits = post.where(F.col("term").isin(terms))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))  # at most one row a query term
-    scored = hits.join(F.broadcast(df), "term").join(lengths, doc)
+    hits, keys = _of_terms(post, terms)
+    df = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("_df"))  # at most one row a query term
+    scored = hits.join(F.broadcast(df), keys).join(lengths, doc)
+    tf = F.col("tf")
+    if "field" in keys:
+        tf = tf * F.element_at(F.create_map(*(F.lit(x) for w in WEIGHTS.items() for x in w)), F.col("field"))
     weight = F.log(1 + (F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.lit(mean or 1.0)))
+    part = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.lit(mean or 1.0)))
     ppm = F.round(F.sum(part) * 1_000_000).cast("bigint")
     best = scored.groupBy(doc).agg(ppm.alias("score_ppm")).orderBy(F.desc("score_ppm"), doc).limit(top)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score_ppm"), doc)))  # over at most `top` rows
 
 
-def rerank(ranked: DataFrame, post: DataFrame, documents: DataFrame, doc: str, text: str, terms: list[str], phrase: str, top: int = 200) -> DataFrame:
-    """(doc, relevance_ppm): rank, share of idf matched and whether the phrase occurs, for the first `top` of a ranking."""
+def rerank(ranked: DataFrame, post: DataFrame, documents: DataFrame, doc: str, text: str, terms: list, phrase: str, top: int = 200) -> DataFrame:
+    """(doc, relevance_ppm): rank, share of idf matched and whether the phrase occurs, for the first `top` of a ranking. Terms as in bm25."""
     n = documents.where(F.col(doc).isNotNull()).count()
-    df = post.where(F.col("term").isin(terms)).groupBy("term").agg(idf(F.lit(n), F.count(F.lit(1))).alias("_idf"))
+    hits, keys = _of_terms(post, terms)
+    df = hits.groupBy(*keys).agg(idf(F.lit(n), F.count(F.lit(1))).alias("_idf"))
     total = df.agg(F.sum("_idf")).first()[0] or 1.0
     first = F.broadcast(ranked.where(F.col("rank") <= top))  # at most `top` rows
-    matched = post.where(F.col("term").isin(terms)).join(first, doc).join(F.broadcast(df), "term").groupBy(doc).agg(F.sum("_idf").alias("_matched"))
+    matched = hits.join(first, doc).join(F.broadcast(df), keys).groupBy(doc).agg(F.sum("_idf").alias("_matched"))
     exact = documents.select(doc, F.contains(F.lower(text), F.lit(phrase.lower())).cast("int").alias("_exact")).join(first, doc)
     score = RANK_WEIGHT * (RANK_SHIFT + 1) / (RANK_SHIFT + F.col("rank")) + IDF_WEIGHT * F.col("_matched") / F.lit(total) + EXACT_WEIGHT * F.col("_exact")
     return exact.join(matched, doc).select(doc, F.round(score * 1_000_000).cast("bigint").alias("relevance_ppm")).orderBy(F.desc("relevance_ppm"), doc)
 
 
+def fielded_search(documents: DataFrame, doc: str, text: str, query: str, phrase: str) -> DataFrame:
+    """(doc, relevance_ppm) of the best documents for a query over all fields of the full analyzer. One pass of the analyzer over the texts."""
+    asked = query_terms(query)
+    found = cut(matches(documents, doc, text, asked))
+    post = found.select(doc, F.inline("hits"))
+    df = {(r["field"], r["term"]): r["df"] for r in document_frequency(post).collect()}  # at most one row a query term
+    terms = [(f, t) for f, t, _ in selected_terms([(f, t, df.get((f, t), 0)) for f, t in asked], documents.where(F.col(doc).isNotNull()).count())]
+    return rerank(bm25(post, terms, doc, lengths=found), post, documents, doc, text, terms, phrase)
+
+
 def fuse(lists: list[DataFrame], doc: str, k: int = RANK_SHIFT) -> DataFrame:
     """Reciprocal rank fusion of (doc, rank) lists: (doc, rrf_ppm), best first."""
     rows = lists[0].select(doc, "rank")
