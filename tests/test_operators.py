@@ -159,3 +159,14 @@ def test_field_weights(spark):
     got = {r["d"]: r["score_ppm"] for r in search.bm25(post, [("natural", "a"), ("code", "a")], "d").collect()}
     part = lambda w, df, n: math.log(1 + (3 - df + 0.5) / (df + 0.5)) * w * 2.2 / (w + 1.2 * (0.25 + 0.75 * n / (5 / 3)))
     assert got == {1: round((part(8, 1, 2) + part(4, 2, 2)) * 1e6), 2: round(part(4, 2, 1) * 1e6)}
+
+
+def test_postings_have_all_terms_of_long_texts(spark):
+    words = [f"w{i}" for i in range(7000)]
+    docs = spark.createDataFrame([(1, " ".join([*words, *words])), (2, "w6999 " + "x" * 300), (3, " ".join(f"`a_{i}b`" for i in range(3000)))], "d bigint, t string")
+    got = {(r["d"], r["field"], r["term"]): r["tf"] for r in search.postings(docs, "d", "t").collect()}
+    assert {t: n for (d, f, t), n in got.items() if (d, f) == (1, "natural")} == dict.fromkeys(words, 2)
+    assert all(got[3, "code", f"a_{i}b"] == 1 for i in range(3000))
+    df = {(r["field"], r["term"]): r["df"] for r in search.document_frequency(search.postings(docs, "d", "t")).collect()}
+    assert df["natural", "w6999"] == 2
+    assert search.fielded_search(docs, "d", "t", "w3500", "w3500").count() == 1 and search.fielded_search(docs, "d", "t", "x" * 300, "x").count() == 1

@@ -27,15 +27,20 @@ _STRONG = re.compile(r"[A-Za-z_][\w]*(?:(?:::|[./\\#@:-])[\w]+)+|[a-z]+(?:[A-Z][
 _SPLIT = re.compile(r"[./\\_:#@-]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
+def _stored(term: str) -> str:
+    """The term as it is kept: long ones hashed."""
+    return term if len(term.encode()) <= LONG_TERM else "h:" + hashlib.sha256(term.encode()).hexdigest()
+
+
 def _bounded(terms: list[str], field: str) -> list[str]:
-    """Terms inside the field's budgets of all and of distinct terms, taken in turn from the head and the tail; long ones hashed."""
+    """Terms inside the field's budgets: head and tail of all terms, and of these the first distinct ones; long ones hashed."""
     total, distinct = BUDGETS[field]
     if len(terms) > total:
         half = total // 2
         terms = terms[: total - half] + terms[-half:]
     out, seen = [], set()
     for t in terms:
-        t = t if len(t.encode()) <= LONG_TERM else "h:" + hashlib.sha256(t.encode()).hexdigest()
+        t = _stored(t)
         if t in seen or len(seen) < distinct:
             seen.add(t)
             out.append(t)
@@ -64,29 +69,37 @@ def code_terms(text: str) -> list[str]:
     return out
 
 
+def _fields(text: str | None, capabilities: list[str] | None = None) -> dict[str, list[str]]:
+    return {"natural": natural_terms(text or ""), "code": code_terms(text or ""), "capability": [c.lower() for c in capabilities or []]}
+
+
 def analyze(text: str | None, capabilities: list[str] | None = None) -> list[tuple[str, str]]:
     """(field, term) of a document inside the budgets. Null has none."""
-    fields = {"natural": natural_terms(text or ""), "code": code_terms(text or ""), "capability": [c.lower() for c in capabilities or []]}
-    return [(f, t) for f, terms in fields.items() for t in _bounded(terms, f)]
+    return [(f, t) for f, terms in _fields(text, capabilities).items() for t in _bounded(terms, f)]
+
+
+def all_terms(text: str | None) -> list[tuple[str, str]]:
+    """(field, term) of a document, however long it is. Null has none."""
+    return [(f, _stored(t)) for f, terms in _fields(text).items() for t in terms]
 
 
 def query_terms(text: str) -> list[tuple[str, str]]:
     """Distinct (field, term) of a query; ValueError if it has fewer than two searchable characters."""
     if sum(c.isalnum() for c in text) < 2:
         raise ValueError("query too broad")
-    terms = list(dict.fromkeys([*(("natural", t) for t in natural_terms(text)), *(("code", t) for t in code_terms(text))]))[:QUERY_TERMS]
+    terms = list(dict.fromkeys(all_terms(text)))[:QUERY_TERMS]
     return list(dict.fromkeys([*terms, *(("capability", t) for _, t in terms)]))
 
 
 def postings(documents: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, field, term, tf) by the full analyzer, in Arrow batches. Rows without id are out; null and empty texts have no postings."""
+    """(doc, field, term, tf) of all terms by the full analyzer, in Arrow batches. Rows without id are out; null and empty texts have no postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, fields, terms, tfs = [], [], [], []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts: dict[tuple[str, str], int] = {}
-                for ft in analyze(t):
+                for ft in all_terms(t):
                     counts[ft] = counts.get(ft, 0) + 1
                 for (f, term), n in counts.items():
                     docs.append(d)
@@ -107,7 +120,7 @@ def matches(documents: DataFrame, doc: str, text: str, terms: list[tuple[str, st
         for batch in batches:
             docs, lengths, hits = [], [], []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = analyze(t)
+                own = all_terms(t)
                 if own:
                     counts: dict[tuple[str, str], int] = {}
                     for ft in own:
