@@ -93,3 +93,14 @@ def test_fold_is_commutative_idempotent_and_keeps_tombstones(spark):
     assert {tuple(r) for r in cf.current(whole, ["k"], ["v"]).collect()} == {("j", "m"), (None, "z")}
     late = spark.createDataFrame([("k", 2, cf.UPSERT, "late")], "k string, seq int, op int, v string")
     assert cf.current(cf.fold(late, ["k"], ["seq"], ["v"], base=whole), ["k"], ["v"]).where(F.col("k") == "k").isEmpty()
+
+
+@pytest.mark.parametrize("chunk", [4096, 3, 1])
+def test_a_chain_ends_where_a_delta_comes_again(spark, monkeypatch, chunk):
+    monkeypatch.setattr(cf, "CHUNK", chunk)
+    line = lambda s, at, d, mode="append", keys=None: (s, str(at + 1), str(at), d, mode, keys, T0, 0)
+    commits = [line("a", 0, "d0"), line("a", 1, "d1"), line("a", 2, "d0"), line("a", 3, "d2", "replace-session"), line("a", 4, "d3")]
+    commits += [line("b", 0, "e0"), line("b", 1, "e1", "replace-session"), *(line("b", k, f"e{k}") for k in range(2, 7)), line("b", 7, "e3"), line("b", 8, "e8", "replace-session"), line("b", 9, "e9", "append", ["t4"])]
+    upserts = [("a", f"d{k}", 0, f"t{k}", f"r{k}", "x") for k in range(4)] + [("b", f"e{k}", 0, f"t{k}", f"r{k}", "x") for k in range(10)]
+    want = brute(commits, upserts)
+    assert {w[1] for w in want} == {"t0", "t1", "t2", "t3", "t4", "t5", "t6"} and held(spark, commits, upserts) == want

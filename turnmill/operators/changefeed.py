@@ -92,8 +92,10 @@ def _walk(links: dict, start: str) -> Iterator[dict]:
         at = links[at]["target"]
 
 
-def _applied_kernel(stream: str):
-    """Rows of applied deltas from chunk rows with `entries` (where the chain enters, and its rank there)."""
+def _applied_kernel(stream: str, whole: bool = True):
+    """Rows of applied deltas from chunk rows with `entries` (where the chain enters, and its rank there).
+
+    A delta applies once, so the chain ends where it meets one again. If a row is not the whole stream, that second row is given too, for `_ended`."""
     schema = pa.schema([(stream, pa.string()), ("delta_id", pa.string()), ("rank", pa.int64()), ("floor", pa.int64()), ("replaces", pa.bool_()), ("turn_keys", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,13 +106,14 @@ def _applied_kernel(stream: str):
                 for entry in row["entries"]:
                     steps = list(_walk(links, entry["at"]))
                     ranks = range(entry["rank"], entry["rank"] + len(steps))
-                    floor = max((r for r, x in zip(ranks, steps, strict=True) if x["replaces"]), default=0)
                     done: set[str] = set()
-                    for r, x in zip(ranks, steps, strict=True):
-                        if x["delta_id"] in done:  # a delta applies once, so the chain ends
+                    for n, x in enumerate(steps):
+                        if x["delta_id"] in done:
+                            steps = steps[: n + (not whole)]
                             break
                         done.add(x["delta_id"])
-                        out.append((row[stream], x["delta_id"], r, floor, x["replaces"], x["turn_keys"]))
+                    floor = max((r for r, x in zip(ranks, steps, strict=False) if x["replaces"]), default=0)
+                    out += [(row[stream], x["delta_id"], r, floor, x["replaces"], x["turn_keys"]) for r, x in zip(ranks, steps, strict=False)]
             columns = list(zip(*out, strict=True)) if out else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -165,11 +168,18 @@ def _entries_of_long_streams(chunks: DataFrame, stream: str) -> DataFrame:
     return reached.withColumn("chunk", _chunk(F.col("at").cast("decimal(38,0)"))).groupBy(stream, "chunk").agg(F.collect_list(F.struct("at", "rank")).alias("entries"))
 
 
+def _ended(walked: DataFrame, stream: str) -> DataFrame:
+    """The rows of chains walked in chunks up to where each chain first meets a delta again."""
+    firsts = walked.groupBy(stream, "delta_id").agg(F.min("rank").alias("first"))
+    ends = walked.join(firsts, [stream, "delta_id"]).where(F.col("rank") > F.col("first")).groupBy(stream).agg(F.min("rank").alias("end"))
+    return walked.join(ends, stream, "left").where(F.col("end").isNull() | (F.col("rank") < F.col("end"))).drop("end")
+
+
 def applied_deltas(deliveries: DataFrame, stream: str = "session_key") -> DataFrame:
     """Deltas that apply: (stream, delta_id, rank, turn_keys, floor).
 
     A delta applies only if its expected generation is the one reached so far, from 0; of several
-    deltas that expect the same one the first received applies (ties: least delta_id), each at most once.
+    deltas that expect the same one the first received applies (ties: least delta_id), each at most once: where one comes again the chain ends.
     rank counts the applied deltas of a stream from 0. floor is the rank of the last delta that replaces
     the whole stream (0 if none): changes of lower rank no longer matter. Null or non-numeric generations,
     null streams and null delta ids never apply; a null received_at counts as the latest. Empty in, empty out.
@@ -184,8 +194,8 @@ def applied_deltas(deliveries: DataFrame, stream: str = "session_key") -> DataFr
         return chunks.where("chunk = 0").withColumn("entries", first).mapInArrow(kernel, schema).drop("replaces")
     long_streams = chunks.where("chunk > 0").select(stream).distinct()
     short = chunks.where("chunk = 0").join(long_streams, stream, "left_anti").withColumn("entries", first).mapInArrow(kernel, schema)
-    walked = chunks.join(_entries_of_long_streams(chunks, stream), [stream, "chunk"]).mapInArrow(kernel, schema)
-    ranked = cut(walked.groupBy(stream, "delta_id").agg(F.min("rank").alias("rank"), F.bool_or("replaces").alias("replaces"), F.first("turn_keys").alias("turn_keys")))
+    walked = cut(chunks.join(_entries_of_long_streams(chunks, stream), [stream, "chunk"]).mapInArrow(_applied_kernel(stream, whole=False)[0], schema))
+    ranked = cut(_ended(walked, stream).drop("floor"))
     floors = ranked.groupBy(stream).agg(F.coalesce(F.max(F.when(F.col("replaces"), F.col("rank"))), F.lit(0)).alias("floor"))
     return short.drop("replaces").unionByName(ranked.drop("replaces").join(floors, stream))
 
