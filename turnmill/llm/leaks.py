@@ -25,6 +25,8 @@ from turnmill.llm.words import word_hash, words
 SPAN = 12
 #: Masks over SPAN words; 1 is compared, 0 is free.
 MASKS = ("111011011011", "110110111101", "101111001111")
+#: Neighbouring words that may be replaced in an overlap: the widest zeros of a mask.
+GAP = max(len(zeros) for mask in MASKS for zeros in mask.split("1"))
 #: Words of all passages of one block (8 bytes each and mask; 1 MB in all per 32,000).
 BLOCK = 400_000
 
@@ -82,7 +84,7 @@ class Passages:
     def overlaps(self, hashes: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item id, longest exact run, longest run with substitutions, substitutions in it) of each item that is hit."""
         here, there = self.hits(hashes)
-        best: dict[int, tuple[int, int, int]] = {}
+        best: dict[int, tuple[int, tuple[int, int]]] = {}  # the longest exact run and the longest joined one may lie on different diagonals
         for d, item in np.unique(np.stack([there - here, self.owner[there]]), axis=1).T if len(here) else ():
             low, high = max(0, self.start[item] - d), min(len(hashes), self.start[item + 1] - d)
             same = hashes[low:high] == self.words[low + d : high + d]
@@ -91,19 +93,20 @@ class Passages:
             if not len(begin):
                 continue
             length = end - begin
-            # Equal stretches of 2 words or more join over a gap of one replaced word.
+            # Equal stretches of 2 words or more join over a gap of at most GAP replaced words.
             stretch = length >= 2
             b, e = begin[stretch], end[stretch]
             joined, swaps = 0, 0
             if len(b):
-                new = np.concatenate(([True], b[1:] - e[:-1] > 1))
+                new = np.concatenate(([True], b[1:] - e[:-1] > GAP))
                 group = np.cumsum(new) - 1
                 first, last = b[new], np.concatenate((e[:-1][new[1:]], e[-1:]))
-                k = int(np.argmax(last - first))
-                joined, swaps = int(last[k] - first[k]), int((group == k).sum() - 1)
-            old = best.get(item, (0, 0, 0))
-            best[item] = max(old, (int(length.max()), joined, -swaps))
-        return [(int(self.ids[i]), a, b, -c) for i, (a, b, c) in best.items()]
+                replaced = (last - first) - np.bincount(group, (e - b)).astype(np.int64)
+                k = int(np.lexsort((replaced, first - last))[0])
+                joined, swaps = int(last[k] - first[k]), int(replaced[k])
+            exact, run = best.get(item, (0, (0, 0)))
+            best[item] = max(exact, int(length.max())), max(run, (joined, -swaps))
+        return [(int(self.ids[i]), exact, n, -swaps) for i, (exact, (n, swaps)) in best.items()]
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("exact_words", pa.int64()), ("overlap_words", pa.int64()), ("substitutions", pa.int64())])
@@ -134,8 +137,8 @@ def _scan(block: list[tuple[int, str | None]]):
 def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, exact_words, overlap_words, substitutions) of every text that overlaps a passage.
 
-    exact_words: the longest run of consecutive equal words; overlap_words: the longest run in which single
-    words may be replaced, substitutions of them. Pairs appear whose windows of SPAN words meet under a mask:
+    exact_words: the longest run of consecutive equal words; overlap_words: the longest run in which up to GAP neighbouring
+    words may be replaced between equal ones, substitutions of them; the two may lie in different places of the text. Pairs appear whose windows of SPAN words meet under a mask:
     all with 12 equal words in a row, and those whose differences lie under a mask's zeros.
     Words are compared in lower case, without punctuation, markup and white space. Rows without id are dropped;
     null, empty or short texts and passages never match; repeated rows give one row.
