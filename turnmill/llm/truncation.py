@@ -5,7 +5,8 @@ blocks, marks of a cut, and its length against the limits of its source. Positiv
 at a limit or at a random place, some with a mark behind; negatives are the same texts as they are. A few of
 those are cut themselves: what a first fit is sure about is left out of the second.
 
-The fit uses a bounded sample (SAMPLE texts, by hash of the id); limits and scores cover all rows.
+The fit uses a bounded sample (SAMPLE texts, by hash of the id), each of them whole: its examples are made where the texts
+lie, and only the numbers of their features come to the driver. Limits and scores cover all rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts that the model is fitted on, at most; of each its last SAMPLE_CHARS characters.
-SAMPLE, SAMPLE_CHARS = 6000, 20_000
+#: Texts that the model is fitted on, at most.
+SAMPLE = 6000
 DIM = 1 << 18
 THRESHOLD = 0.5
 #: A length is a limit if at least SPIKE times as many texts have it as one of the lengths around it would have, and at least SPIKE_LEAST.
@@ -149,24 +150,27 @@ def cut_somewhere(text: str, rng: random.Random, bounds: list[int]) -> str | Non
 def fit(sample: list[tuple], known: Limits, seed: int = 7, epochs: int = 6) -> np.ndarray:
     """Weights from (text, source) rows, by AdaGrad in two fits."""
     rng = random.Random(seed)
-    rows, labels, free = [], [], []
-    for text, source in sample:
-        size = len(text.encode())
-        near = known.near(source, len(text), size)
-        rows.append(_row(text, near))
-        labels.append(0)
-        free.append(near[0] or near[1])
-        chars = sorted(known.by.get(source, (frozenset(), frozenset()))[0])
-        for _ in range(2):
-            head = cut_somewhere(text, rng, chars)
-            if head is not None:
-                rows.append(_row(head, known.near(source, len(head), len(head.encode()))))
-                labels.append(1)
-                free.append(False)
+    return learn([e for text, source in sample for e in examples(text, source, known, rng)], seed, epochs)
+
+
+def examples(text: str, source: str | None, known: Limits, rng: random.Random) -> list[tuple[np.ndarray, int, bool]]:
+    """(features, label, whether it ends at a limit) of a whole text and of up to two artificial cuts of it."""
+    near = known.near(source, len(text), len(text.encode()))
+    out = [(_row(text, near), 0, near[0] or near[1])]
+    chars = sorted(known.by.get(source, (frozenset(), frozenset()))[0])
+    for _ in range(2):
+        head = cut_somewhere(text, rng, chars)
+        if head is not None:
+            out.append((_row(head, known.near(source, len(head), len(head.encode()))), 1, False))
+    return out
+
+
+def learn(rows: list[tuple[np.ndarray, int, bool]], seed: int = 7, epochs: int = 6) -> np.ndarray:
+    """Weights from examples, by AdaGrad in two fits."""
     if not rows:
         return np.zeros(DIM)
-    x, y = np.stack(rows), np.array(labels, float)
-    keep = ~np.array(free)  # whole or not, what ends at a limit is no safe negative
+    x, y = np.stack([r for r, _, _ in rows]).astype(np.int64), np.array([label for _, label, _ in rows], float)
+    keep = ~np.array([free for _, _, free in rows])  # whole or not, what ends at a limit is no safe negative
 
     def run(use: np.ndarray) -> np.ndarray:
         w, g = np.zeros(DIM), np.full(DIM, 1e-2)
@@ -187,6 +191,31 @@ def fit(sample: list[tuple], known: Limits, seed: int = 7, epochs: int = 6) -> n
     return run(np.flatnonzero(keep & ~doubtful))
 
 
+def _examples(known: Limits):
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("x", pa.list_(pa.int32())), ("label", pa.int32()), ("free", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for h, text, source in zip(*(batch[c].to_pylist() for c in ("h", "text", "source")), strict=True):
+                out += [(h, n, x.astype(np.int32), label, free) for n, (x, label, free) in enumerate(examples(text, source, known, random.Random(h)))]
+            columns = list(zip(*out, strict=True)) if out else [[] for _ in schema]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def training_examples(documents: DataFrame, known: Limits, sample: int = SAMPLE, seed: int = 7) -> list[tuple[np.ndarray, int, bool]]:
+    """The examples of at most `sample` texts, those of least hash, each made from the whole text; repeated rows count once."""
+    rows = documents.where("text is not null and trim(text) != ''").select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), "text", "source")
+    hashes = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(sample).collect()]  # at most `sample` numbers
+    if not hashes:
+        return []
+    made = rows.where(F.col("h") <= hashes[-1]).mapInArrow(_examples(known), "h bigint, n int, x array<int>, label int, free boolean").collect()
+    one = {(r["h"], r["n"]): r for r in sorted(made, key=lambda r: (r["h"], r["n"], r["x"]))}
+    return [(np.array(r["x"]), r["label"], r["free"]) for r in one.values()]
+
+
 def _score(weights: np.ndarray, known: Limits):
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("score", pa.float64())])
     held = np.flatnonzero(weights)
@@ -213,13 +242,7 @@ def scored(documents: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFra
     if len(rows) > LIMIT_ROWS:
         raise ValueError(f"more than {LIMIT_ROWS} length limits: source isn't a field with few values")
     known = Limits(rows)
-    picked = (
-        documents.where("text is not null and trim(text) != ''")
-        .select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), F.expr(f"right(text, {SAMPLE_CHARS})").alias("text"), "source")
-        .orderBy("h", "text")
-        .limit(sample)
-    )
-    weights = fit([(r["text"], r["source"]) for r in picked.collect()], known, seed)
+    weights = learn(training_examples(documents, known, sample, seed), seed)
     out = documents.select("doc_id", "source", "text").mapInArrow(_score(weights, known), "doc_id bigint, source string, score double")
     return out.withColumn("is_cut", F.col("score") >= THRESHOLD)
 
