@@ -44,3 +44,15 @@ def test_released():
     got = cv.released(0, {"1": [["b", "a"]], "0": [["a", "u"]], "2": [["c", "s-"]]})
     assert [m["entry_id"] for m in got["messages"]] == ["a", "b"] and (got["entries"], got["low"], got["high"], got["broken"], got["unanswered"]) == (3, 0, 2, False, False)
     assert cv.released(0, {"0": [["a", "u"], ["b", "u"]]})["broken"] and cv.released(-1, {"-1": [["a", "u"]]})["broken"]
+
+
+def test_missing_entry_ids_and_an_empty_session_key_are_kept(spark, tmp_path):
+    from turnmill.llm import queries
+
+    rows = talk("", U, A) + [(s, None if n == 1 else e, n, *x) for s, e, n, *x in talk("null", U, A, U, A)]
+    spark.createDataFrame(rows, S).repartition(2).write.parquet(str(tmp_path / "session_messages.parquet"))
+    want = {("", 1, "0"), ("", 2, "1"), ("null", 1, "null0"), ("null", 2, ""), ("null", 3, "null2"), ("null", 4, "null3")}
+    for query in (queries.p5_found, queries.p5_conversations):
+        got = query(spark, str(tmp_path)).collect()
+        assert {(r["session_key"], r["msg_index"], r["entry_id"]) for r in got} == want and len(got) == len(want)
+    assert all(r["markdown"] in ("hi", "yes") for r in got)

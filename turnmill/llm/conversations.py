@@ -22,6 +22,8 @@ from turnmill.session import fresh_dir
 
 #: Sequence numbers of one block of state.
 BLOCK = 1024
+#: The block of the closing mark, which no sequence number falls into.
+CLOSE = -(2**63)
 #: How late a delivery may be before the watermark drops it, and how long a block waits for another delivery.
 LATENESS, IDLE_MS = "30 days", 60 * 60 * 1000
 
@@ -80,7 +82,7 @@ def _buffer(idle_ms: int):
         held = json.loads(state.get[0]) if state.exists else {}
         if state.hasTimedOut:
             state.remove()
-            if session != "":
+            if block != CLOSE:
                 yield pd.DataFrame({"session_key": [session], "block": [block], "released": [json.dumps(released(block, held))]})
             return
         last = state.getCurrentWatermarkMs()
@@ -118,7 +120,7 @@ def stream_blocks(stream: DataFrame, sink: str, checkpoint: str, lateness: str =
 def _closing(spark: SparkSession, folder: str) -> None:
     """Closes a feed: one row far in the future, behind which no block still waits."""
     mark = spark.range(1, numPartitions=1).select(
-        F.lit("").alias("session_key"), F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("seq_no"), F.lit("").alias("entry_id"), F.lit("e").alias("code"), F.lit("2250-01-01 00:00:00").cast("timestamp").alias("at")
+        F.lit("").alias("session_key"), F.lit(CLOSE).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("seq_no"), F.lit("").alias("entry_id"), F.lit("e").alias("code"), F.lit("2250-01-01 00:00:00").cast("timestamp").alias("at")
     )
     mark.write.mode("append").parquet(folder)
 
@@ -167,7 +169,7 @@ def conversations(blocks_released: DataFrame) -> DataFrame:
     left out if its numbers don't run from 0 without hole or two entry ids share one, a message's role isn't plainly
     user, assistant or system (blank messages included), it has no user message, an assistant message comes before the first
     user message, or a user message isn't followed by an assistant message before the next one or the end.
-    Repeated rows count once; null sequence numbers break a conversation; rows without session_key are dropped.
+    Repeated rows count once; null sequence numbers break a conversation; a null entry_id counts as an empty one; rows without session_key are dropped.
     """
     line = Window.partitionBy("session_key").orderBy("block")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
