@@ -3,9 +3,10 @@
 A hashed logistic regression over the way a text ends: its closing characters, punctuation and words, open code
 blocks, marks of a cut, and its length against the limits of its source. Positives are made by cutting whole texts,
 at a limit or at a random place, some with a mark behind; negatives are the same texts as they are. A few of
-those are cut themselves: what a first fit is sure about is left out of the second.
+those are cut themselves: a first fit, which sees endings but no limits and no text that ends at one, tells which. Those it is
+sure about are left out of the second fit, which sees all features; whole texts that happen to end at a limit stay in as negatives.
 
-The fit uses a bounded sample (SAMPLE texts, by hash of the id), each of them whole: its examples are made where the texts
+The fit uses a bounded sample (about SAMPLE texts, by hash), each of them whole: its examples are made where the texts
 lie, and only the numbers of their features come to the driver. Limits and scores cover all rows.
 """
 
@@ -19,15 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Texts that the model is fitted on, at most.
+from turnmill.session import cut
+
+#: Texts that the model is fitted on: those whose hash is in the share of all hashes that gives so many of the rows there are.
 SAMPLE = 6000
 DIM = 1 << 18
 THRESHOLD = 0.5
-#: A length is a limit if at least SPIKE times as many texts have it as one of the lengths around it would have, and at least SPIKE_LEAST.
-SPIKE, SPIKE_LEAST = 8.0, 5
+#: A length is a limit of a source if HAZARD of the distinct texts at least that long have just that length, SPIKE times as many as have any
+#: length near it on average and STEEP times as many as have any one of these, and SPIKE_LEAST of them.
+HAZARD, SPIKE, STEEP, SPIKE_LEAST = 0.03, 6.0, 3.0, 5
+#: How far lengths are near: at most NEAR away. Lengths in bytes may stay below a limit by up to SLACK, which don't count as near there.
+NEAR, SLACK = 12, 3
+#: The features of a text that tell of limits; they are the last of features().
+LIMIT_FEATURES = 3
 
 #: Limits of all sources that may be held in memory.
 LIMIT_ROWS = 1_000_000
@@ -62,11 +70,10 @@ def features(text: str, near: tuple[bool, bool, float]) -> list[str]:
     body = text[: mark.start()] if mark else text
     blank = body[len(body.rstrip()) :]
     body = body.rstrip()
-    tail = body[-600:]
     fences = len(_FENCE.findall(body))
-    line = tail[tail.rfind("\n") + 1 :]
+    line = body[body.rfind("\n") + 1 :]
     inside = fences % 2 == 1
-    tokens = _TOKEN.findall(line[-160:])
+    tokens = _TOKEN.findall(line)
     last = tokens[-1] if tokens else ""
     end = body[-1:] or "none"
     kind = "code" if inside else _line_kind(line)
@@ -84,7 +91,7 @@ def features(text: str, near: tuple[bool, bool, float]) -> list[str]:
         f"suffix={word[-3:].lower()}|{kind}", f"suffix4={word[-4:].lower()}", f"word={word.lower()}|{kind}", f"glued={glued}|{_shape(last) if last else ''}",
         f"earlier={earlier}|{end in _TERMINAL}|{kind}", f"n={min(n, 12)}|{kind}|{end in _TERMINAL}", f"first={since.split()[0].lower() if since.split() else ''}|{end in _TERMINAL}",
         f"open={max(-1, min(opens, 2))}|{ticks}|{end in _TERMINAL}", f"blank={blank[:1]!r}|{end in _TERMINAL}", f"dash={word.endswith('-') and len(word) > 1}",
-        f"limit={near[0]}|{near[1]}", f"limit|end={near[0] or near[1]}|{end in _TERMINAL}", f"ratio={min(20, int(near[2] * 10))}", f"short={min(12, int(math.log2(len(body) + 1)))}|{end in _TERMINAL}",
+        f"short={min(12, int(math.log2(len(body) + 1)))}|{end in _TERMINAL}", f"limit={near[0]}|{near[1]}", f"limit|end={near[0] or near[1]}|{end in _TERMINAL}", f"ratio={min(20, int(near[2] * 10))}",
     ]
     return out
 
@@ -94,7 +101,7 @@ def _row(text: str, near: tuple[bool, bool, float]) -> np.ndarray:
 
 
 class Limits:
-    """Lengths that too many texts of a source share: {source: {unit: lengths}}."""
+    """Lengths at which texts of a source are cut: {source: {unit: lengths}}."""
 
     def __init__(self, rows: list[tuple]):
         self.by: dict[str | None, tuple[frozenset, frozenset]] = {}
@@ -105,26 +112,35 @@ class Limits:
             self.by[source] = (frozenset(got.get((source, "chars"), ())), frozenset(got.get((source, "bytes"), ())))
 
     def near(self, source: str | None, chars: int, size: int) -> tuple[bool, bool, float]:
+        """(at a limit in characters, in bytes, length by the nearest limit). A character of several bytes may not fit, so a text with some may end up to SLACK bytes below."""
         c, b = self.by.get(source, (frozenset(), frozenset()))
         ratio = min((chars / x for x in c if x), key=lambda r: abs(r - 1), default=0.0)
-        return chars in c, any(size - k in b for k in range(-3, 4)), ratio
+        return chars in c, any(size + k in b for k in range(SLACK + 1 if size > chars else 1)), ratio
 
 
-def limits(documents: DataFrame) -> DataFrame:
-    """(source, unit, n_long): the limits of each source, from the lengths of all texts, in characters and bytes."""
-    lengths = documents.where("text is not null").select(
-        "source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("n")))).alias("x")
-    )
-    counts = lengths.groupBy("source", "x.unit", "x.n").count()
-    # around: texts of about the same length (an eighth of an octave), by the lengths there are in it
-    band = F.floor(F.log2(F.col("n") + 1) * 8).alias("band")
-    bands = counts.select("source", "unit", band, "n", "count").groupBy("source", "unit", "band").agg(F.sum("count").alias("all"), F.max("count").alias("most"))
-    width = F.greatest(F.lit(1.0), F.col("n") * (2 ** (1 / 8) - 1))
-    joined = counts.select("source", "unit", "n", "count", band).join(
-        bands.select(F.col("source").alias("s"), F.col("unit").alias("u"), F.col("band").alias("b"), "all"), F.expr("source <=> s and unit = u and band = b")
-    )
-    usual = (F.col("all") - F.col("count")) / width
-    return joined.where((F.col("count") >= SPIKE_LEAST) & (F.col("count") >= SPIKE * F.greatest(usual, F.lit(0.1))) & (F.col("n") >= 16)).select("source", "unit", F.col("n").alias("n_long"))
+def lengths(documents: DataFrame) -> DataFrame:
+    """(source, chars, bytes, n, rows): how many distinct texts of each source have these lengths, in how many rows. One scan; texts are told apart by their hash."""
+    rows = documents.where("text is not null").select("source", F.xxhash64("text").alias("h"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    one = rows.groupBy("source", "h", "chars", "bytes").agg(F.count(F.lit(1)).alias("rows"))
+    return cut(one.groupBy("source", "chars", "bytes").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")))
+
+
+def limits(counted: DataFrame) -> DataFrame:
+    """(source, unit, n_long): the limits of each source, from lengths(), in characters and bytes.
+
+    Windows are over the different lengths of a source, of which there are few beside its texts."""
+    both = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("long")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("long")))
+    by = counted.select("source", "n", F.explode(both).alias("x")).groupBy("source", "x.unit", "x.long").agg(F.sum("n").alias("n"))
+    line = Window.partitionBy("source", "unit").orderBy("long")
+    # just below a limit in bytes it is blurred
+    below = lambda f: F.coalesce(F.when(F.col("unit") == "bytes", f(line.rangeBetween(-NEAR - SLACK, -SLACK - 1))).otherwise(f(line.rangeBetween(-NEAR, -1))), F.lit(0))
+    above = lambda f: F.coalesce(f(line.rangeBetween(1, NEAR)), F.lit(0))
+    total = below(lambda w: F.sum("n").over(w)) + above(lambda w: F.sum("n").over(w))
+    most = F.greatest(below(lambda w: F.max("n").over(w)), above(lambda w: F.max("n").over(w)))
+    longer = F.sum("n").over(line.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    seen = by.select("source", "unit", "long", "n", longer.alias("longer"), (total / (2 * NEAR)).alias("usual"), most.alias("most"))
+    spike = (F.col("n") >= SPIKE_LEAST) & (F.col("n") >= HAZARD * F.col("longer")) & (F.col("n") >= SPIKE * F.col("usual")) & (F.col("n") >= STEEP * F.col("most")) & (F.col("long") >= 16)
+    return seen.where(spike).select("source", "unit", F.col("long").alias("n_long"))
 
 
 def cut_somewhere(text: str, rng: random.Random, bounds: list[int]) -> str | None:
@@ -170,9 +186,9 @@ def learn(rows: list[tuple[np.ndarray, int, bool]], seed: int = 7, epochs: int =
     if not rows:
         return np.zeros(DIM)
     x, y = np.stack([r for r, _, _ in rows]).astype(np.int64), np.array([label for _, label, _ in rows], float)
-    keep = ~np.array([free for _, _, free in rows])  # whole or not, what ends at a limit is no safe negative
+    at_limit = np.array([free for _, _, free in rows])
 
-    def run(use: np.ndarray) -> np.ndarray:
+    def run(x: np.ndarray, use: np.ndarray) -> np.ndarray:
         w, g = np.zeros(DIM), np.full(DIM, 1e-2)
         gen = np.random.default_rng(seed)
         for _ in range(epochs):
@@ -186,34 +202,35 @@ def learn(rows: list[tuple[np.ndarray, int, bool]], seed: int = 7, epochs: int =
                 w[cols] -= 0.3 * step / np.sqrt(g[cols])
         return w
 
-    w = run(np.flatnonzero(keep))
-    doubtful = (y == 0) & (1 / (1 + np.exp(-w[x].sum(1))) > 0.5)
-    return run(np.flatnonzero(keep & ~doubtful))
+    endings = x[:, :-LIMIT_FEATURES]
+    w = run(endings, np.flatnonzero(~at_limit))
+    doubtful = (y == 0) & (1 / (1 + np.exp(-w[endings].sum(1))) > 0.5)
+    return run(x, np.flatnonzero(~doubtful))
 
 
 def _examples(known: Limits):
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("x", pa.list_(pa.int32())), ("label", pa.int32()), ("free", pa.bool_())])
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("x", pa.binary()), ("label", pa.int32()), ("free", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for h, text, source in zip(*(batch[c].to_pylist() for c in ("h", "text", "source")), strict=True):
-                out += [(h, n, x.astype(np.int32), label, free) for n, (x, label, free) in enumerate(examples(text, source, known, random.Random(h)))]
+                out += [(h, n, x.astype(np.int32).tobytes(), label, free) for n, (x, label, free) in enumerate(examples(text, source, known, random.Random(h)))]
             columns = list(zip(*out, strict=True)) if out else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
-def training_examples(documents: DataFrame, known: Limits, sample: int = SAMPLE, seed: int = 7) -> list[tuple[np.ndarray, int, bool]]:
-    """The examples of at most `sample` texts, those of least hash, each made from the whole text; repeated rows count once."""
+def training_examples(documents: DataFrame, known: Limits, texts: int, sample: int = SAMPLE, seed: int = 7) -> list[tuple[np.ndarray, int, bool]]:
+    """The examples of about `sample` of the `texts` rows, those of least hash, each made from the whole text; repeated rows count once, copies each."""
+    share = min(1.0, sample / max(1, texts))
+    least = int(2**64 * share) - 2**63  # hashes are even, so this share of them lies below
     rows = documents.where("text is not null and trim(text) != ''").select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), "text", "source")
-    hashes = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(sample).collect()]  # at most `sample` numbers
-    if not hashes:
-        return []
-    made = rows.where(F.col("h") <= hashes[-1]).mapInArrow(_examples(known), "h bigint, n int, x array<int>, label int, free boolean").collect()
-    one = {(r["h"], r["n"]): r for r in sorted(made, key=lambda r: (r["h"], r["n"], r["x"]))}
-    return [(np.array(r["x"]), r["label"], r["free"]) for r in one.values()]
+    rows = rows if share == 1 else rows.where(F.col("h") < least)
+    made = rows.mapInArrow(_examples(known), "h bigint, n int, x binary, label int, free boolean").groupBy("h", "n").agg(F.min(F.struct("x", "label", "free")).alias("e"))
+    rows = sorted(made.select("h", "n", "e.*").collect(), key=lambda r: (r["h"], r["n"]))
+    return [(np.frombuffer(bytes(r["x"]), np.int32), r["label"], r["free"]) for r in rows]
 
 
 def _score(weights: np.ndarray, known: Limits):
@@ -238,11 +255,13 @@ def scored(documents: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFra
     Null, empty and blank texts score 0. Rows without doc_id are scored like others. Repeated rows are scored each.
     A null source is a source of its own. Extra columns are ignored.
     """
-    rows = [tuple(r) for r in limits(documents).limit(LIMIT_ROWS + 1).collect()]  # some tens in practice; the bound is checked
+    counted = lengths(documents)
+    rows = [tuple(r) for r in limits(counted).limit(LIMIT_ROWS + 1).collect()]  # some tens in practice; the bound is checked
     if len(rows) > LIMIT_ROWS:
         raise ValueError(f"more than {LIMIT_ROWS} length limits: source isn't a field with few values")
     known = Limits(rows)
-    weights = learn(training_examples(documents, known, sample, seed), seed)
+    texts = counted.agg(F.sum("rows")).first()[0] or 0
+    weights = learn(training_examples(documents, known, texts, sample, seed), seed)
     out = documents.select("doc_id", "source", "text").mapInArrow(_score(weights, known), "doc_id bigint, source string, score double")
     return out.withColumn("is_cut", F.col("score") >= THRESHOLD)
 
