@@ -125,6 +125,30 @@ def test_truncation_of_odd_rows(spark):
 
 
 def test_limits_are_found(spark):
-    rows = [(i, "x" * (200 if i % 4 == 0 else 20 + (i * 37) % 400), "s", 1) for i in range(400)]
+    rows = [(i, f"{i} ".ljust(200 if i % 4 == 0 else 20 + (i * 37) % 400, "x"), "s", 1) for i in range(400)]
     got = {tuple(r) for r in truncation.limits(spark.createDataFrame(rows, "doc_id bigint, text string, source string, n int")).collect()}
     assert {("s", "chars", 200), ("s", "bytes", 200)} == got
+
+
+def test_copies_and_templates_are_no_limits(spark):
+    long = [(i, f"{i} ".ljust(60 + (i * 37) % 400, "x"), "s") for i in range(400)]
+    copies = [(1000 + i, "the same text over and over again", "s") for i in range(300)]
+    heads = [(2000 + i, f"{k}({s}): {d}", "s") for i, (k, s, d) in enumerate((k, s, d) for k in ("fix", "feat", "docs", "test", "perf") for s in ("lane", "fold", "seal", "watch", "panel") for d in ("split the large import", "wait for the quiet period", "add a guard for null keys"))]
+    df = spark.createDataFrame(long + copies + heads * 3, "doc_id bigint, text string, source string")
+    assert truncation.limits(df).collect() == []
+
+
+def test_byte_tolerance_is_for_texts_of_several_bytes_a_character():
+    known = truncation.Limits([("s", "bytes", 100)])
+    assert known.near("s", 100, 100)[1] and not known.near("s", 98, 98)[1] and known.near("s", 97, 98)[1] and not known.near("s", 99, 101)[1]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_complete_texts_without_punctuation_are_not_cut(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").where("text is not null")
+    got = docs.join(truncation.scored(docs).select("doc_id", "is_cut"), "doc_id").collect()
+    # Headlines of commits, links and finished list items end without punctuation.
+    heads = [r for r in got if r["source"] == "commit-message" and "\n" not in r["text"] and len(r["text"]) < 60]
+    links = [r for r in got if r["text"].splitlines()[-1].startswith(("See http", "Status: "))]
+    assert len(heads) > 20 and len(links) > 5
+    assert np.mean([r["is_cut"] for r in heads]) < 0.05 and np.mean([r["is_cut"] for r in links]) < 0.1

@@ -6,7 +6,7 @@ at a limit or at a random place, some with a mark behind; negatives are the same
 those are cut themselves: a first fit, which sees endings but no limits and no text that ends at one, tells which. Those it is
 sure about are left out of the second fit, which sees all features; whole texts that happen to end at a limit stay in as negatives.
 
-The fit uses a bounded sample (about SAMPLE texts, by hash), each of them whole: its examples are made where the texts
+The fit uses a bounded sample (SAMPLE texts, by hash), each of them whole: its examples are made where the texts
 lie, and only the numbers of their features come to the driver. Limits and scores cover all rows.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from turnmill.session import cut
 
-#: Texts that the model is fitted on: those whose hash is in the share of all hashes that gives so many of the rows there are.
+#: Texts that the model is fitted on, at most: those of least hash.
 SAMPLE = 6000
 DIM = 1 << 18
 THRESHOLD = 0.5
@@ -125,10 +125,13 @@ def lengths(documents: DataFrame) -> DataFrame:
     return cut(one.groupBy("source", "chars", "bytes").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")))
 
 
-def limits(counted: DataFrame) -> DataFrame:
-    """(source, unit, n_long): the limits of each source, from lengths(), in characters and bytes.
+def limits(documents: DataFrame) -> DataFrame:
+    """(source, unit, n_long): the limits of each source, from the lengths of all texts, in characters and bytes."""
+    return limits_of(lengths(documents))
 
-    Windows are over the different lengths of a source, of which there are few beside its texts."""
+
+def limits_of(counted: DataFrame) -> DataFrame:
+    """The limits from lengths(). Windows are over the different lengths of a source, of which there are few beside its texts."""
     both = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("long")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("long")))
     by = counted.select("source", "n", F.explode(both).alias("x")).groupBy("source", "x.unit", "x.long").agg(F.sum("n").alias("n"))
     line = Window.partitionBy("source", "unit").orderBy("long")
@@ -222,15 +225,16 @@ def _examples(known: Limits):
     return run
 
 
-def training_examples(documents: DataFrame, known: Limits, texts: int, sample: int = SAMPLE, seed: int = 7) -> list[tuple[np.ndarray, int, bool]]:
-    """The examples of about `sample` of the `texts` rows, those of least hash, each made from the whole text; repeated rows count once, copies each."""
-    share = min(1.0, sample / max(1, texts))
-    least = int(2**64 * share) - 2**63  # hashes are even, so this share of them lies below
+def training_examples(documents: DataFrame, known: Limits, sample: int = SAMPLE, seed: int = 7, texts: int | None = None) -> list[tuple[np.ndarray, int, bool]]:
+    """The examples of at most `sample` texts, those of least hash, each made from the whole text; repeated rows count once. texts: how many rows have a text, if known."""
     rows = documents.where("text is not null and trim(text) != ''").select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), "text", "source")
-    rows = rows if share == 1 else rows.where(F.col("h") < least)
+    share = (1.2 * sample + 50) / max(1, rows.count() if texts is None else texts)  # hashes are even: this share of them has the least `sample`, and few more
+    if share < 1:
+        rows = rows.where(F.col("h") < int(2**64 * share) - 2**63)
     made = rows.mapInArrow(_examples(known), "h bigint, n int, x binary, label int, free boolean").groupBy("h", "n").agg(F.min(F.struct("x", "label", "free")).alias("e"))
-    rows = sorted(made.select("h", "n", "e.*").collect(), key=lambda r: (r["h"], r["n"]))
-    return [(np.frombuffer(bytes(r["x"]), np.int32), r["label"], r["free"]) for r in rows]
+    got = sorted(made.select("h", "n", "e.*").collect(), key=lambda r: (r["h"], r["n"]))
+    held = set(sorted({r["h"] for r in got})[:sample])
+    return [(np.frombuffer(bytes(r["x"]), np.int32), r["label"], r["free"]) for r in got if r["h"] in held]
 
 
 def _score(weights: np.ndarray, known: Limits):
@@ -256,12 +260,12 @@ def scored(documents: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFra
     A null source is a source of its own. Extra columns are ignored.
     """
     counted = lengths(documents)
-    rows = [tuple(r) for r in limits(counted).limit(LIMIT_ROWS + 1).collect()]  # some tens in practice; the bound is checked
+    rows = [tuple(r) for r in limits_of(counted).limit(LIMIT_ROWS + 1).collect()]  # some tens in practice; the bound is checked
     if len(rows) > LIMIT_ROWS:
         raise ValueError(f"more than {LIMIT_ROWS} length limits: source isn't a field with few values")
     known = Limits(rows)
     texts = counted.agg(F.sum("rows")).first()[0] or 0
-    weights = learn(training_examples(documents, known, texts, sample, seed), seed)
+    weights = learn(training_examples(documents, known, sample, seed, texts), seed)
     out = documents.select("doc_id", "source", "text").mapInArrow(_score(weights, known), "doc_id bigint, source string, score double")
     return out.withColumn("is_cut", F.col("score") >= THRESHOLD)
 
