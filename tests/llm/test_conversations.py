@@ -24,12 +24,12 @@ ROWS = [
 WANT = {("good", i + 1, f"good{n}") for i, n in enumerate([0, 1, 3, 4, 5, 7])} | {("late", n + 1, f"late{n}") for n in range(4)} | {("long", n + 1, f"long{n}") for n in range(18)}
 
 
-@pytest.mark.parametrize(("block", "files"), [(1024, None), (4, 1)])
-def test_conversations(spark, tmp_path, monkeypatch, block, files):
+@pytest.mark.parametrize(("block", "files", "idle"), [(1024, None, cv.IDLE_MS), (4, 1, cv.IDLE_MS), (1024, 1, 1), (4, 1, 1)])
+def test_conversations(spark, tmp_path, monkeypatch, block, files, idle):
     monkeypatch.setattr(cv, "BLOCK", block)
     path = str(tmp_path / "messages.parquet")
     spark.createDataFrame(ROWS, S).repartition(3).write.parquet(path)
-    got = cv.conversations(cv.blocks(spark, path, files)).collect()
+    got = cv.conversations(cv.blocks(spark, path, files, idle_ms=idle)).collect()
     assert {(r["session_key"], r["msg_index"], r["entry_id"]) for r in got} == WANT
     assert len(got) == len(WANT)
 
@@ -56,3 +56,35 @@ def test_missing_entry_ids_and_an_empty_session_key_are_kept(spark, tmp_path):
         got = query(spark, str(tmp_path)).collect()
         assert {(r["session_key"], r["msg_index"], r["entry_id"]) for r in got} == want and len(got) == len(want)
     assert all(r["markdown"] in ("hi", "yes") for r in got)
+
+
+def test_conversations_close_in_the_course_of_a_replay(spark, tmp_path):
+    """With a short wait a conversation is emitted before the feed ends, and what comes later makes a second piece."""
+    path = str(tmp_path / "messages.parquet")
+    one, two = talk("one", U, A), talk("two", U, A, U, A)
+    two[3] = (*two[3][:4], T0 + timedelta(days=9), *two[3][5:])
+    rest = [(f"s{k}", "e", 0, T0, T0 + timedelta(days=k), "tool", None, None, "x") for k in range(12)]
+    spark.createDataFrame([*one, *two, *rest], S).write.parquet(path)
+    pieces = cv.blocks(spark, path, 1, idle_ms=60_000)
+    got = {(r["session_key"], tuple(r["seq_nos"]), r["whole"]) for r in pieces.where("session_key in ('one', 'two')").collect()}
+    assert got == {("one", (0, 1), True), ("two", (0, 1, 2), False), ("two", (3,), False)}
+    assert [(r["session_key"], r["entry_id"]) for r in cv.conversations(pieces).orderBy("session_key", "msg_index").collect()] == [("one", "one0"), ("one", "one1"), *[("two", f"two{n}") for n in range(4)]]
+
+
+def test_rows_behind_the_watermark_are_an_error(spark, tmp_path):
+    entries = lambda day: cv.entries(spark.createDataFrame([(f"s{day}", "e", 0, T0, T0 + timedelta(days=day), "message", "user", "x", "x")], S))
+    feed, sink, state = (str(tmp_path / x) for x in ("feed", "sink", "state"))
+    run = lambda: cv.stream_blocks(spark.readStream.schema(cv._ENTRY).parquet(feed), sink, state, "1 day", buckets=4)
+    with cv._settings(spark, cv._STATE):
+        entries(30).write.mode("append").parquet(feed)
+        cv.ended(run())
+        entries(1).write.mode("append").parquet(feed)
+        with pytest.raises(ValueError, match="1 rows were later"):
+            cv.ended(run())
+
+
+def test_state_holds_two_ids_a_number_at_most():
+    own = []
+    for entry, code in [("c", "u"), ("a", "u"), ("b", "a"), ("a", "a"), ("z", "u")]:
+        cv._keep(own, entry, code)
+    assert sorted(own) == [["a", "a"], ["b", "a"]]

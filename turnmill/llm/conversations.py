@@ -1,41 +1,55 @@
 """Rebuilding conversations from message rows with keyed streaming state.
 
-The entries of a session are read as a stream and buffered in state by (session, seq_no div BLOCK), so the state of
-one key is bounded however long a session is. Deliveries may be late, repeated and in any order; a block is
-released when the event-time watermark (of received_at) has passed its last delivery by IDLE, or when the feed
-closes. A released block gives its messages in order and one summary; the summaries of a session decide
-whether the conversation is whole, and number its messages.
+The entries of a feed are read as a stream and buffered in keyed state until their conversation closes: when the event-time
+watermark (of received_at) has passed its last delivery by IDLE, or when the feed ends. Then the state decides whether the
+conversation is whole, emits it and forgets it. A key of the state is a bucket of conversations, so one call of Python serves many;
+of a conversation no bucket holds more than BLOCK sequence numbers, longer ones lie in several buckets.
+
+Deliveries may be late, repeated and in any order. What comes after a conversation was emitted makes a second piece of it; pieces of
+one conversation, and blocks of long ones, are merged and judged again. No row is lost: if the engine drops one behind the watermark, an error is raised.
+A table is replayed in order of received_at, as bounded files, so that a batch holds a stretch of time and the state only what is open then.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from turnmill.session import fresh_dir
+from turnmill.session import cut, fresh_dir
 
 #: Sequence numbers of one block of state.
 BLOCK = 1024
 #: The block of the closing mark, which no sequence number falls into.
 CLOSE = -(2**63)
-#: How late a delivery may be before the watermark drops it, and how long a block waits for another delivery.
-LATENESS, IDLE_MS = "30 days", 60 * 60 * 1000
+#: How late a delivery may be before the watermark drops it, and how long a conversation waits for another delivery.
+LATENESS, IDLE_MS = "1 second", 4 * 24 * 60 * 60 * 1000
+#: Rows of one file of a replay, about, and the least number of files.
+FILE_ROWS, FILES = 250_000, 8
+#: Batches of a replay at least, and files of one batch for each core at most.
+BATCHES, FILES_A_CORE = 4, 4
 
 # What roles plainly mean.
 ROLES = {"user": "u", "human": "u", "assistant": "a", "agent": "a", "ai": "a", "model": "a", "bot": "a", "system": "s"}
 
-_OUT = "session_key string, block bigint, released string"
-#: A released block: its messages in order as [seq_no, entry_id, role], and its summary.
-_RELEASED = "messages array<struct<seq_no: bigint, entry_id: string, code: string>>, entries bigint, low bigint, high bigint, broken boolean, first_role string, last_role string, unanswered boolean"
+#: A piece: entries in order, and whether they are by themselves a whole conversation.
+_OUT = "session_key string, block bigint, whole boolean, seq_nos array<bigint>, entry_ids array<string>, codes array<string>"
+_ENTRY = "session_key string, block bigint, seq_no bigint, entry_id string, code string, at timestamp"
+_SUMMARY = pa.schema([
+    ("session_key", pa.string()), ("block", pa.int64()), ("messages", pa.list_(pa.struct([("seq_no", pa.int64()), ("entry_id", pa.string()), ("code", pa.string())]))),
+    ("entries", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("broken", pa.bool_()), ("first_role", pa.string()), ("last_role", pa.string()), ("unanswered", pa.bool_()),
+])
+_SUMMARY_DDL = "session_key string, block bigint, messages array<struct<seq_no: bigint, entry_id: string, code: string>>, entries bigint, low bigint, high bigint, broken boolean, first_role string, last_role string, unanswered boolean"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.minBatchesToRetain": "2",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.minBatchesToRetain": "2", "spark.sql.streaming.numRecentProgressUpdates": "1000000",
 }
 
 
@@ -76,24 +90,59 @@ def released(block: int, held: dict[str, list]) -> dict:
     }
 
 
+def _is_whole(block: int, r: dict) -> bool:
+    """Whether a released block is by itself a whole conversation."""
+    return block == 0 and not r["broken"] and not r["unanswered"] and (r["low"], r["high"]) == (0, r["entries"] - 1) and (r["first_role"], r["last_role"]) == ("u", "a")
+
+
+def _keep(own: list[list[str]], entry: str, code: str) -> None:
+    """Adds an entry to those of its number. Two ids tell that the number is broken, so the two least are enough, each with its least code."""
+    for x in own:
+        if x[0] == entry:
+            x[1] = min(x[1], code)
+            return
+    own.append([entry, code])
+    if len(own) > 2:
+        own.remove(max(own))
+
+
+def _pieces(done: list[tuple[str, int, dict[str, list]]]) -> pd.DataFrame:
+    out: dict[str, list] = {c.split()[0]: [] for c in _OUT.split(", ")}
+    for session, block, held in done:
+        flat = [(int(n), entry, code) for n in sorted(held, key=int) for entry, code in sorted(held[n])]
+        for c, x in zip(out, (session, block, _is_whole(block, released(block, held)), *map(list, zip(*flat, strict=True))), strict=True):
+            out[c].append(x)
+    return pd.DataFrame(out)
+
+
 def _buffer(idle_ms: int):
-    def run(key: tuple[str, int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session, block = key
-        held = json.loads(state.get[0]) if state.exists else {}
-        if state.hasTimedOut:
+    """The state of a bucket: {session: {block: [time of the last delivery, {seq_no: [[entry_id, code], ...]}]}}, as JSON."""
+
+    def run(key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_now: dict[str, dict] = json.loads(state.get[0]) if state.exists else {}
+        for df in frames if not state.hasTimedOut else ():
+            for session, block, number, entry, code, at in zip(*(df[c].tolist() for c in ("session_key", "block", "seq_no", "entry_id", "code", "at_ms")), strict=True):
+                if block != CLOSE:
+                    place = open_now.setdefault(session, {}).setdefault(str(block), [at, {}])
+                    place[0] = max(place[0], at)
+                    _keep(place[1].setdefault(str(number), []), entry, code)
+        passed = state.getCurrentWatermarkMs()
+        done, wait = [], None
+        for session in list(open_now):
+            blocks_of = open_now[session]
+            for block in [b for b, (last, _) in blocks_of.items() if last + idle_ms <= passed]:
+                done.append((session, int(block), blocks_of.pop(block)[1]))
+            if blocks_of:
+                wait = min([last for last, _ in blocks_of.values()] + ([] if wait is None else [wait]))
+            else:
+                del open_now[session]
+        if open_now:
+            state.update((json.dumps(open_now),))
+            state.setTimeoutTimestamp(wait + idle_ms)
+        elif state.exists:
             state.remove()
-            if block != CLOSE:
-                yield pd.DataFrame({"session_key": [session], "block": [block], "released": [json.dumps(released(block, held))]})
-            return
-        last = state.getCurrentWatermarkMs()
-        for df in frames:
-            for number, entry, code, at in zip(df["seq_no"], df["entry_id"], df["code"], df["at_ms"], strict=True):
-                own = held.setdefault(str(number), [])
-                if [entry, code] not in own:
-                    own.append([entry, code])
-                last = max(last, int(at))
-        state.update((json.dumps(held),))
-        state.setTimeoutTimestamp(last + idle_ms)
+        if done:
+            yield _pieces(done)
 
     return run
 
@@ -110,59 +159,79 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stream_blocks(stream: DataFrame, sink: str, checkpoint: str, lateness: str = LATENESS, idle_ms: int = IDLE_MS):
-    """Starts the query that buffers a stream of message rows and appends released blocks to the folder sink."""
-    held = stream.withWatermark("at", lateness).withColumn("at_ms", F.unix_millis("at")).groupBy("session_key", "block")
-    blocks = held.applyInPandasWithState(_buffer(idle_ms), _OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
-    return blocks.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def stream_blocks(stream: DataFrame, sink: str, checkpoint: str, lateness: str = LATENESS, idle_ms: int = IDLE_MS, buckets: int | None = None):
+    """Starts the query that buffers a stream of entries() and appends pieces to the folder sink. buckets are the keys of the state, the same in every run on a checkpoint; None is four a shuffle partition."""
+    buckets = buckets or 4 * max(16, int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bucket = F.pmod(F.xxhash64("session_key", "block"), F.lit(buckets)).alias("bucket")
+    held = stream.withWatermark("at", lateness).select("*", F.unix_millis("at").alias("at_ms"), bucket).groupBy("bucket")
+    pieces = held.applyInPandasWithState(_buffer(idle_ms), _OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return pieces.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def _closing(spark: SparkSession, folder: str) -> None:
-    """Closes a feed: one row far in the future, behind which no block still waits."""
-    mark = spark.range(1, numPartitions=1).select(
-        F.lit("").alias("session_key"), F.lit(CLOSE).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("seq_no"), F.lit("").alias("entry_id"), F.lit("e").alias("code"), F.lit("2250-01-01 00:00:00").cast("timestamp").alias("at")
-    )
-    mark.write.mode("append").parquet(folder)
+def ended(query) -> None:
+    """Waits for a query of stream_blocks; an error if rows came behind its watermark, which the engine then has dropped."""
+    query.awaitTermination()
+    lost = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    if lost:
+        raise ValueError(f"{lost} rows were later than the lateness of the stream allows")
 
 
-def _source(spark: SparkSession, path: str) -> tuple[str, str]:
-    """The folder and the file pattern of a table that is a folder of files or one file: streams read folders."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
-        return path, "*"
-    return str(place.getParent()), place.getName()
+def _feed(spark: SparkSession, rows: DataFrame, folder: str, files: int) -> bool:
+    """Writes entries() in order of time as files, and a closing row far behind, after which nothing still waits. Whether the files' times tell their order, which the stream reads them in."""
+    rows.repartitionByRange(files, "at", F.xxhash64("session_key", "seq_no")).write.parquet(folder)
+    far = spark.range(1, numPartitions=1).select(
+        F.lit("").alias("session_key"), F.lit(CLOSE).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("seq_no"), F.lit("").alias("entry_id"), F.lit("e").alias("code"), F.lit("2250-01-01 00:00:00").cast("timestamp").alias("at")
+    )
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    named = lambda: {s.getPath().getName(): s for s in fs.listStatus(place) if s.getPath().getName().startswith("part-")}
+    before = sorted(named())  # by number of partition
+    far.write.mode("append").parquet(folder)
+    order = [*before, *sorted(set(named()) - set(before))]
+    start = 1_000_000_000_000
+    for n, name in enumerate(order):
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), start + 1000 * n, -1)
+    now = named()
+    return all(now[name].getModificationTime() == start + 1000 * n for n, name in enumerate(order))
 
 
 def blocks(spark: SparkSession, path: str, files_per_batch: int | None = None, lateness: str = LATENESS, idle_ms: int = IDLE_MS) -> DataFrame:
-    """All released blocks of the message table at path, read as a stream and closed at its end.
+    """All pieces (see stream_blocks) of the message table at path, replayed as a stream in order of received_at and closed at its end.
 
-    files_per_batch bounds a micro-batch; None takes all files that are there in one. A table in no useful order has deliveries that
-    look as late as its whole time span, so with several batches lateness must cover that span.
+    files_per_batch bounds a micro-batch; None makes BATCHES at least, and more where a batch would have over FILES_A_CORE files for each core.
+    Where a file system can't set times, the files have no order that a stream can see, and all are one batch.
     """
     base = fresh_dir(spark, "conversations")
-    sink, close, checkpoint = f"{base}/blocks", f"{base}/close", f"{base}/state"
-    schema = spark.read.parquet(path).schema
-    spark.createDataFrame([], "session_key string, block bigint, seq_no bigint, entry_id string, code string, at timestamp").write.parquet(close)
-
-    def run() -> None:
-        folder, files = _source(spark, path)
-        reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
-        if files_per_batch:
-            reader = reader.option("maxFilesPerTrigger", files_per_batch)
-        ends = spark.readStream.schema("session_key string, block bigint, seq_no bigint, entry_id string, code string, at timestamp").parquet(close)
-        query = stream_blocks(entries(reader.parquet(folder)).unionByName(ends), sink, checkpoint, lateness, idle_ms)
-        query.awaitTermination()
-
+    rows = spark.read.parquet(path)
+    files = max(FILES, math.ceil(rows.count() / FILE_ROWS))
+    ordered = _feed(spark, entries(rows), f"{base}/feed", files)
+    batch = files_per_batch or max(1, min(FILES_A_CORE * spark.sparkContext.defaultParallelism, files // BATCHES))
     with _settings(spark, _STATE):
-        if files_per_batch:  # the end may only be seen behind all batches
-            run()
-        _closing(spark, close)
-        run()
-    rows = spark.read.schema(_OUT).parquet(sink)
-    return rows.select("session_key", "block", F.from_json("released", _RELEASED).alias("r")).select("session_key", "block", "r.*")
+        reader = spark.readStream.schema(_ENTRY)
+        stream = (reader.option("maxFilesPerTrigger", batch) if ordered else reader).option("maxFileAge", "3650d").parquet(f"{base}/feed")
+        ended(stream_blocks(stream, f"{base}/blocks", f"{base}/state", lateness, idle_ms))
+    return spark.read.schema(_OUT).parquet(f"{base}/blocks")
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            held: dict[str, list] = {}
+            for x in row["found"]:
+                held[str(x["seq_no"])] = [[x["low"]["entry_id"], x["low"]["code"]], *([[x["high"], "e"]] if x["high"] != x["low"]["entry_id"] else [])]
+            out.append({"session_key": row["session_key"], "block": row["block"], **released(row["block"], held)})
+        yield pa.RecordBatch.from_pylist(out, schema=_SUMMARY)
+
 
+def _merged(pieces: DataFrame) -> DataFrame:
+    """One summary (see released) a block of conversations that have several pieces. The groups are numbers, then blocks of at most BLOCK numbers."""
+    x = pieces.select("session_key", "block", F.explode(F.arrays_zip("seq_nos", "entry_ids", "codes")).alias("x")).select("session_key", "block", F.col("x.seq_nos").alias("seq_no"), F.col("x.entry_ids").alias("entry_id"), F.col("x.codes").alias("code"))
+    one = x.groupBy("session_key", "block", "seq_no").agg(F.min(F.struct("entry_id", "code")).alias("low"), F.max("entry_id").alias("high"))
+    return one.groupBy("session_key", "block").agg(F.collect_list(F.struct("seq_no", "low", "high")).alias("found")).mapInArrow(_summaries, _SUMMARY_DDL)
 
-def conversations(blocks_released: DataFrame) -> DataFrame:
+
+def conversations(pieces: DataFrame) -> DataFrame:
     """(session_key, msg_index, entry_id, role, seq_no) of the conversations that are whole.
 
     Messages are entries of kind message with visible text, numbered from 1 in order of seq_no. A conversation is
@@ -171,9 +240,19 @@ def conversations(blocks_released: DataFrame) -> DataFrame:
     user message, or a user message isn't followed by an assistant message before the next one or the end.
     Repeated rows count once; null sequence numbers break a conversation; a null entry_id counts as an empty one; rows without session_key are dropped.
     """
+    many = cut(pieces.groupBy("session_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("session_key"))
+    names = F.when(F.col("code") == "u", "user").when(F.col("code") == "a", "assistant").otherwise("system")
+    said = F.filter(F.arrays_zip("seq_nos", "entry_ids", "codes"), lambda x: x["codes"].isin("u", "a", "s"))
+    single = pieces.where("whole").join(many, "session_key", "left_anti").select("session_key", F.posexplode(said).alias("place", "m"))
+    single = single.select("session_key", (F.col("place") + 1).cast("bigint").alias("msg_index"), F.col("m.entry_ids").alias("entry_id"), F.col("m.codes").alias("code"), F.col("m.seq_nos").alias("seq_no"))
+    return single.unionByName(_stitched(cut(_merged(pieces.join(many, "session_key", "left_semi"))))).select("session_key", "msg_index", "entry_id", names.alias("role"), "seq_no")
+
+
+def _stitched(summaries: DataFrame) -> DataFrame:
+    """The messages of the whole ones among conversations of several blocks or pieces. Windows are over the blocks of a conversation."""
     line = Window.partitionBy("session_key").orderBy("block")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
-    s = blocks_released.select(
+    s = summaries.select(
         "session_key", "block", "entries", "low", "high", "broken", "unanswered", "first_role", F.row_number().over(line).alias("n"), F.lead("block").over(line).alias("next"),
         F.last("last_role", ignorenulls=True).over(before).alias("role_before"), F.last("last_role", ignorenulls=True).over(line).alias("role_now"), F.coalesce(F.sum(F.size("messages")).over(before), F.lit(0)).alias("offset"),
     )
@@ -183,8 +262,7 @@ def conversations(blocks_released: DataFrame) -> DataFrame:
     s = s.withColumn("good", full & ~F.col("broken") & ~F.col("unanswered") & starts & ends)
     kept = s.groupBy("session_key").agg(F.bool_and("good").alias("whole")).where("whole").select("session_key")
     offsets = s.select("session_key", "block", "offset")
-    messages = blocks_released.select("session_key", "block", F.posexplode("messages").alias("place", "m")).select("session_key", "block", "place", "m.*")
-    names = F.when(F.col("code") == "u", "user").when(F.col("code") == "a", "assistant").otherwise("system")
+    messages = summaries.select("session_key", "block", F.posexplode("messages").alias("place", "m")).select("session_key", "block", "place", "m.*")
     return messages.join(kept, "session_key", "left_semi").join(offsets, ["session_key", "block"]).select(
-        "session_key", (F.col("offset") + F.col("place") + 1).alias("msg_index"), "entry_id", names.alias("role"), "seq_no"
+        "session_key", (F.col("offset") + F.col("place") + 1).alias("msg_index"), "entry_id", "code", "seq_no"
     )
