@@ -33,7 +33,7 @@ CLOSE = -(2**63)
 LATENESS, IDLE_MS = "1 second", 4 * 24 * 60 * 60 * 1000
 #: Rows of one file of a replay, about, and the least number of files.
 FILE_ROWS, FILES = 250_000, 8
-#: Batches of a replay at least, and files of one batch for each core at most.
+#: Batches of a replay, or as many more as a batch of FILES_A_CORE files for each core needs.
 BATCHES, FILES_A_CORE = 4, 4
 
 # What roles plainly mean.
@@ -160,8 +160,8 @@ def _settings(spark: SparkSession, values: dict[str, str]):
 
 
 def stream_blocks(stream: DataFrame, sink: str, checkpoint: str, lateness: str = LATENESS, idle_ms: int = IDLE_MS, buckets: int | None = None):
-    """Starts the query that buffers a stream of entries() and appends pieces to the folder sink. buckets are the keys of the state, the same in every run on a checkpoint; None is four a shuffle partition."""
-    buckets = buckets or 4 * max(16, int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Starts the query that buffers a stream of entries() and appends pieces to the folder sink. buckets are the keys of the state, the same in every run on a checkpoint; None is eight a shuffle partition."""
+    buckets = buckets or 8 * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64("session_key", "block"), F.lit(buckets)).alias("bucket")
     held = stream.withWatermark("at", lateness).select("*", F.unix_millis("at").alias("at_ms"), bucket).groupBy("bucket")
     pieces = held.applyInPandasWithState(_buffer(idle_ms), _OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
@@ -198,15 +198,15 @@ def _feed(spark: SparkSession, rows: DataFrame, folder: str, files: int) -> bool
 def blocks(spark: SparkSession, path: str, files_per_batch: int | None = None, lateness: str = LATENESS, idle_ms: int = IDLE_MS) -> DataFrame:
     """All pieces (see stream_blocks) of the message table at path, replayed as a stream in order of received_at and closed at its end.
 
-    files_per_batch bounds a micro-batch; None makes BATCHES at least, and more where a batch would have over FILES_A_CORE files for each core.
+    files_per_batch bounds a micro-batch; None makes BATCHES, and more where a batch would have over FILES_A_CORE files for each core. The state has a partition for each core.
     Where a file system can't set times, the files have no order that a stream can see, and all are one batch.
     """
-    base = fresh_dir(spark, "conversations")
+    base, cores = fresh_dir(spark, "conversations"), spark.sparkContext.defaultParallelism
     rows = spark.read.parquet(path)
     files = max(FILES, math.ceil(rows.count() / FILE_ROWS))
     ordered = _feed(spark, entries(rows), f"{base}/feed", files)
-    batch = files_per_batch or max(1, min(FILES_A_CORE * spark.sparkContext.defaultParallelism, files // BATCHES))
-    with _settings(spark, _STATE):
+    batch = files_per_batch or min(FILES_A_CORE * cores, math.ceil((files + 1) / BATCHES))
+    with _settings(spark, _STATE | {"spark.sql.shuffle.partitions": str(cores)}):
         reader = spark.readStream.schema(_ENTRY)
         stream = (reader.option("maxFilesPerTrigger", batch) if ordered else reader).option("maxFileAge", "3650d").parquet(f"{base}/feed")
         ended(stream_blocks(stream, f"{base}/blocks", f"{base}/state", lateness, idle_ms))
