@@ -104,3 +104,37 @@ def test_a_chain_ends_where_a_delta_comes_again(spark, monkeypatch, chunk):
     upserts = [("a", f"d{k}", 0, f"t{k}", f"r{k}", "x") for k in range(4)] + [("b", f"e{k}", 0, f"t{k}", f"r{k}", "x") for k in range(10)]
     want = brute(commits, upserts)
     assert {w[1] for w in want} == {"t0", "t1", "t2", "t3", "t4", "t5", "t6"} and held(spark, commits, upserts) == want
+
+
+def repeating(seed):
+    """Feeds in which deltas come again at other generations, before and behind replacements and in other chunks."""
+    r = random.Random(seed)
+    commits, upserts = [], []
+    for s in (f"s{k}" for k in range(12)):
+        at, ids = 0, []
+        for n in range(r.randrange(2, 14)):
+            to = at + r.choice([1, 1, 1, 3, 5])
+            d = r.choice(ids) if ids and r.random() < 0.25 else f"{s}-{n}"
+            ids.append(d)
+            commits += [(s, str(to), str(at), d, r.choice(["append", "append", "replace-session"]), r.choice([None, [f"t{r.randrange(4)}"]]), T0 + timedelta(minutes=r.randrange(99)), n)] * r.choice([1, 2])
+            upserts += [(s, d, k, f"t{r.randrange(4)}", f"r{n}{k}", "x") for k in range(r.randrange(3))]
+            at = r.choice([at, to, to, to, to])
+    return commits, list({(u[0], u[1], u[2]): u for u in upserts}.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_chunk_size_and_the_sql_agree_on_repeated_deltas(spark, monkeypatch, tmp_path, seed):
+    import duckdb
+
+    from turnmill.plans import p1
+
+    commits, upserts = repeating(seed)
+    want = brute(commits, upserts)
+    for chunk in (2, 4096):
+        monkeypatch.setattr(cf, "CHUNK", chunk)
+        assert held(spark, commits, upserts) == want
+    db = duckdb.connect()
+    for name, rows, ddl in (("session_commits", commits, C), ("turn_upserts", upserts, U)):
+        spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / name))
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path / name}/*.parquet'")
+    assert set(db.execute(p1.SQL["p1_found"]).fetchall()) == want

@@ -23,10 +23,10 @@ WITH RECURSIVE d AS (
   SELECT * FROM d WHERE e IS NOT NULL AND g IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY session_key, e ORDER BY received_at NULLS LAST, delta_id) = 1
 ), walk AS (
-  SELECT session_key, delta_id, delta_mode, turn_keys, g, 0 AS rank, [e] AS path FROM w WHERE e = 0
+  SELECT session_key, delta_id, delta_mode, turn_keys, g, 0 AS rank, [e] AS path, [delta_id] AS done FROM w WHERE e = 0
   UNION ALL
-  SELECT w.session_key, w.delta_id, w.delta_mode, w.turn_keys, w.g, walk.rank + 1, list_append(walk.path, w.e)
-  FROM walk JOIN w ON w.session_key = walk.session_key AND w.e = walk.g AND NOT list_contains(walk.path, w.e)
+  SELECT w.session_key, w.delta_id, w.delta_mode, w.turn_keys, w.g, walk.rank + 1, list_append(walk.path, w.e), list_append(walk.done, w.delta_id)
+  FROM walk JOIN w ON w.session_key = walk.session_key AND w.e = walk.g AND NOT list_contains(walk.path, w.e) AND NOT list_contains(walk.done, w.delta_id)
 ), lowest AS (
   SELECT session_key, coalesce(max(CASE WHEN delta_mode = 'replace-session' THEN rank END), 0) AS floor FROM walk GROUP BY 1
 ), live AS (
