@@ -137,6 +137,25 @@ def test_all_paths_are_a_query(spark):
     paths = queries["p4_paths"](spark, SF).collect()
     assert len(paths) == len(index)
     for r in paths:
-        placed = index[r[0], r[1]]
-        assert r["path"][-1] == r["object_id"] and (placed["tree_depth"] < 0 or (len(r["path"]) - 1, r["path"][0]) == (placed["tree_depth"], placed["root_object_id"]))
-    assert queries["p4_descendants"](spark, SF).count() == sum(len(r["path"]) - 1 for r in paths)
+        placed, path = index[r[0], r[1]], r["path"].split("/")
+        assert path[-1] == r["object_id"] and (placed["tree_depth"] < 0 or (len(path) - 1, path[0]) == (placed["tree_depth"], placed["root_object_id"]))
+    assert queries["p4_descendants"](spark, SF).count() == sum(r["path"].count("/") for r in paths)
+
+
+def test_rounds_do_not_grow_with_the_length_of_a_history(spark, monkeypatch):
+    """A line of 40 chunks with a branch off it, and one off that, takes as many rounds as there are turns."""
+    rounds = []
+    line = [f"{i:04d}" for i in range(400)]
+    branch, twig = [f"b{i:03d}" for i in range(40)], [f"c{i:03d}" for i in range(40)]
+    rows = [("p", o, f'["{line[i - 1]}"]' if i else None, None, 1) for i, o in enumerate(line)]
+    rows[390] = ("p", line[390], f'["{line[389]}", "{branch[-1]}"]', None, 1)
+    rows += [("p", o, f'["{branch[i - 1]}"]' if i else f'["{line[3]}", "{twig[-1]}"]', None, 1) for i, o in enumerate(branch)] + [("p", o, f'["{twig[i - 1]}"]' if i else None, None, 1) for i, o in enumerate(twig)]
+    refs = [("p", line[-1], "x")]
+    real_cut = h.cut
+    monkeypatch.setattr(h, "cut", lambda df: rounds.append(1) or real_cut(df))
+    local = h.forest(gitgraph.commit_nodes(spark.createDataFrame(rows, N)), 10)
+    direct = h.top_links(local)
+    before = len(rounds)
+    starts = spark.createDataFrame(refs, R).selectExpr("repository_id as ns", "object_id as id")
+    assert h.reachable(local, starts, direct).count() == 480
+    assert len(rounds) - before <= 1 + 6 + 5  # doors, jumps over some 48 chunks, turns

@@ -26,8 +26,9 @@ def commit_forest(commits: DataFrame, refs: DataFrame, chunk: int = hierarchy.CH
     (the commit is a root of depth 0); JSON that can't be read means no parent; empty tables give no rows.
     """
     local = hierarchy.forest(commit_nodes(commits), chunk)
-    hit = hierarchy.reachable(local, refs.select(F.col("repository_id").alias("ns"), F.lower("object_id").alias("id")))
-    return hierarchy.rooted(local).join(hit.withColumn("hit", F.lit(1)), ["ns", "id"], "left").select(
+    direct = hierarchy.top_links(local)
+    hit = hierarchy.reachable(local, refs.select(F.col("repository_id").alias("ns"), F.lower("object_id").alias("id")), direct)
+    return hierarchy.rooted(local, direct).join(hit.withColumn("hit", F.lit(1)), ["ns", "id"], "left").select(
         F.col("ns").alias("repository_id"), F.col("id").alias("object_id"), F.col("root").alias("root_object_id"),
         F.col("depth").alias("tree_depth"), F.coalesce("hit", F.lit(0)).cast("bigint").alias("is_reachable"),
     )

@@ -156,21 +156,49 @@ def _reached(rows: pa.Table, seeds: pa.Table) -> pa.Table:
     return pa.table([hit["ns"], hit["id"]], schema=_IDS)
 
 
-def reachable(local: DataFrame, starts: DataFrame) -> DataFrame:
+def _jumps(direct: DataFrame) -> list[DataFrame]:
+    """Where tops lead after 1, 2, 4, ... links: rows (ns, top, next), until none leads so far or all tops are passed."""
+    out, jump, size = [], direct.select("ns", "top", "next"), direct.count()
+    for _ in range(math.ceil(math.log2(size + 1)) if size else 0):
+        if jump.isEmpty():
+            break
+        out.append(jump)
+        far = jump.select("ns", F.col("top").alias("next"), F.col("next").alias("n2"))
+        jump = cut(jump.join(far, ["ns", "next"]).select("ns", "top", F.col("n2").alias("next")))
+    return out
+
+
+def reachable(local: DataFrame, starts: DataFrame, direct: DataFrame | None = None) -> DataFrame:
     """Distinct (ns, id) that starts(ns, id) lead to over any parents, the starts included if they are nodes.
 
-    Each round closes whole chunks, so the rounds are the chunks on the longest way, not its length.
+    Nodes that links from other chunks lead to are the doors of a chunk. In each round the doors just reached first pull in all doors on
+    their first-parent ways, by doubling over the tops of the forests; then each chunk with new doors is closed from these, over any parents,
+    and gives the doors its links lead to. So the rounds are the turns off a first-parent way that the way to a node takes, not its length.
     """
-    places = local.select("ns", "id", F.col("chunk").alias("piece"), F.col("idx").alias("row"))
+    direct = top_links(local) if direct is None else direct
+    jumps = _jumps(direct)
+    first = starts.select("ns", "id").distinct()
+    far = local.select("ns", F.explode("far_parents").alias("id")).distinct()
+    doors = cut(local.select("ns", "id", F.col("chunk").alias("piece"), F.col("idx").alias("row"), "top").join(first.unionByName(far).distinct(), ["ns", "id"]))
     rows = local.select("ns", "id", "chunk", "idx", "local_parents", "far_parents")
-    seeds = new = cut(starts.select("ns", "id").distinct().join(places, ["ns", "id"]).select("piece", "row"))
-    while not new.isEmpty():
+    new = doors.join(first, ["ns", "id"], "left_semi")
+    seen = None
+    while True:
+        tops = new.select("ns", "top").distinct()
+        for jump in jumps:
+            tops = tops.unionByName(tops.join(jump, ["ns", "top"]).select("ns", F.col("next").alias("top"))).distinct()
+        along = tops.join(direct.select("ns", "top", F.col("parent").alias("id")), ["ns", "top"]).select("ns", "id").distinct()
+        new = new.unionByName(doors.join(along, ["ns", "id"], "left_semi")).distinct()
+        new = cut(new if seen is None else new.join(seen, ["piece", "row"], "left_anti"))
+        if new.isEmpty():
+            break
+        seen = new.select("piece", "row") if seen is None else seen.unionByName(new.select("piece", "row"))
         active = new.select(F.col("piece").alias("chunk")).distinct()
-        some = rows.join(active, "chunk", "left_semi").groupBy("chunk").cogroup(seeds.groupBy("piece"))
-        far = some.applyInArrow(_far_targets, "ns string, id string").distinct().join(places, ["ns", "id"]).select("piece", "row")
-        new = cut(far.join(seeds, ["piece", "row"], "left_anti"))
-        seeds = seeds.unionByName(new)
-    return rows.groupBy("chunk").cogroup(seeds.groupBy("piece")).applyInArrow(_reached, "ns string, id string")
+        led = rows.join(active, "chunk", "left_semi").groupBy("chunk").cogroup(new.select("piece", "row").groupBy("piece")).applyInArrow(_far_targets, "ns string, id string")
+        new = doors.join(led.distinct(), ["ns", "id"], "left_semi").join(seen, ["piece", "row"], "left_anti")
+    if seen is None:
+        return rows.select("ns", "id").limit(0)
+    return rows.groupBy("chunk").cogroup(seen.groupBy("piece")).applyInArrow(_reached, "ns string, id string")
 
 
 def _subtree_totals(local: DataFrame, direct: DataFrame) -> DataFrame:
