@@ -3,8 +3,8 @@
 A mask covers SPAN words and looks only at some of them; the words under its zeros are free. Every window of
 SPAN words of the passages gives one hash a mask, and so does every window of every text. Hashes that meet are
 hits; around each hit the two word sequences are aligned on its diagonal and compared word by word, with and
-without substitutions. A window of SPAN equal words meets under every mask, so exact overlaps of SPAN words are
-found whole; the masks with gaps also find overlaps in which words were replaced.
+without substitutions. The masks are chosen so that any SWAPS positions of a window lie under the zeros of some mask:
+so every window of SPAN words in which at most SWAPS were replaced is found, wherever they are, and equal ones by every mask.
 
 The passages are the stated query set: they are processed in blocks of at most BLOCK words, each of which is
 sent to the tasks; texts are never shuffled and never sent anywhere.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,27 @@ from pyspark.sql import functions as F
 from turnmill.llm.words import word_hash, words
 
 SPAN = 12
-#: Masks over SPAN words; 1 is compared, 0 is free.
-MASKS = ("111011011011", "110110111101", "101111001111")
-#: Neighbouring words that may be replaced in an overlap: the widest zeros of a mask.
-GAP = max(len(zeros) for mask in MASKS for zeros in mask.split("1"))
+#: Words of a window that may be replaced, and zeros of a mask.
+SWAPS, ZEROS = 2, 6
+#: Neighbouring words that may be replaced within an overlap.
+GAP = 2
 #: Words of all passages of one block (8 bytes each and mask; 1 MB in all per 32,000).
 BLOCK = 400_000
 
+
+def covering(span: int, zeros: int, swaps: int) -> tuple[str, ...]:
+    """Masks such that any `swaps` positions are zeros of one of them, chosen greedily: the most positions that no earlier one has, then the first such."""
+    left, out = set(combinations(range(span), swaps)), []
+    choices = list(combinations(range(span), zeros))
+    while left:
+        best = max(choices, key=lambda z: len(left & set(combinations(z, swaps))))
+        left -= set(combinations(best, swaps))
+        out.append("".join("0" if k in best else "1" for k in range(span)))
+    return tuple(out)
+
+
+#: Masks over SPAN words; 1 is compared, 0 is free.
+MASKS = covering(SPAN, ZEROS, SWAPS)
 _MULTIPLIERS = np.random.default_rng(12).integers(1, 2**63, SPAN, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -62,15 +77,20 @@ class Passages:
             order = np.argsort(s, kind="stable")
             self.table.append((s[order], at[order]))
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (in the text, in the passages) of windows that meet under some mask, without repeats."""
+    def hits(self, hashes: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions (in the text, in the passages) of windows that meet under some mask, without repeats. ends: where texts end that lie end to end, windows over an end don't count."""
         found = []
+        inside = np.ones(max(0, len(hashes) - SPAN + 1), bool)
+        if ends is not None:
+            for k in range(1, SPAN):
+                at = ends - k
+                inside[at[(at >= 0) & (at < len(inside))]] = False
         for mask, (s, at) in zip(MASKS, self.table, strict=True):
             own = seeds(hashes, mask)
             if not len(own) or not len(s):
                 continue
             low = np.searchsorted(s, own, "left")
-            met = np.flatnonzero((low < len(s)) & (s[np.minimum(low, len(s) - 1)] == own))
+            met = np.flatnonzero((low < len(s)) & (s[np.minimum(low, len(s) - 1)] == own) & inside)
             if not len(met):
                 continue
             low, high = low[met], np.searchsorted(s, own[met], "right")
@@ -81,13 +101,17 @@ class Passages:
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return pairs >> 31, pairs & (2**31 - 1)
 
-    def overlaps(self, hashes: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item id, longest exact run, longest run with substitutions, substitutions in it) of each item that is hit."""
-        here, there = self.hits(hashes)
+    def overlaps(self, hashes: np.ndarray, here: np.ndarray | None = None, there: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
+        """(item id, longest exact run, longest run with substitutions, substitutions in it) of each item of which a window has at most SWAPS words replaced. here, there: the hits, if known."""
+        if here is None:
+            here, there = self.hits(hashes)
         best: dict[int, tuple[int, tuple[int, int]]] = {}  # the longest exact run and the longest joined one may lie on different diagonals
         for d, item in np.unique(np.stack([there - here, self.owner[there]]), axis=1).T if len(here) else ():
             low, high = max(0, self.start[item] - d), min(len(hashes), self.start[item + 1] - d)
             same = hashes[low:high] == self.words[low + d : high + d]
+            total = np.concatenate(([0], np.cumsum(same)))
+            if len(total) <= SPAN or (total[SPAN:] - total[:-SPAN]).max() < SPAN - SWAPS:
+                continue  # they met under a mask, but too many words differ under its zeros
             edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
             begin, end = edges[::2], edges[1::2]
             if not len(begin):
@@ -117,29 +141,47 @@ def _scan(block: list[tuple[int, str | None]]):
         passages, known = Passages(block), {}
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                w = words(text)
-                if len(w) < SPAN:
-                    continue
-                if len(known) > 500_000:
-                    known.clear()
+            ids, texts = batch["doc_id"].to_pylist(), [words(t) for t in batch["text"].to_pylist()]
+            if len(known) > 500_000:
+                known.clear()
+            for w in texts:
                 for x in w:
                     if x not in known:
                         known[x] = word_hash(x)
-                hashes = np.fromiter((known[x] for x in w), np.uint64, len(w))
-                out.extend((doc, *o) for o in passages.overlaps(hashes))
+            ends = np.cumsum([len(w) for w in texts])
+            hashes = np.fromiter((known[x] for w in texts for x in w), np.uint64, int(ends[-1]) if len(ends) else 0)
+            here, there = passages.hits(hashes, ends)  # in order of here
+            text = np.searchsorted(ends, here, "right")
+            for k in np.unique(text):
+                low, high = np.searchsorted(text, [k, k + 1])
+                start = int(ends[k]) - len(texts[k])
+                out.extend((ids[k], *o) for o in passages.overlaps(hashes[start : ends[k]], here[low:high] - start, there[low:high]))
             columns = list(zip(*out, strict=True)) if out else [[] for _ in _SCHEMA]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     return run
 
 
+def _of_size(items: list[tuple[int, str | None]], block: int) -> Iterator[list[tuple[int, str | None]]]:
+    """The items in lists of at most `block` words, or one item."""
+    held, size = [], 0
+    for item in items:
+        n = len(words(item[1]))
+        if held and size + n > block:
+            yield held
+            held, size = [], 0
+        held.append(item)
+        size += n
+    if held:
+        yield held
+
+
 def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, exact_words, overlap_words, substitutions) of every text that overlaps a passage.
 
     exact_words: the longest run of consecutive equal words; overlap_words: the longest run in which up to GAP neighbouring
-    words may be replaced between equal ones, substitutions of them; the two may lie in different places of the text. Pairs appear whose windows of SPAN words meet under a mask:
-    all with 12 equal words in a row, and those whose differences lie under a mask's zeros.
+    words may be replaced between equal ones, substitutions of them; the two may lie in different places of the text. A pair appears if, and only if,
+    SPAN words in a row of the text are those of the passage but for at most SWAPS of them.
     Words are compared in lower case, without punctuation, markup and white space. Rows without id are dropped;
     null, empty or short texts and passages never match; repeated rows give one row.
     """
@@ -150,9 +192,9 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFra
     found = None
     for k in range(blocks):  # of bounded size each, and as many as the query set needs
         part = sizes.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else sizes
-        held = [tuple(r) for r in part.collect()]
-        hit = rows.mapInArrow(_scan(held), "doc_id bigint, item_id bigint, exact_words bigint, overlap_words bigint, substitutions bigint")
-        found = hit if found is None else found.unionByName(hit)
+        for held in list(_of_size([tuple(r) for r in part.collect()], block)) or [[]]:
+            hit = rows.mapInArrow(_scan(held), "doc_id bigint, item_id bigint, exact_words bigint, overlap_words bigint, substitutions bigint")
+            found = hit if found is None else found.unionByName(hit)
     return found.groupBy("doc_id", "item_id").agg(
         F.max("exact_words").alias("exact_words"), F.max("overlap_words").alias("overlap_words"), F.max_by("substitutions", "overlap_words").alias("substitutions")
     )
