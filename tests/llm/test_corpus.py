@@ -152,3 +152,37 @@ def test_complete_texts_without_punctuation_are_not_cut(spark):
     links = [r for r in got if r["text"].splitlines()[-1].startswith(("See http", "Status: "))]
     assert len(heads) > 20 and len(links) > 5
     assert np.mean([r["is_cut"] for r in heads]) < 0.05 and np.mean([r["is_cut"] for r in links]) < 0.1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF) or not os.path.isdir(mixing.TOKENIZERS), reason="no test tables")
+@pytest.mark.parametrize("rows_a_bucket", [16, 4096])
+def test_mix_of_the_tables_is_the_queue_served_in_turn(spark, monkeypatch, rows_a_bucket):
+    """Every copy, its place and the shares, against a plain simulation of the queues."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", rows_a_bucket)
+    folder = SF.replace("0.001", "0.01")
+    counted = mixing.counted(spark.read.parquet(f"{folder}/documents.parquet"))
+    goal = {r["source"]: r for r in spark.read.parquet(f"{folder}/mixture_targets.parquet").collect()}
+    out, report = mixing.mix(counted, spark.read.parquet(f"{folder}/mixture_targets.parquet"))
+    rows = counted.where("n_tokens > 0").withColumn("place", F.xxhash64(F.lit(17), "doc_id")).withColumn("high", F.shiftrightunsigned("place", 40)).collect()
+    rows = [r for r in rows if r["source"] in goal]
+    buckets = math.ceil(len(rows) / rows_a_bucket)
+    total = {s: sum(r["n_tokens"] for r in rows if r["source"] == s) for s in goal}
+    held = {s for s in goal if total[s]}
+    weight = {s: goal[s]["target_share"] / sum(goal[x]["target_share"] for x in held) for s in held}
+    budget = min(goal[s]["max_repeats"] * total[s] / weight[s] for s in held)
+    want = {}
+    for s in held:
+        at = 0
+        for copy in range(1, goal[s]["max_repeats"] + 1):
+            for r in sorted((r for r in rows if r["source"] == s), key=lambda r: (r["high"] % buckets, r["place"], r["doc_id"])):
+                at += r["n_tokens"]
+                if at <= budget * weight[s] + 1e-6:
+                    want[r["doc_id"], copy] = at / weight[s]
+    got = {(r["doc_id"], r["copy_no"]): r["virtual_finish"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    for r in report.collect():
+        assert abs(r["actual_share"] - weight.get(r["source"], 0)) < 0.01

@@ -12,6 +12,7 @@ all its buckets.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from turnmill.session import cut
 
-#: Buckets of each source's shuffled queue.
-BUCKETS = 1024
+#: Documents of one bucket of a source's shuffled queue, about, if the source holds all of them; and the most buckets that a hash has bits for.
+BUCKET_ROWS, MOST_BUCKETS = 4096, 1 << 24
+#: Targets that a mix may have.
+TARGETS = 10_000
 #: The folder of public tokenizers and the rank file used to count.
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -67,14 +70,17 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     targets, null sources and documents without id or tokens aren't used; repeated rows of a document count once.
     Null or non-positive shares or repeats take a target out. Ties in the shuffle are broken by doc_id.
     """
-    # target names are a configuration table; one row a source, and checked to be small
     goal = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").cast("bigint").alias("max_repeats"))
+    if goal.limit(TARGETS + 1).count() > TARGETS:  # one window and one report are over all of them
+        raise ValueError(f"more than {TARGETS} targets")
     mixed = F.xxhash64(F.lit(seed), "doc_id")
     docs = sizes.where("doc_id is not null and source is not null and n_tokens > 0").groupBy("doc_id").agg(F.max(F.struct("source", "n_tokens")).alias("v"))
-    docs = docs.select("doc_id", "v.source", "v.n_tokens", mixed.alias("place"), F.pmod(F.shiftrightunsigned(mixed, 40), F.lit(BUCKETS)).alias("bucket"))
+    docs = docs.select("doc_id", "v.source", "v.n_tokens", mixed.alias("place"))
     docs = cut(docs.join(goal.where("target_share > 0 and max_repeats > 0").select("source"), "source", "left_semi"))
+    buckets = min(MOST_BUCKETS, max(1, math.ceil(docs.count() / BUCKET_ROWS)))
+    docs = docs.withColumn("bucket", F.pmod(F.shiftrightunsigned("place", 40), F.lit(buckets)))
 
-    # (source, bucket) sums: at most BUCKETS rows a target
+    # (source, bucket) sums: at most a row for each bucket and target
     by_bucket = docs.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bucket.withColumn("offset", F.coalesce(F.sum("tokens").over(upto), F.lit(0)))

@@ -110,7 +110,8 @@ def runs(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     calls = events.where("event_kind = 'capability-invocation' and session_key is not null and event_key is not null")
     order = ["session_key", "record_start_offset", "content_index", "event_ordinal", "event_key"]
     slim = calls.select(*order, "capability_key", "input_fingerprint", F.md5(settled(F.col("input_text"))).alias("settled"), F.unix_micros("observed_at").alias("at"))
-    pieces = max(1, math.ceil(calls.count() / chunk), int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slim = cut(slim)  # one scan and one run of the patterns; counting and the sample of the range exchange read what is left
+    pieces = max(1, math.ceil(slim.count() / chunk), int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = cut(slim.repartitionByRange(pieces, *order).sortWithinPartitions(*order).mapInArrow(_runs_of_chunk, _DDL))
     inner = found.where("edge = 0")
     # The first and the last run of every chunk, in order. A chunk that is one run has one row.
