@@ -103,10 +103,10 @@ def file_activities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def errors(spark: SparkSession, folder: str) -> DataFrame:
-    from turnmill.functions.text import error_signature
+    from turnmill.functions.text import error_signature, nfc
 
     e = events(spark, folder, "error is not null")
-    return e.select("eventKey", "sessionKey", "turnKey", "projectKey", "provider", "observedAt", "capabilityKey", "capabilityName", "exitCode", F.col("state").alias("providerState"), error_signature(F.col("error")).alias("signature"), F.col("error").alias("content"))
+    return e.select("eventKey", "sessionKey", "turnKey", "projectKey", "provider", "observedAt", "capabilityKey", "capabilityName", "exitCode", F.col("state").alias("providerState"), error_signature(nfc("error")).alias("signature"), F.col("error").alias("content"))
 
 
 def delivery_edges(spark: SparkSession, folder: str) -> DataFrame:
