@@ -61,7 +61,7 @@ def file_workflow(files: DataFrame) -> DataFrame:
     research = F.col("reads") >= 3 * F.greatest("mutations", F.lit(1))
     building = (F.col("mutations") >= 5) & (10 * F.col("reads") <= 8 * F.col("mutations"))
     flag = lambda x: x.cast("int")
-    return c.select("*", flag(research).alias("researchHeavy"), flag(building).alias("implementationHeavy"), flag((research | building) & (F.col("docs") == 0)).alias("docVoid"))
+    return c.select("*", flag(research).alias("researchHeavy"), flag(building).alias("implementationHeavy"), flag(research & (F.col("docs") == 0)).alias("docVoid"), flag(building & (F.col("docs") == 0)).alias("specPrecisionGap"))
 
 
 def activity(events: DataFrame, bucket: Column) -> DataFrame:

@@ -9,7 +9,7 @@ import json
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnmill.operators.predicate import InvalidQuery, compile_predicate, guarantees, leaves
@@ -127,6 +127,70 @@ def records(rows: DataFrame | Callable, request: Mapping[str, Any], position: Ma
     return page.select(*(_payload(columns[f], mode).alias(public(f)) if f in resource.payloads else columns[f].alias(public(f)) for f in shape["fields"]))
 
 
+def probed(rows: DataFrame | Callable, request: Mapping[str, Any], position: Mapping[str, Any] | None = None, matches: Callable | None = None) -> DataFrame:
+    """records() with `more`: whether rows follow the page. One row more than asked for is read to tell."""
+    resource = validate(request)
+    limit = request.get("limit", MAX_LIMIT)
+    page = filtered(rows, request, matches)
+    if position is not None:
+        page = page.where(after_position(resource, position))
+    page = page.orderBy(*stable_order(resource)).limit(limit + 1)
+    numbered = page.withColumn("_n", F.row_number().over(Window.orderBy(*stable_order(resource))))  # over limit + 1 rows
+    numbered = numbered.withColumn("more", (F.max("_n").over(Window.partitionBy(F.lit(1))) > limit).cast("int")).where(F.col("_n") <= limit)
+    columns, mode = resource.columns("S"), request["shape"].get("payloadMode", "inline")
+    return numbered.select(*(_payload(columns[f], mode).alias(public(f)) if f in resource.payloads else columns[f].alias(public(f)) for f in request["shape"]["fields"]), "more")
+
+
+def exact_count(rows: DataFrame | Callable, request: Mapping[str, Any], matches: Callable | None = None) -> DataFrame:
+    """One row `n`: how many rows the predicate of a request keeps, whatever its page."""
+    return filtered(rows, request, matches).agg(F.count(F.lit(1)).alias("n"))
+
+
+def newest(rows: DataFrame, at: str, key: list[str], window: tuple[int, int], most: int = 10_000, days: int = 366) -> DataFrame:
+    """All rows with at in [after, before), newest first, ties by key: complete or not at all. A window of more than `days` days, or more than `most`
+    rows in it, raises BudgetExceeded; a page of a complete order never hides newer rows that weren't looked at."""
+    after, before = window
+    if not after < before <= after + days * 86_400_000_000:
+        raise BudgetExceeded(f"a window of at most {days} days")
+    kept = rows.where((F.col(at) >= after) & (F.col(at) < before))
+    if kept.limit(most + 1).count() > most:
+        raise BudgetExceeded(f"more than {most} matches")
+    return kept.orderBy(F.desc(at), *key)
+
+
+def visible(rows: DataFrame, hidden: DataFrame, session: str = "sessionKey", visibility: str | None = None) -> DataFrame:
+    """Rows of sessions that aren't hidden (purged or excluded), and of those only the active ones where they have a visibility. Rows without session stay."""
+    kept = rows if visibility is None else rows.where(F.col(visibility) == "active")
+    return kept.join(hidden.select(session).distinct(), session, "left_anti")
+
+
+#: What search and analyses can be narrowed by: the column, and how it is compared.
+FILTERS = {"providers": "provider", "projectKeys": "projectKey", "sessionKeys": "sessionKey", "capabilityKeys": "capabilityKey", "turnKeys": "turnKey", "eventKinds": "kind"}
+
+
+def validate_filters(filters: Mapping[str, Any], allowed: set[str] | None = None, most: int = 64) -> None:
+    """Raises InvalidQuery unless filters are lists of 1 to `most` strings, sorted and without repeats, and a window [after, before) of integers."""
+    for name, value in filters.items():
+        if name not in (FILTERS.keys() | {"window"}) or (allowed is not None and name not in allowed):
+            raise InvalidQuery(f"{name} is no filter here")
+        if name == "window":
+            if not isinstance(value, list) or len(value) != 2 or any(isinstance(v, bool) or not isinstance(v, int) for v in value) or value[0] >= value[1]:
+                raise InvalidQuery("window is [after, before)")
+        elif not isinstance(value, list) or not 1 <= len(value) <= most or any(not isinstance(v, str) for v in value) or value != sorted(set(value)):
+            raise InvalidQuery(f"{name} takes 1 to {most} strings, sorted and without repeats")
+
+
+def narrowed(rows: DataFrame, filters: Mapping[str, Any], allowed: set[str] | None = None, at: str = "observedAt") -> DataFrame:
+    """Rows that all filters keep; null values are kept by none."""
+    validate_filters(filters, allowed)
+    for name, value in filters.items():
+        if name == "window":
+            rows = rows.where((F.col(at) >= value[0]) & (F.col(at) < value[1]))
+        else:
+            rows = rows.where(F.col(FILTERS[name]).isin(value))
+    return rows
+
+
 def _metric(m: Mapping[str, Any], columns: Mapping[str, Column]) -> Column:
     c = columns.get(m.get("field", ""))
     exact = lambda: F.coalesce(F.sum(c.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)")
@@ -136,7 +200,7 @@ def _metric(m: Mapping[str, Any], columns: Mapping[str, Column]) -> Column:
     }[m["op"]]().alias(m["name"])
 
 
-def aggregate(rows: DataFrame | Callable, request: Mapping[str, Any], max_groups: int | None = None, max_candidates: int | None = None, matches: Callable | None = None) -> DataFrame:
+def aggregate(rows: DataFrame | Callable, request: Mapping[str, Any], max_groups: int | None = None, max_candidates: int | None = None, matches: Callable | None = None, max_distinct: int | None = None) -> DataFrame:
     """Exact aggregates per group: sums in decimals (empty: 0), averages as sum and count (none: null), nulls ignored.
 
     Ordered by one metric if the request names one, missing values first as the least, then by all keys with null keys first. Budgets
@@ -148,6 +212,9 @@ def aggregate(rows: DataFrame | Callable, request: Mapping[str, Any], max_groups
         raise BudgetExceeded(f"more than {max_candidates} candidates")
     columns = resource.columns("G") | resource.columns("#")
     keys = [columns[k].alias(public(k)) for k in shape.get("groupBy", [])]
+    for m in shape["metrics"] if max_distinct is not None else ():
+        if m["op"] == "distinct-count" and kept.select(*keys, columns[m["field"]]).distinct().limit(max_distinct + 1).count() > max_distinct:
+            raise BudgetExceeded(f"more than {max_distinct} distinct values of {m['field']}")
     out = kept.groupBy(*keys).agg(*(_metric(m, columns) for m in shape["metrics"]))
     if max_groups is not None and out.limit(max_groups + 1).count() > max_groups:
         raise BudgetExceeded(f"more than {max_groups} groups")
@@ -186,12 +253,32 @@ def open_cursor(token: str, request: Mapping[str, Any], snapshot: str, secret: b
     return held["p"]
 
 
+#: Completeness of events, best first.
+COMPLETENESS = ("full", "summary", "unloaded", "truncated", "unavailable")
+
+
 def coverage(rows: DataFrame) -> DataFrame:
     """One row on how complete the events that a query reads are."""
-    kinds = ("full", "summary", "unloaded", "truncated", "unavailable")
-    missing = {"observedAt": "missingTime", "turnKey": "missingTurn", "projectKey": "missingProject"}
+    missing = {"observedAt": "missingTime", "turnKey": "missingTurn", "projectKey": "missingProject", "sessionKey": "missingSession"}
     return rows.agg(
-        F.count(F.lit(1)).alias("events"), *(F.count_if(F.col("completeness") == k).alias(k) for k in kinds),
+        F.count(F.lit(1)).alias("events"), *(F.count_if(F.col("completeness") == k).alias(k) for k in COMPLETENESS),
         *(F.count_if(F.col(c).isNull()).alias(n) for c, n in missing.items()), F.count_distinct("sessionKey").alias("sessions"),
         F.coalesce(F.bool_or((F.col("completeness") != "full") | F.col("observedAt").isNull()), F.lit(False)).cast("int").alias("degraded"),
     )
+
+
+def session_coverage(rows: DataFrame, sessions: DataFrame, hidden: DataFrame) -> DataFrame:
+    """One row on the sessions of the events that a query reads: how many are known, unknown, hidden, and have only complete events."""
+    own = rows.where("sessionKey is not null").groupBy("sessionKey").agg(F.bool_and(F.col("completeness") == "full").alias("_full"))
+    one = own.join(sessions.select("sessionKey", F.lit(1).alias("_known")), "sessionKey", "left").join(hidden.select("sessionKey", F.lit(1).alias("_hidden")).distinct(), "sessionKey", "left")
+    return one.agg(F.count(F.lit(1)).alias("sessions"), F.count("_known").alias("known"), F.count_if(F.col("_known").isNull()).alias("unknown"), F.count("_hidden").alias("hidden"), F.count_if("_full").alias("complete"))
+
+
+def with_coverage(rows: DataFrame, result: DataFrame, label: str) -> DataFrame:
+    """A result with the coverage of exactly the rows that it was made from beside it: provenance, events, degraded. label is recorded, derived or estimated.
+
+    The coverage is one row, read as a scalar subquery."""
+    if label not in ("recorded", "derived", "estimated"):
+        raise InvalidQuery("provenance is recorded, derived or estimated")
+    one = coverage(rows)
+    return result.withColumns({"provenance": F.lit(label), "coverageEvents": one.select("events").scalar(), "degraded": one.select("degraded").scalar()})

@@ -142,6 +142,14 @@ def ascii_postings(documents: DataFrame, doc: str, text: str) -> DataFrame:
     return words.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def ascii_hits(documents: DataFrame, doc: str, text: str, terms: list[str]) -> DataFrame:
+    """(doc, term, tf, length) of the documents that have any of the terms, in one pass: words are filtered before they are exploded. length is in all words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
+    held = documents.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(doc, words.alias("_words"))
+    hits = held.select(doc, F.size("_words").cast("bigint").alias("length"), F.explode(F.filter("_words", lambda w: w.isin(terms))).alias("term"))
+    return hits.groupBy(doc, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def ascii_lengths(documents: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, length) in words [a-z0-9]+, of documents that have any; without making postings."""
     n = F.size(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0))

@@ -1,6 +1,6 @@
 """All queries outside of the subpackage for text corpora, and their SQL."""
 
-from turnmill.plans import p1, p4, reference
+from turnmill.plans import p1, p4, reference, usage  # noqa: F401
 
 QUERIES = p1.QUERIES | p4.QUERIES | reference.QUERIES
 SQL = p1.SQL | p4.SQL | reference.SQL

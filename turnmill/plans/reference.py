@@ -127,10 +127,18 @@ def q_keyset_page2(spark: SparkSession, d: str) -> DataFrame:
     return query.records(rows, _PAGE, query.open_cursor(token, _PAGE, d, b"demo"))
 
 
-@define("q_payload_reference", "ev", "SELECT eventKey, octet_length(encode(error))::BIGINT AS byteLength, sha256(error) AS sha256 FROM ev WHERE exitCode IS NOT NULL AND exitCode <> 0 AND error IS NOT NULL")
-def q_payload_reference(spark: SparkSession, d: str) -> DataFrame:
-    rows = facts.events(spark, d, "exitCode is not null and exitCode <> 0 and error is not null")
-    return rows.select("eventKey", F.octet_length("error").cast("bigint").alias("byteLength"), F.sha2(F.encode("error", "utf-8"), 256).alias("sha256"))
+_PAYLOADS = {"resource": "error-occurrence", "where": _leaf("error.providerState", "eq", "failed"), "shape": {"kind": "records", "fields": ["eventKey", "error.content"], "payloadMode": "reference"}, "limit": 50}
+
+
+def _payload_query(mode: str, parts: str) -> None:
+    request = _PAYLOADS | {"shape": _PAYLOADS["shape"] | {"payloadMode": mode}}
+    define(f"q_payload_{mode}", "ev", f"SELECT eventKey, {parts} AS error_content FROM ev WHERE error IS NOT NULL AND state = 'failed' ORDER BY observedAt DESC NULLS LAST, eventKey LIMIT 50")(lambda spark, d: query.records(facts.source("error-occurrence", spark, d), request))
+
+
+_REFERENCE = """'{"byteLength":' || octet_length(encode(error)) || ',"sha256":"' || sha256(error) || '\""""
+_payload_query("omit", "NULL::VARCHAR")
+_payload_query("reference", _REFERENCE + "}'")
+_payload_query("inline", _REFERENCE + ",\"inline\":' || to_json(error)::VARCHAR || '}'")
 
 
 @define("q_json_field", "ev", "SELECT eventKey, json_extract_string(input, '$.path') AS path FROM (SELECT eventKey, CASE WHEN regexp_matches(input, '^[{][^{}]*[}]$') THEN input END AS input FROM ev) WHERE json_valid(input) AND json_extract_string(input, '$.path') IS NOT NULL")
@@ -200,7 +208,7 @@ def agg_having(spark: SparkSession, d: str) -> DataFrame:
     return facts.turns(spark, d).where("visibility = 'active'").groupBy("sessionKey").agg(F.count(F.lit(1)).alias("turns")).where("turns >= 3")
 
 
-@define("agg_coverage", "ev", "SELECT count(*) AS events, " + ", ".join(f"count(*) FILTER (completeness = '{k}') AS {k}" for k in ("full", "summary", "unloaded", "truncated", "unavailable")).replace("AS full", 'AS "full"') + ', count(*) FILTER (observedAt IS NULL) AS "missingTime", count(*) FILTER (turnKey IS NULL) AS "missingTurn", count(*) FILTER (projectKey IS NULL) AS "missingProject", count(DISTINCT sessionKey) AS sessions, CASE WHEN coalesce(bool_or(completeness <> \'full\' OR observedAt IS NULL), false) THEN 1 ELSE 0 END AS degraded FROM ev')
+@define("agg_coverage", "ev", "SELECT count(*) AS events, " + ", ".join(f"count(*) FILTER (completeness = '{k}') AS {k}" for k in ("full", "summary", "unloaded", "truncated", "unavailable")).replace("AS full", 'AS "full"') + ', count(*) FILTER (observedAt IS NULL) AS "missingTime", count(*) FILTER (turnKey IS NULL) AS "missingTurn", count(*) FILTER (projectKey IS NULL) AS "missingProject", count(*) FILTER (sessionKey IS NULL) AS "missingSession", count(DISTINCT sessionKey) AS sessions, CASE WHEN coalesce(bool_or(completeness <> \'full\' OR observedAt IS NULL), false) THEN 1 ELSE 0 END AS degraded FROM ev')
 def agg_coverage(spark: SparkSession, d: str) -> DataFrame:
     return query.coverage(facts.events(spark, d))
 
@@ -254,10 +262,10 @@ def join_nearest_in_time(spark: SparkSession, d: str) -> DataFrame:
     return joins.nearest_in_time(s, facts.turns(spark, d), ["sessionKey"], "observedAt", "startedAt", "endedAt", "turnKey")
 
 
-@define("join_semi", "ev us", "SELECT eventKey FROM ev WHERE EXISTS (SELECT 1 FROM us WHERE us.turnKey = ev.turnKey AND us.terminalState = 'failed')")
+@define("join_semi", "ev us", "SELECT eventKey FROM ev WHERE EXISTS (SELECT 1 FROM us WHERE us.turnKey = ev.turnKey AND us.terminalState = 'failed' AND us.capabilityName = 'shell_exec')")
 def join_semi(spark: SparkSession, d: str) -> DataFrame:
     """Both conditions hold on the same use row, so they stand on one side of the semi-join."""
-    failed = facts.capability_uses(spark, d).where("terminalState = 'failed'").select("turnKey")
+    failed = facts.capability_uses(spark, d).where("terminalState = 'failed' and capabilityName = 'shell_exec'").select("turnKey")
     return facts.events(spark, d).select("eventKey", "turnKey").join(failed, "turnKey", "left_semi").select("eventKey")
 
 
@@ -380,7 +388,7 @@ def r_failure_chains(spark: SparkSession, d: str) -> DataFrame:
 
 
 @define("r_file_workflow_rules", "fa", r"""SELECT *, CASE WHEN reads >= 3 * greatest(mutations, 1) THEN 1 ELSE 0 END AS researchHeavy, CASE WHEN mutations >= 5 AND 10 * reads <= 8 * mutations THEN 1 ELSE 0 END AS implementationHeavy,
-CASE WHEN (reads >= 3 * greatest(mutations, 1) OR (mutations >= 5 AND 10 * reads <= 8 * mutations)) AND docs = 0 THEN 1 ELSE 0 END AS docVoid
+CASE WHEN reads >= 3 * greatest(mutations, 1) AND docs = 0 THEN 1 ELSE 0 END AS docVoid, CASE WHEN mutations >= 5 AND 10 * reads <= 8 * mutations AND docs = 0 THEN 1 ELSE 0 END AS "specPrecisionGap"
 FROM (SELECT sessionKey, count(*) FILTER (action IN ('read', 'search', 'list')) AS reads, count(*) FILTER (action IN ('edit', 'write', 'delete', 'move')) AS mutations, count(*) FILTER (regexp_matches(lower(path), '\.(md|txt|rst)$')) AS docs,
 count(*) FILTER (regexp_matches(lower(path), '\.(rs|js|mjs|ts|py)$')) AS code, count(DISTINCT path) AS paths FROM fa GROUP BY 1)""")
 def r_file_workflow_rules(spark: SparkSession, d: str) -> DataFrame:
