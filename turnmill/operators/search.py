@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -226,6 +227,100 @@ def fielded_search(documents: DataFrame, doc: str, text: str, query: str, phrase
     return rerank(bm25(post, terms, doc, lengths=found), post, documents, doc, text, terms, phrase)
 
 
+#: The fields of a turn and the terms in each, as patterns of ASCII text in lower case: words, and names with inner dots, slashes or dashes.
+FIELD_PATTERNS = {"natural": "[a-z0-9]+", "code": "[a-z0-9]+(?:[/._-][a-z0-9]+)+"}
+
+
+def ascii_query(text: str) -> list[tuple[str, str]]:
+    """(field, term) of a query, in order and without repeats; every term may also be a capability's name. ValueError if fewer than two characters can be searched."""
+    if sum(c.isalnum() for c in text) < 2:
+        raise ValueError("query too broad")
+    held = [(f, t) for f, p in FIELD_PATTERNS.items() for t in re.findall(p, text.lower())]
+    return list(dict.fromkeys([*held, *(("capability", t) for _, t in held)]))[: 2 * QUERY_TERMS]
+
+
+def turn_hits(turns: DataFrame, names: DataFrame, asked: list[tuple[str, str]], phrase: str) -> DataFrame:
+    """(turnKey, observedAt, length, exact, hits) of every turn that has terms: one pass, which keeps of all terms only their number and those asked for.
+
+    turns: turnKey, observedAt, problem; names: (turnKey, capabilityName), each a term of the turn. Null and empty problems have no terms."""
+    named = names.where("turnKey is not null and capabilityName is not null").select("turnKey", F.lower("capabilityName").alias("name")).groupBy("turnKey").agg(F.collect_set("name").alias("capability"))
+    rows = turns.select("turnKey", "observedAt", F.lower(F.coalesce("problem", F.lit(""))).alias("low"), "problem").join(named, "turnKey", "left")
+    none = F.array().cast("array<string>")
+    terms = {f: F.regexp_extract_all("low", F.lit(p), 0) for f, p in FIELD_PATTERNS.items()} | {"capability": F.coalesce("capability", none)}
+    rows = rows.select("turnKey", "observedAt", F.contains("low", F.lit(phrase.lower())).cast("int").alias("exact"), *(c.alias(f) for f, c in terms.items()))
+    wanted = {f: [t for g, t in asked if g == f] for f in terms}
+
+    def hits(f: str) -> Column:
+        held = F.filter(f, lambda t: t.isin(wanted[f])) if wanted[f] else none
+        return F.transform(F.array_distinct(held), lambda t: F.struct(F.lit(f).alias("field"), t.alias("term"), F.size(F.filter(held, lambda x: x == t)).cast("bigint").alias("tf")))
+
+    size = sum((F.size(f) for f in terms), F.lit(0)).cast("bigint")
+    return rows.select("turnKey", "observedAt", size.alias("length"), "exact", F.concat(*(hits(f) for f in terms)).alias("hits")).where("length > 0")
+
+
+def search_turns(turns: DataFrame, names: DataFrame, query: str, phrase: str | None = None, candidates: int = 300, results: int = 200) -> DataFrame:
+    """(turnKey, observedAt, relevance_ppm, position) of the best turns for a query.
+
+    Terms are chosen by how rare they are, BM25 with field weights gives the candidates, and these are ordered by their rank, the share of idf they match and
+    whether the phrase (the query itself by default) occurs as it is; newest first among equals, then by key. The corpus is read once."""
+    asked = ascii_query(query)
+    found = cut(turn_hits(turns, names, asked, phrase or query))
+    n, mean = found.agg(F.count(F.lit(1)), F.avg("length")).first()
+    post = found.select("turnKey", "length", F.inline("hits"))
+    df = {(r["field"], r["term"]): r["df"] for r in post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).collect()}  # at most one row a query term
+    chosen = selected_terms([(f, t, df.get((f, t), 0)) for f, t in asked], n)
+    if not chosen:
+        return found.limit(0).select("turnKey", "observedAt", F.lit(0).cast("bigint").alias("relevance_ppm"), F.lit(0).cast("bigint").alias("position"))
+    stats = [(f, t, WEIGHTS[f], math.log(1 + (n - k + 0.5) / (k + 0.5)), math.log((n + 1) / (k + 1)) + 1) for f, t, k in chosen]
+    table = F.broadcast(turns.sparkSession.createDataFrame(stats, "field string, term string, w double, bm double, idf double"))  # at most 32 rows
+    tf = F.col("tf") * F.col("w")
+    part = F.col("bm") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+    best = post.join(table, ["field", "term"]).groupBy("turnKey").agg(F.round(F.sum(part) * 1_000_000).cast("bigint").alias("score"), F.sum("idf").alias("matched")).orderBy(F.desc("score"), "turnKey").limit(candidates)
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "turnKey"))).where(F.col("rank") <= results)  # over at most `candidates` rows
+    total = sum(x[-1] for x in stats)
+    relevance = RANK_WEIGHT * (RANK_SHIFT + 1) / (RANK_SHIFT + F.col("rank")) + IDF_WEIGHT * F.col("matched") / F.lit(total) + EXACT_WEIGHT * F.col("exact")
+    out = found.select("turnKey", "observedAt", "exact").join(F.broadcast(ranked), "turnKey").select("turnKey", "observedAt", F.round(relevance * 1_000_000).cast("bigint").alias("relevance_ppm"))
+    line = Window.orderBy(F.desc("relevance_ppm"), F.col("observedAt").desc_nulls_last(), "turnKey")  # over at most `results` rows
+    return out.withColumn("position", F.row_number().over(line).cast("bigint"))
+
+
+def memory_search(entries: DataFrame, doc: str, text: str, query: str, k: int) -> DataFrame:
+    """(doc, score_ppm, rank): the best k entries for the first 32 different words of a query, any of them, by BM25; ties by id."""
+    terms = list(dict.fromkeys(re.findall("[a-z0-9]+", query.lower())))[:32]
+    hits = cut(ascii_hits(entries, doc, text, terms))
+    return bm25(hits.select(doc, "term", "tf"), terms, doc, k, lengths=ascii_lengths(entries, doc, text))
+
+
+def recall(lists: list[tuple[str, DataFrame]], doc: str, k: int) -> DataFrame:
+    """(doc, list, rank, position): ranked lists as one, by rank and then by the order of the lists and id; a document in several lists stands where it is first.
+
+    For lists without common documents that is reciprocal rank fusion. Lists are cut to 3 k before."""
+    rows = None
+    for no, (name, ranked) in enumerate(lists):
+        part = ranked.where(F.col("rank") <= 3 * k).select(doc, F.lit(name).alias("list"), F.lit(no).alias("_no"), F.col("rank").cast("bigint").alias("rank"))
+        rows = part if rows is None else rows.unionByName(part)
+    one = rows.groupBy(doc).agg(F.min(F.struct("rank", "_no", "list")).alias("_f")).select(doc, F.col("_f.list").alias("list"), F.col("_f._no").alias("_no"), F.col("_f.rank").alias("rank"))
+    line = ["rank", "_no", doc]
+    return one.orderBy(*line).limit(k).withColumn("position", F.row_number().over(Window.orderBy(*line)).cast("bigint")).drop("_no")  # over k rows
+
+
+def head_tail(fields: dict[str, Column], head: int, tail: int) -> Column:
+    """array<struct<place, field, item>>: of arrays side by side the first `head` items, one from each field in turn, and of the rest the last `tail`, in turn from their ends.
+
+    All items if there are no more than head + tail. Items keep their place in their field, from 1; null fields have none."""
+    names = list(fields)
+
+    def placed(no: int, c: Column) -> Column:
+        return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i: F.struct((i + 1).alias("place"), F.lit(no).alias("no"), (F.size(c) - i).alias("from_end"), x.alias("item")))
+
+    rows = F.concat(*(placed(n, c) for n, c in enumerate(fields.values())))
+    front = F.array_sort(rows)
+    rest = F.array_sort(F.transform(F.slice(front, F.lit(head + 1), F.greatest(F.size(front) - head, F.lit(0))), lambda x: F.struct(x["from_end"].alias("from_end"), x["no"].alias("no"), x["place"].alias("place"), x["item"].alias("item"))))
+    name = F.array(*map(F.lit, names))
+    pick = lambda x: F.struct(x["place"].alias("place"), F.element_at(name, x["no"] + 1).alias("field"), x["item"].alias("item"))
+    return F.concat(F.transform(F.slice(front, 1, head), pick), F.transform(F.slice(rest, 1, tail), pick))
+
+
 def fuse(lists: list[DataFrame], doc: str, k: int = RANK_SHIFT) -> DataFrame:
     """Reciprocal rank fusion of (doc, rank) lists: (doc, rrf_ppm), best first."""
     rows = lists[0].select(doc, "rank")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnmill.functions import text as tx
+from turnmill.session import cut
 from turnmill.operators import analyses as an
 from turnmill.operators import evidence, joins, paths, query, search, windows
 from turnmill.sources import facts
@@ -151,8 +152,7 @@ def q_json_field(spark: SparkSession, d: str) -> DataFrame:
 def q_match(spark: SparkSession, d: str) -> DataFrame:
     """Full-text match as a semi-join with the postings of the wanted terms."""
     e = facts.events(spark, d)
-    post = search.ascii_postings(e.select("eventKey", "output"), "eventKey", "output").where(F.col("term").isin("checkpoint", "snapshot"))
-    return e.select("eventKey").join(post, "eventKey", "left_semi")
+    return e.select("eventKey").join(search.ascii_hits(e, "eventKey", "output", ["checkpoint", "snapshot"]), "eventKey", "left_semi")
 
 
 def _agg(name: str, resource: str, shape: dict, views: str, sql: str, where: dict | None = None, flat: list[str] | None = None) -> None:
@@ -370,7 +370,10 @@ def win_head_tail(spark: SparkSession, d: str) -> DataFrame:
     return an.head_and_tail(facts.events(spark, d).select("eventKey", "sessionKey", *an.SOURCE), "sessionKey", [*an.SOURCE, "eventKey"], 3, 2).select("eventKey", "part", "truncated")
 
 
-@define("win_chunk_pack")
+@define("win_chunk_pack", "", _with("tu").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, x AS (SELECT sessionKey, startOffset, turnKey, octet_length(encode(concat_ws('', problem, finalAnswer)))::BIGINT AS bytes, row_number() OVER (PARTITION BY sessionKey ORDER BY startOffset, turnKey) AS n FROM tu),
+w AS (SELECT x.*, 0::BIGINT AS chunk_no, bytes AS fill FROM x WHERE n = 1
+UNION ALL SELECT x.*, CASE WHEN w.fill + x.bytes > 2048 THEN w.chunk_no + 1 ELSE w.chunk_no END, CASE WHEN w.fill + x.bytes > 2048 THEN x.bytes ELSE w.fill + x.bytes END FROM w JOIN x ON x.sessionKey = w.sessionKey AND x.n = w.n + 1)
+SELECT sessionKey, startOffset, turnKey, bytes, chunk_no FROM w""")
 def win_chunk_pack(spark: SparkSession, d: str) -> DataFrame:
     """Whole turns packed greedily into chunks of 2,048 bytes."""
     rows = facts.turns(spark, d).select("sessionKey", "startOffset", "turnKey", F.octet_length(F.concat_ws("", "problem", "finalAnswer")).cast("bigint").alias("bytes"))
@@ -432,8 +435,7 @@ def r_solution_recall(spark: SparkSession, d: str) -> DataFrame:
     """Uses whose input matches, each with the next success in its chain."""
     u = joins.next_later(facts.capability_uses(spark, d), ["sessionKey", "capabilityKey"], [*an.SOURCE, "useKey"], F.col("terminalState") == "completed", F.col("useKey"), "nextKey")
     e = facts.events(spark, d).select(F.col("eventKey").alias("useKey"), "input")
-    hits = search.ascii_postings(e, "useKey", "input").where(F.col("term").isin("cursor", "rollup")).select("useKey")
-    return u.select("useKey", "nextKey", "observedAt").join(hits, "useKey", "left_semi")
+    return u.select("useKey", "nextKey", "observedAt").join(search.ascii_hits(e, "useKey", "input", ["cursor", "rollup"]), "useKey", "left_semi")
 
 
 _HOPS = """, r0 AS (SELECT DISTINCT repository_id AS repositoryKey, lower(object_id) AS root FROM repository_refs), l AS (SELECT DISTINCT repositoryKey, fromKey, toKey FROM ed),
@@ -488,7 +490,8 @@ FROM po JOIN (SELECT doc_id, sum(tf) AS len FROM po GROUP BY 1) USING (doc_id) J
 @define("t_bm25", "po", f", {_BM25} SELECT * FROM b")
 def t_bm25(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return search.bm25(search.ascii_postings(docs, "doc_id", "text"), _TERMS, "doc_id", lengths=search.ascii_lengths(docs, "doc_id", "text")).withColumn("rank", F.col("rank").cast("bigint"))
+    hits = cut(search.ascii_hits(docs, "doc_id", "text", _TERMS).select("doc_id", "term", "tf"))
+    return search.bm25(hits, _TERMS, "doc_id", lengths=search.ascii_lengths(docs, "doc_id", "text")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @define("t_search_rerank")
@@ -502,10 +505,11 @@ def t_full_postings(spark: SparkSession, d: str) -> DataFrame:
     return search.document_frequency(search.postings(table(spark, d, "documents"), "doc_id", "text"))
 
 
-@define("t_rrf", "po", "SELECT doc_id, round(sum(1 / (60 + rank)::DOUBLE) * 1000000)::BIGINT AS rrf_ppm FROM (SELECT doc_id, row_number() OVER (ORDER BY tf DESC, doc_id) AS rank FROM po WHERE term = 'checkpoint' UNION ALL SELECT doc_id, row_number() OVER (ORDER BY tf DESC, doc_id) FROM po WHERE term = 'cursor') GROUP BY 1")
+@define("t_rrf", "po", "SELECT doc_id, round(sum(1 / (60 + rank)::DOUBLE) * 1000000)::BIGINT AS rrf_ppm FROM (SELECT doc_id, row_number() OVER (ORDER BY tf DESC, doc_id) AS rank FROM po WHERE term = 'checkpoint' UNION ALL SELECT doc_id, row_number() OVER (ORDER BY tf DESC, doc_id) FROM po WHERE term = 'cursor') WHERE rank <= 300 GROUP BY 1")
 def t_rrf(spark: SparkSession, d: str) -> DataFrame:
-    post = search.ascii_postings(table(spark, d, "documents"), "doc_id", "text")
-    ranked = lambda t: post.where(F.col("term") == t).select("doc_id", F.row_number().over(Window.orderBy(F.desc("tf"), "doc_id")).alias("rank"))
+    post = search.ascii_hits(table(spark, d, "documents"), "doc_id", "text", ["checkpoint", "cursor"])
+    line = [F.desc("tf"), F.asc("doc_id")]
+    ranked = lambda t: post.where(F.col("term") == t).orderBy(*line).limit(300).select("doc_id", F.row_number().over(Window.orderBy(*line)).alias("rank"))
     return search.fuse([ranked("checkpoint"), ranked("cursor")], "doc_id")
 
 
@@ -554,10 +558,19 @@ def t_stable_key(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("session_key", tx.stable_key("turnmill.session", F.col("session_key"), F.col("provider")).alias("key")).distinct()
 
 
-@define("t_ndcg", "", """WITH r AS (SELECT suite, relevance_grade AS g, row_number() OVER (PARTITION BY suite ORDER BY length(passage) DESC, item_id) AS rank, row_number() OVER (PARTITION BY suite ORDER BY relevance_grade DESC) AS ideal FROM eval_items)
-SELECT suite, round(sum(CASE WHEN rank <= 10 THEN (pow(2, g) - 1) / log2(rank + 1) END) / sum(CASE WHEN ideal <= 10 THEN (pow(2, g) - 1) / log2(ideal + 1) END) * 1000000)::BIGINT AS ndcg_ppm, round(count(*) FILTER (rank <= 300 AND g > 0)::DOUBLE / count(*) FILTER (g > 0) * 1000000)::BIGINT AS recall_ppm FROM r GROUP BY 1""")
+_ITEM_BM25 = f"""WITH ip AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(passage), '[a-z0-9]+')) AS term FROM eval_items) GROUP BY 1, 2), il AS (SELECT item_id, sum(tf) AS len FROM ip GROUP BY 1),
+b AS (SELECT item_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))) * 1000000)::BIGINT AS score FROM ip JOIN il USING (item_id) JOIN (SELECT term, count(*) AS df FROM ip GROUP BY 1) USING (term), (SELECT count(*) AS n, avg(len) AS avg FROM il) WHERE term IN ({_IN}) GROUP BY 1),
+r AS (SELECT suite, relevance_grade AS g, CASE WHEN score IS NOT NULL THEN row_number() OVER (PARTITION BY suite ORDER BY score DESC NULLS LAST, item_id) END AS rank, row_number() OVER (PARTITION BY suite ORDER BY relevance_grade DESC) AS ideal FROM eval_items LEFT JOIN b USING (item_id))
+"""
+
+
+@define("t_ndcg", "", _ITEM_BM25 + """SELECT suite, round(coalesce(sum(CASE WHEN rank <= 10 THEN (pow(2, g) - 1) / log2(rank + 1) END), 0) / sum(CASE WHEN ideal <= 10 THEN (pow(2, g) - 1) / log2(ideal + 1) END) * 1000000)::BIGINT AS ndcg_ppm, round(count(*) FILTER (rank <= 300 AND g > 0)::DOUBLE / count(*) FILTER (g > 0) * 1000000)::BIGINT AS recall_ppm FROM r GROUP BY 1""")
 def t_ndcg(spark: SparkSession, d: str) -> DataFrame:
-    ranked = table(spark, d, "eval_items").select("suite", "relevance_grade", F.row_number().over(Window.partitionBy("suite").orderBy(F.length("passage").desc(), "item_id")).alias("rank"))
+    """How well BM25 ranks the graded items of each suite; items that it doesn't find have no rank."""
+    items = table(spark, d, "eval_items")
+    scores = search.bm25(cut(search.ascii_hits(items, "item_id", "passage", _TERMS).select("item_id", "term", "tf")), _TERMS, "item_id", lengths=search.ascii_lengths(items, "item_id", "passage"))
+    line = Window.partitionBy("suite").orderBy(F.col("score_ppm").desc_nulls_last(), "item_id")
+    ranked = items.select("item_id", "suite", "relevance_grade").join(scores.select("item_id", "score_ppm"), "item_id", "left").withColumn("rank", F.when(F.col("score_ppm").isNotNull(), F.row_number().over(line)))
     return search.quality(ranked, "suite", "rank", "relevance_grade")
 
 
@@ -580,7 +593,11 @@ def s_change_log(spark: SparkSession, d: str) -> DataFrame:
     return feeds.change_log(log, "session_key", "position")
 
 
-@define("s_rollback_replay")
+@define("s_rollback_replay", "", _with("ev").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, x AS (SELECT sessionKey, turnKey, row_number() OVER (PARTITION BY sessionKey ORDER BY recordStart, contentIndex, ordinal, eventKey) AS n FROM ev WHERE kind = 'turn-lifecycle'),
+w AS (SELECT sessionKey, 0::BIGINT AS n, []::STRUCT(n BIGINT, turnKey VARCHAR)[] AS held, NULL::STRUCT(n BIGINT, turnKey VARCHAR) AS gone FROM (SELECT DISTINCT sessionKey FROM x)
+UNION ALL SELECT x.sessionKey, x.n, CASE WHEN x.n % 9 = 0 THEN w.held[1:len(w.held) - 1] ELSE list_append(w.held, {'n': x.n, 'turnKey': x.turnKey}) END, CASE WHEN x.n % 9 = 0 AND len(w.held) > 0 THEN w.held[len(w.held)] END FROM w JOIN x ON x.sessionKey = w.sessionKey AND x.n = w.n + 1),
+last AS (SELECT sessionKey, arg_max(held, n) AS held FROM w GROUP BY 1)
+SELECT sessionKey, gone.turnKey AS turnKey, 'rolled-back' AS state FROM w WHERE gone IS NOT NULL UNION ALL SELECT sessionKey, h.turnKey, 'active' FROM (SELECT sessionKey, unnest(held) AS h FROM last)""")
 def s_rollback_replay(spark: SparkSession, d: str) -> DataFrame:
     """Turn ends seal turns, and every ninth lifecycle event of a session rolls one back."""
     line = Window.partitionBy("sessionKey").orderBy(*an.SOURCE, "eventKey")
