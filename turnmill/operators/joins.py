@@ -47,15 +47,38 @@ def prefix_unique(prefixes: DataFrame, scope: str, prefix: str, ids: DataFrame,
     return prefixes.join(hits.where("_k = 1").drop("_k"), [scope, prefix])
 
 
+def beside(points: DataFrame, marks: DataFrame, keys: list[str], at: str, payload: list[str], bucket_us: int = 86_400_000_000) -> DataFrame:
+    """marks with `_last` and `_next`: the points of equal keys that stand at or before each mark and behind it, as struct(at, payload...); null if none.
+
+    points: keys, at and payload; marks: keys, at and other columns. Of points at one time the least payload is taken. No pairs are made: points and marks lie in
+    one order, which is cut into buckets of time, so a key with most of the rows is many tasks; what a bucket begins and ends with comes from one row a bucket."""
+    own = [c for c in marks.columns if c not in keys and c != at]
+    point = points.where(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.min(F.struct(*payload)).alias("_p")).select(*keys, at, F.struct(F.col(at), *(F.col(f"_p.{c}").alias(c) for c in payload)).alias("_point"))
+    rows = point.withColumns({"_own": F.lit(None).cast(marks.select(F.struct(*own).alias("s")).schema["s"].dataType), "_side": F.lit(0)}).unionByName(
+        marks.where(F.col(at).isNotNull()).select(*keys, at, F.lit(None).cast(point.schema["_point"].dataType).alias("_point"), F.struct(*own).alias("_own"), F.lit(1).alias("_side"))
+    ).withColumn("_b", F.floor(F.col(at) / bucket_us))
+    up, down = Window.partitionBy(*keys, "_b").orderBy(at, "_side"), Window.partitionBy(*keys, "_b").orderBy(F.desc(at), F.desc("_side"))
+    inside = rows.withColumns({"_last": F.last("_point", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.last("_point", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))})
+    ends = rows.groupBy(*keys, "_b").agg(F.max("_point").alias("_high"), F.min("_point").alias("_low"))  # structs are compared by time first
+    line, back = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys).orderBy(F.desc("_b"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, "_b", F.last("_high", ignorenulls=True).over(before(line)).alias("_from"), F.last("_low", ignorenulls=True).over(before(back)).alias("_to"))
+    out = inside.where("_side = 1").join(carry, [*keys, "_b"])
+    return out.select(*keys, at, "_own.*", F.coalesce("_last", "_from").alias("_last"), F.coalesce("_next", "_to").alias("_next"))
+
+
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str, end: str, right_id: str) -> DataFrame:
-    """For each left row the right row of equal keys that is nearest: inside [start, end] first, then the least gap to the window, then the id.
+    """For each left row the right row of equal keys that is nearest to `end`: one inside [start, end] first, then by the least distance, then by id.
 
-    left has keys, at columns start and end (microseconds) and an id per row in all other columns; right has keys, at and right_id."""
+    left has keys and the columns start and end (microseconds); right has keys, at and right_id. Left rows without end, or without any right row, are out.
+    Adds right_id, gap (distance to end) and in_window."""
     own = [c for c in left.columns if c not in keys]
-    gap = F.greatest(F.col(start) - F.col(at), F.col(at) - F.col(end), F.lit(0))
-    joined = left.join(right.select(*keys, at, right_id), keys).where(F.col(at).isNotNull())
-    best = joined.groupBy(*keys, *own).agg(F.min(F.struct(gap.alias("gap"), F.col(right_id), F.col(at))).alias("_n"))
-    return best.select(*keys, *own, F.col(f"_n.{right_id}").alias(right_id), F.col("_n.gap").alias("gap"), (F.col("_n.gap") == 0).cast("int").alias("in_window"))
+    marks = left.withColumn(at, F.col(end)).withColumn("_row", F.struct(*own)).select(*keys, at, "_row")
+    found = beside(right.select(*keys, at, right_id), marks, keys, at, [right_id]).select(*keys, "_row.*", "_last", "_next")
+    inside = F.coalesce(F.col(f"_last.{at}") >= F.col(start), F.lit(False))
+    far = lambda p: F.when(F.col(p).isNotNull(), F.struct(F.abs(F.col(f"{p}.{at}") - F.col(end)).alias("gap"), F.col(f"{p}.{right_id}").alias("id")))
+    best = F.when(inside, far("_last")).otherwise(F.least(far("_last"), far("_next")))
+    return found.withColumn("_n", best).where("_n is not null").select(*keys, *own, F.col("_n.id").alias(right_id), F.col("_n.gap").alias("gap"), inside.cast("int").alias("in_window"))
 
 
 def full_compare(now: DataFrame, before: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -74,14 +97,26 @@ def with_values(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
     return rows.join(F.broadcast(asked), column)
 
 
-def unique_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, term: str, least: int = 2) -> DataFrame:
+def unique_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, term: str, least: int = 2, hot: int = 1000) -> DataFrame:
     """(left_id, right_id, overlap): for each left id the right id with which it shares most distinct terms, if at least `least` and without a tie.
 
-    Both sides are (id, term) rows. Terms that half of a side's ids have join many rows; the aggregate behind the join is combined before it is shuffled."""
-    pairs = left.select(left_id, term).distinct().join(right.select(right_id, term).distinct(), term).groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
-    best = pairs.groupBy(left_id).agg(F.max("overlap").alias("overlap"))
-    top = pairs.join(best, [left_id, "overlap"]).groupBy(left_id, "overlap").agg(F.count(F.lit(1)).alias("_k"), F.min(right_id).alias(right_id))
-    return top.where("_k = 1").select(left_id, right_id, "overlap")
+    Both sides are (id, term) rows. Pairs are only made over terms that at most `hot` right ids have; how many of the others a pair shares is read from both ids' sets.
+    Right ids that share only common terms count by their set of these: ids with the same set tie anyway, so sets are joined, not ids. The result is exact for any `hot`."""
+    a, b = left.select(left_id, term).where(F.col(left_id).isNotNull() & F.col(term).isNotNull()).distinct(), right.select(right_id, term).where(F.col(right_id).isNotNull() & F.col(term).isNotNull()).distinct()
+    common = b.groupBy(term).agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") > hot).select(term)
+    sets = lambda rows, key, name: rows.join(common, term, "left_semi").groupBy(key).agg(F.array_sort(F.collect_set(term)).alias(name))  # noqa: E731  as many terms at most as are common
+    a_sets, b_sets = sets(a, left_id, "_ha"), sets(b, right_id, "_hb")
+    rare = a.join(common, term, "left_anti").join(b, term).groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("_n"))
+    shared = F.coalesce(F.size(F.array_intersect("_ha", "_hb")), F.lit(0))
+    by_id = rare.join(a_sets, left_id, "left").join(b_sets, right_id, "left").select(left_id, F.col(right_id).alias("_id"), (F.col("_n") + F.greatest(shared, F.lit(0))).alias("overlap"), F.lit(1).cast("bigint").alias("_k"))
+    kinds = b_sets.groupBy("_hb").agg(F.count(F.lit(1)).alias("_k"), F.min(right_id).alias("_id"))
+    meet = a_sets.select("_ha").distinct().select("_ha", F.explode("_ha").alias(term)).join(kinds.select("_hb", "_k", "_id", F.explode("_hb").alias(term)), term)
+    by_set = a_sets.join(meet.groupBy("_ha", "_hb", "_k", "_id").agg(F.count(F.lit(1)).alias("overlap")), "_ha").select(left_id, "_id", "overlap", "_k")
+    pairs = by_id.unionByName(by_set).where(F.col("overlap") >= least)
+    # the greatest overlap, how many ids have it, and one of them: combined before the shuffle by way of one row per overlap
+    top = pairs.groupBy(left_id, "overlap").agg(F.sum("_k").alias("_k"), F.min("_id").alias(right_id))
+    best = top.groupBy(left_id).agg(F.max(F.struct("overlap", "_k", right_id)).alias("_b"))
+    return best.where("_b._k = 1").select(left_id, F.col(f"_b.{right_id}").alias(right_id), F.col("_b.overlap").alias("overlap"))
 
 
 def unique_bridge(links: DataFrame, key: str, group: str) -> DataFrame:

@@ -256,7 +256,7 @@ def join_prefix_unique(spark: SparkSession, d: str) -> DataFrame:
     return joins.prefix_unique(refs, "repo", "prefix", table(spark, d, "git_commits").select(F.col("repository_id").alias("repo"), F.lower("object_id").alias("id")), "id")
 
 
-@define("join_nearest_in_time", "se tu", "SELECT sessionKey, startedAt, endedAt, turnKey, gap, CASE WHEN gap = 0 THEN 1 ELSE 0 END AS in_window FROM (SELECT se.sessionKey, startedAt, endedAt, turnKey, greatest(startedAt - observedAt, observedAt - endedAt, 0) AS gap FROM se JOIN tu USING (sessionKey) WHERE observedAt IS NOT NULL AND startedAt IS NOT NULL AND endedAt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY se.sessionKey ORDER BY gap, turnKey) = 1)")
+@define("join_nearest_in_time", "se tu", "SELECT sessionKey, startedAt, endedAt, turnKey, gap, in_window FROM (SELECT se.sessionKey, startedAt, endedAt, turnKey, abs(observedAt - endedAt) AS gap, CASE WHEN observedAt BETWEEN startedAt AND endedAt THEN 1 ELSE 0 END AS in_window FROM se JOIN tu USING (sessionKey) WHERE observedAt IS NOT NULL AND startedAt IS NOT NULL AND endedAt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY se.sessionKey ORDER BY in_window DESC, gap, turnKey) = 1)")
 def join_nearest_in_time(spark: SparkSession, d: str) -> DataFrame:
     s = facts.sessions(spark, d).where("startedAt is not null and endedAt is not null").select("sessionKey", "startedAt", "endedAt")
     return joins.nearest_in_time(s, facts.turns(spark, d), ["sessionKey"], "observedAt", "startedAt", "endedAt", "turnKey")
@@ -287,13 +287,14 @@ def join_values(spark: SparkSession, d: str) -> DataFrame:
     return joins.with_values(facts.events(spark, d).select("eventKey", "kind"), "kind", ["turn-lifecycle", "token-usage"])
 
 
-@define("join_term_overlap", "tu", """, a AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(answer_hint), '[a-z]{5,}')) AS term FROM eval_items), b AS (SELECT DISTINCT suite, unnest(regexp_extract_all(lower(prompt || ' ' || answer_hint), '[a-z]{5,}')) AS term FROM eval_items),
-p AS (SELECT item_id, suite, count(*) AS overlap FROM a JOIN b USING (term) GROUP BY 1, 2 HAVING count(*) >= 2), m AS (SELECT item_id, max(overlap) AS overlap FROM p GROUP BY 1)
-SELECT item_id, min(suite) AS suite, overlap FROM p JOIN m USING (item_id, overlap) GROUP BY item_id, overlap HAVING count(*) = 1""")
+@define("join_term_overlap", "tu", """, a AS (SELECT DISTINCT turnKey, unnest(regexp_extract_all(lower(finalAnswer), '[a-z]{4,}')) AS term FROM tu), b AS (SELECT DISTINCT turnKey AS other, unnest(regexp_extract_all(lower(problem), '[a-z]{4,}')) AS term FROM tu),
+p AS (SELECT turnKey, other, count(*) AS overlap FROM a JOIN b USING (term) GROUP BY 1, 2 HAVING count(*) >= 2), m AS (SELECT turnKey, max(overlap) AS overlap FROM p GROUP BY 1)
+SELECT turnKey, min(other) AS other, overlap FROM p JOIN m USING (turnKey, overlap) GROUP BY turnKey, overlap HAVING count(*) = 1""")
 def join_term_overlap(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "eval_items")
-    words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{5,}"), 0)).alias("term")
-    return joins.unique_overlap(items.select("item_id", words(F.col("answer_hint"))), items.select("suite", words(F.concat_ws(" ", "prompt", "answer_hint"))), "item_id", "suite", "term")
+    """Answers and the one problem that shares most words with each; over 50 problems make a word common."""
+    words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), 0)).alias("term")
+    t = facts.turns(spark, d)
+    return joins.unique_overlap(t.select("turnKey", words(F.col("finalAnswer"))), t.select(F.col("turnKey").alias("other"), words(F.col("problem"))), "turnKey", "other", "term", hot=50)
 
 
 @define("join_bridge_unique", "us se", "SELECT us.turnKey, min(se.groupKey) AS groupKey FROM us LEFT JOIN se ON se.sessionKey = us.sessionKey WHERE us.turnKey IS NOT NULL GROUP BY 1 HAVING count(DISTINCT se.groupKey) = 1 AND count(*) FILTER (se.groupKey IS NULL) = 0")
