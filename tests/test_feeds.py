@@ -47,7 +47,7 @@ def test_stream_equals_batch_and_survives_restart(spark, tmp_path):
     schema = "k string, seq int, op int, v string"
     data = [(f"k{i % 5}", i * 7 % 23, i % 4 != 0, f"v{i}") for i in range(40)]
     rows = [(k, s, int(o), v) for k, s, o, v in data]
-    src, table = str(tmp_path / "in"), VersionedTable(spark, str(tmp_path / "state"))
+    src, table = str(tmp_path / "in"), VersionedTable(spark, str(tmp_path / "state"), ["k"], 4)
     args = (["k"], ["seq"], ["v"], str(tmp_path / "ckpt"))
     assert table.read() is None
     for part in (rows[:15], rows[10:30], rows[25:]):  # overlapping deliveries, a restart between
@@ -55,7 +55,21 @@ def test_stream_equals_batch_and_survives_restart(spark, tmp_path):
         feeds.fold_stream(spark.readStream.schema(schema).parquet(src), table, *args).awaitTermination()
     want = changefeed.fold(spark.createDataFrame(rows, schema), ["k"], ["seq"], ["v"])
     assert sorted(map(str, table.read().collect())) == sorted(map(str, want.collect()))
-    assert table.version() == 2 and table.write(want, 1) is False
+    assert table.version() == 2 and len(table.state()["writers"]) == 1
+    (writer,) = table.state()["writers"]
+    assert table.write(want, writer, 1) is False
+    try:
+        table.write(want, writer, 9)
+        raise AssertionError
+    except ValueError:
+        pass
+    # another stream over the same state: its batches count from 0 again, and nothing is lost
+    feeds.fold_stream(spark.readStream.schema(schema).parquet(src), table, *args[:-1], str(tmp_path / "ckpt2")).awaitTermination()
+    spark.createDataFrame([("new", 1, 1, "x")], schema).coalesce(1).write.mode("append").parquet(src)
+    feeds.fold_stream(spark.readStream.schema(schema).parquet(src), table, *args[:-1], str(tmp_path / "ckpt2")).awaitTermination()
+    want = changefeed.fold(spark.createDataFrame([*rows, ("new", 1, 1, "x")], schema), ["k"], ["seq"], ["v"])
+    assert sorted(map(str, table.read().collect())) == sorted(map(str, want.collect())) and len(table.state()["writers"]) == 2
+    assert len(list((tmp_path / "state" / "commits").glob("[0-9]*"))) == 2
 
 
 def test_tumbling_weeks_begin_on_monday(spark):
@@ -77,3 +91,11 @@ def test_change_log_and_pages(spark):
     assert sorted(map(tuple, feeds.change_log(log, "o", "s", 1).collect())) == [("a", 5), ("b", 2)]
     pages = json_pages(log, ["s"], 32).collect()
     assert [r["page_no"] for r in sorted(pages, key=lambda r: r["s"])] == [0, 1, 2] or len({r["page_no"] for r in pages}) >= 2
+    many = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(300)], "s bigint, t string")
+    for chunks in (1, 5):
+        rows = sorted(json_pages(many, ["s"], 200, chunks).collect(), key=lambda r: r["s"])
+        numbers = [r["page_no"] for r in rows]
+        sizes: dict[int, int] = {}
+        for r in rows:
+            sizes[r["page_no"]] = sizes.get(r["page_no"], 0) + len(r["line"]) + 1
+        assert numbers == sorted(numbers) and set(numbers) == set(range(max(numbers) + 1)) and max(sizes.values()) <= 200

@@ -92,11 +92,10 @@ def hotspots(events: DataFrame) -> DataFrame:
 
 def timeline(events: DataFrame) -> DataFrame:
     """Every session in source order: ordinal from 0, and how often the turn used the capability with the same input (null where that can't be told)."""
-    line = Window.partitionBy("sessionKey").orderBy(*SOURCE, "eventKey")
     same = ["turnKey", "capabilityKey", "inputFingerprint"]
     told = F.expr(" and ".join(f"{c} is not null" for c in same)) & (F.col("kind") == "capability-invocation")
     counts = events.where(told).groupBy("sessionKey", *same).agg(F.count(F.lit(1)).alias("_n"))
-    rows = events.select("eventKey", "sessionKey", "kind", *SOURCE, *same, (F.row_number().over(line) - 1).cast("bigint").alias("ordinalInSession"))
+    rows = windows.numbered(events.select("eventKey", "sessionKey", "kind", *SOURCE, *same), ["sessionKey"], [*SOURCE, "eventKey"]).withColumn("ordinalInSession", F.col("row_no") - 1)
     out = rows.join(counts, ["sessionKey", *same], "left")
     return out.select("sessionKey", "ordinalInSession", "eventKey", "kind", F.when(told, windows.length_bucket(F.col("_n"))).alias("repeatBucket"))
 
@@ -128,9 +127,8 @@ def group_confidence(sessions: DataFrame) -> DataFrame:
 
 
 def chain_digest(rows: DataFrame, chain: list[str], block: int = 1000) -> DataFrame:
-    """A digest of the ordered events of each chain, with their number: digests of blocks of `block` events, then of those, so no chain is held as a whole."""
-    line = Window.partitionBy(*chain).orderBy(*SOURCE, "eventKey")
-    blocks = rows.select(*chain, "eventKey", F.row_number().over(line).alias("_n")).withColumn("_b", F.floor((F.col("_n") - 1) / block))
+    """A digest of the ordered events of each chain, with their number: digests of blocks of `block` events, then of those, so no chain is held or ordered as a whole."""
+    blocks = windows.numbered(rows.select(*chain, *[c for c in (*SOURCE, "eventKey") if c not in chain]), chain, [*SOURCE, "eventKey"]).select(*chain, "eventKey", F.col("row_no").alias("_n")).withColumn("_b", F.floor((F.col("_n") - 1) / block))
     inner = blocks.groupBy(*chain, "_b").agg(F.count(F.lit(1)).alias("_k"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "eventKey"))), lambda x: x["eventKey"]), "|"), 256).alias("_d"))
     return inner.groupBy(*chain).agg(F.sum("_k").alias("events"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda x: x["_d"]), "|"), 256).alias("digest"))
 
@@ -148,9 +146,12 @@ def neighbours(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
 
 def head_and_tail(rows: DataFrame, entity: str, order: list[str], head: int, tail: int) -> DataFrame:
     """The first `head` and last `tail` rows of each entity, with which of both they are and whether anything between was left out."""
-    up = Window.partitionBy(entity).orderBy(*order)
-    down = Window.partitionBy(entity).orderBy(*(F.col(c).desc() for c in order))
-    n = F.count(F.lit(1)).over(Window.partitionBy(entity))
-    x = rows.select("*", F.row_number().over(up).alias("_a"), F.row_number().over(down).alias("_z"), n.alias("_n"))
-    kept = x.where((F.col("_a") <= head) | (F.col("_z") <= tail))
-    return kept.withColumn("part", F.when(F.col("_a") <= head, "head").otherwise("tail")).withColumn("truncated", (F.col("_n") > head + tail).cast("int")).drop("_a", "_z", "_n")
+    n, z = F.col("row_no"), F.col("row_count") - F.col("row_no") + 1
+    kept = windows.numbered(rows, [entity], order).where((n <= head) | (z <= tail))
+    return kept.withColumn("part", F.when(n <= head, "head").otherwise("tail")).withColumn("truncated", (F.col("row_count") > head + tail).cast("int")).drop("row_no", "row_count")
+
+
+def capped(rows: DataFrame, entity: str, order: list[str], first: Column, head: int, tail: int) -> DataFrame:
+    """As head_and_tail, but rows for which `first` holds are all kept, as part `priority`, and don't count for the others."""
+    must = rows.where(F.coalesce(first, F.lit(False))).withColumns({"part": F.lit("priority"), "truncated": F.lit(0)})
+    return head_and_tail(rows.where(~F.coalesce(first, F.lit(False))), entity, order, head, tail).unionByName(must)

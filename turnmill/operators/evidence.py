@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnmill.operators.windows import numbered
+
 # Strengths from weakest to strongest.
 STRENGTHS = ("contextual", "candidate", "weak", "observed", "strong", "direct")
 
@@ -20,10 +22,9 @@ def byte_pages(rows: DataFrame, key: str, text: str, page_bytes: int) -> DataFra
 
 
 def json_lines(rows: DataFrame, entity: str, order: list[str], fields: list[str]) -> DataFrame:
-    """(entity, line_no, line, end_byte): rows of an entity as JSON in order, with the byte behind each line, so that pages can be cut by bytes."""
-    line = Window.partitionBy(entity).orderBy(*order)
-    made = rows.select(entity, *[c for c in order if c != entity], F.to_json(F.struct(*fields)).alias("line"))
-    return made.select(entity, (F.row_number().over(line) - 1).cast("bigint").alias("line_no"), "line", F.sum(F.octet_length("line") + 1).over(line.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint").alias("end_byte"))
+    """(entity, line_no, line, end_byte): rows of an entity as JSON in order, with the byte behind each line, so that pages can be cut by bytes. Long entities are worked on in stretches."""
+    made = rows.select(entity, *[c for c in order if c != entity], F.to_json(F.struct(*fields)).alias("line")).withColumn("_size", F.octet_length("line") + 1)
+    return numbered(made, [entity], order, "_size").select(entity, (F.col("row_no") - 1).cast("bigint").alias("line_no"), "line", F.col("end_size").cast("bigint").alias("end_byte"))
 
 
 def closure(turns: DataFrame, session: str, order: list[str], at: str, clock: int, idle: int) -> DataFrame:
@@ -61,7 +62,20 @@ def assessment(citations: DataFrame, catalog: DataFrame, statement: str, evidenc
 
 def record_range(rows: DataFrame, entity: str, order: list[str], first: int, last: int) -> DataFrame:
     """Records first..last (from 1, both included) of every entity in order; negative numbers count from the end."""
-    up = F.row_number().over(Window.partitionBy(entity).orderBy(*order))
-    n = F.count(F.lit(1)).over(Window.partitionBy(entity))
-    at = lambda i: F.lit(i) if i > 0 else F.col("_n") + 1 + i
-    return rows.select("*", up.alias("record_no"), n.alias("_n")).where((F.col("record_no") >= at(first)) & (F.col("record_no") <= at(last))).drop("_n")
+    at = lambda i: F.lit(i) if i > 0 else F.col("row_count") + 1 + i
+    out = numbered(rows, [entity], order)
+    return out.where((F.col("row_no") >= at(first)) & (F.col("row_no") <= at(last))).withColumnRenamed("row_no", "record_no").drop("row_count")
+
+
+def state_as_of(rows: DataFrame, entity: str, order: list[str], item: str, state: Column, upto: int) -> DataFrame:
+    """(entity, item, state): the last known state of each item among the first `upto` records of every entity. Items without a known state there are out."""
+    seen = record_range(rows.withColumn("_state", state), entity, order, 1, upto).where(F.col("_state").isNotNull() & F.col(item).isNotNull())
+    return seen.groupBy(entity, item).agg(F.max_by("_state", "record_no").alias("state"))
+
+
+def sealed_closure(turns: DataFrame, sealed: DataFrame, ended: DataFrame, session: str, order: list[str], at: str, clock: int, idle: int) -> DataFrame:
+    """closure() with evidence of the seal: a turn is also hard-sealed if it has a terminal state and a lifecycle event (sealed: turnKey), and a last turn only is quiescent
+    if the end of its log was seen (ended: session)."""
+    base = closure(turns, session, order, at, clock, idle)
+    rows = base.join(sealed.select("turnKey", F.lit(1).alias("_sealed")).distinct(), "turnKey", "left").join(ended.select(session, F.lit(1).alias("_ended")).distinct(), session, "left")
+    return rows.withColumn("closure", F.when((F.col("closure") == "hard-sealed") | (F.col("terminal").isNotNull() & F.col("_sealed").isNotNull()), "hard-sealed").when((F.col("closure") == "quiescent") & F.col("_ended").isNotNull(), "quiescent").otherwise("open")).drop("_sealed", "_ended")

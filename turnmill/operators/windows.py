@@ -10,6 +10,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Width of a stretch of an order whose first column is a byte offset: rows of one stretch and entity are one window partition.
+STRETCH = 1 << 20
+
+
+def numbered(rows: DataFrame, entity: list[str], order: list[str], size: str | None = None, stretch: int = STRETCH) -> DataFrame:
+    """rows with `row_no` (from 1) and `row_count` of each entity in order and, if a size column is named, `end_size`, the sum of it up to and with the row.
+
+    The first order column is a number; an entity is cut into stretches of `stretch` of it, each a window partition, so the entity with most of the rows is many tasks. What a
+    stretch begins with comes from one row a stretch. Null order values come first; null entities are entities; null sizes count 0."""
+    cut_at = rows.withColumn("_b", F.coalesce(F.floor(F.col(order[0]) / stretch), F.lit(-(2**62))))
+    keys = [F.col(k) for k in entity]
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    grow = inside.rowsBetween(Window.unboundedPreceding, 0)
+    amount = F.coalesce(F.col(size).cast("bigint"), F.lit(0)) if size else F.lit(0)
+    own = cut_at.withColumn("_n", F.row_number().over(inside))
+    if size:
+        own = own.withColumn("_s", F.sum(amount).over(grow))
+    ends = cut_at.groupBy(*(F.col(k).alias(f"_e{i}") for i, k in enumerate(entity)), F.col("_b").alias("_c")).agg(F.count(F.lit(1)).alias("_k"), F.sum(amount).alias("_a"))
+    names = [f"_e{i}" for i in range(len(entity))]
+    before = Window.partitionBy(*names).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*names, "_c", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_k0"), F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_a0"), F.sum("_k").over(Window.partitionBy(*names)).alias("row_count"))
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(entity, names, strict=True)] + [F.col("_b") == F.col("_c")]
+    out = own.join(carry, on).withColumn("row_no", F.col("_n") + F.col("_k0"))
+    if size:
+        out = out.withColumn("end_size", F.col("_s") + F.col("_a0"))
+    return out.select(*rows.columns, "row_no", "row_count", *(["end_size"] if size else []))
+
+
 def top_k(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows per group with their rank. Catalyst turns the filter on row_number into a group limit before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
@@ -44,12 +72,25 @@ def context_switches(rows: DataFrame, at: str, key: str, value: str, bucket_us:
     return out.withColumn("switched", F.coalesce((F.col(value) != previous).cast("int"), F.lit(0))).drop("_b", "_before", "_carry")
 
 
-def run_lengths(rows: DataFrame, entity: str, order: list[str], value: str) -> DataFrame:
-    """(entity, run_no, value, length): consecutive equal values as runs, numbered from 0; nulls are equal to each other."""
-    line = Window.partitionBy(entity).orderBy(*order)
+def run_lengths(rows: DataFrame, entity: str, order: list[str], value: str, stretch: int = STRETCH) -> DataFrame:
+    """(entity, run_no, value, length): consecutive equal values as runs, numbered from 0; nulls are equal to each other.
+
+    Entities are worked on in stretches of the order (see numbered); each gives its runs, and a run that a stretch ends with goes on in the next if the values are equal."""
+    cut_at = rows.select(entity, value, *[c for c in order if c not in (entity, value)]).withColumn("_b", F.coalesce(F.floor(F.col(order[0]) / stretch), F.lit(-(2**62))))
+    line = Window.partitionBy(entity, "_b").orderBy(*order)
     starts = F.when(F.row_number().over(line) == 1, 0).otherwise((~F.lag(value).over(line).eqNullSafe(F.col(value))).cast("int"))
-    marked = rows.select(entity, value, *[c for c in order if c not in (entity, value)], starts.alias("_s"))
-    return marked.withColumn("run_no", F.sum("_s").over(line)).groupBy(entity, "run_no", value).agg(F.count(F.lit(1)).alias("length"))
+    local = cut_at.select(entity, "_b", value, starts.alias("_s"), *[c for c in order if c not in (entity, value)]).withColumn("_r", F.sum("_s").over(line))
+    runs = local.groupBy(entity, "_b", "_r", value).agg(F.count(F.lit(1)).alias("_n"))
+    # one row a stretch: its first and last value, and how many runs it has
+    ends = runs.groupBy(entity, "_b").agg(F.min_by(F.struct(value), "_r").alias("_first"), F.max_by(F.struct(value), "_r").alias("_last"), F.max("_r").alias("_m"))
+    along = Window.partitionBy(entity).orderBy("_b")
+    goes_on = F.coalesce(F.lag("_last").over(along)[value].eqNullSafe(F.col("_first")[value]) & (F.row_number().over(along) > 1), F.lit(False))
+    ends = ends.withColumn("_on", goes_on.cast("int"))
+    # a stretch of m + 1 runs adds m + 1 numbers, one less where its first run goes on
+    first = F.sum(F.col("_m") + 1 - F.col("_on")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    carry = ends.select(F.col(entity).alias("_e"), F.col("_b").alias("_c"), (F.coalesce(first, F.lit(0)) - F.col("_on")).alias("_k0"))
+    placed = runs.join(carry, F.col(entity).eqNullSafe(F.col("_e")) & (F.col("_b") == F.col("_c")))
+    return placed.groupBy(entity, (F.col("_r") + F.col("_k0")).cast("bigint").alias("run_no"), value).agg(F.sum("_n").alias("length"))
 
 
 def length_bucket(length: Column) -> Column:

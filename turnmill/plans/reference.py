@@ -357,8 +357,8 @@ def win_bigrams(spark: SparkSession, d: str) -> DataFrame:
 
 @define("win_ordinal", "ev", "SELECT eventKey, row_number() OVER (PARTITION BY sessionKey ORDER BY recordStart, contentIndex, ordinal, eventKey) - 1 AS n FROM ev")
 def win_ordinal(spark: SparkSession, d: str) -> DataFrame:
-    line = Window.partitionBy("sessionKey").orderBy(*an.SOURCE, "eventKey")
-    return facts.events(spark, d).select("eventKey", (F.row_number().over(line) - 1).cast("bigint").alias("n"))
+    rows = facts.events(spark, d).select("eventKey", "sessionKey", *an.SOURCE)
+    return windows.numbered(rows, ["sessionKey"], [*an.SOURCE, "eventKey"]).select("eventKey", (F.col("row_no") - 1).cast("bigint").alias("n"))
 
 
 @define("win_overlap_check", "se", "SELECT sessionKey, CASE WHEN coalesce(max(endedAt) OVER (PARTITION BY projectKey ORDER BY startedAt, sessionKey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= startedAt, false) THEN 1 ELSE 0 END AS overlaps FROM se WHERE startedAt IS NOT NULL AND endedAt IS NOT NULL AND projectKey IS NOT NULL")

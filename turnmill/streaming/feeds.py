@@ -6,10 +6,11 @@ keyed and idempotent. Watermarks are only used where a result is final by defini
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,14 +18,26 @@ from turnmill.operators import changefeed
 from turnmill.sources.versions import VersionedTable
 
 
-def fold_stream(changes: DataFrame, table: VersionedTable, keys: list[str], sequence: list[str], payload: list[str], checkpoint: str) -> StreamingQuery:
-    """Folds a stream of changes into a versioned state with tombstones. A batch that is replayed writes nothing new."""
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity of a stream, which its checkpoint was given at the start: a new checkpoint is another stream, even in the same folder."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            table.write(changefeed.fold(batch, keys, sequence, payload, base=table.read()), batch_id)
 
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def fold_stream(changes: DataFrame, table: VersionedTable, keys: list[str], sequence: list[str], payload: list[str], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Folds a stream of changes into a versioned state with tombstones. A batch that is replayed writes nothing new; a stream with another
+    checkpoint folds into the same state from where that is. Only the buckets of keys that a batch has are read and written.
+
+    trigger: as of writeStream.trigger, what is there now by default, or {"processingTime": "30 seconds"} to go on."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            touched = [r[0] for r in batch.select(table.bucket().alias("b")).distinct().collect()]  # at most as many as the table has buckets
+            table.write(changefeed.fold(batch, keys, sequence, payload, base=table.read(touched)), stream_id(batch.sparkSession, checkpoint), batch_id, only=touched)
+        finally:
+            batch.unpersist()
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def tumbling(rows: DataFrame, at: str, width: str, lateness: str, offset: str | None = None) -> DataFrame:
