@@ -35,7 +35,39 @@ def test_claude_lines(spark):
     ]
     rows = spark.createDataFrame([("s", json.dumps(x)) for x in log], "source string, value string")
     got = jsonl.claude_events(rows).collect()
-    assert [(r["kind"], r["text"], r["correlation"], r["state"]) for r in got] == [("visible-message", "plain", None, None), ("visible-message", "ok", None, None), ("capability-invocation", None, "u1", None), ("capability-result", None, "u1", "failed")]
+    assert [(r["kind"], r["text"], r["correlation"], r["state"]) for r in got] == [("visible-message", "plain", None, None), ("visible-message", "ok", None, None), ("capability-invocation", None, "u1", None), ("capability-result", None, "u1", "failed"), ("provider-unknown", None, None, None)]
+    assert got[-1]["raw"] == json.dumps({"type": "summary"})
+    used = {"type": "assistant", "timestamp": "t", "message": {"role": "assistant", "content": "[not json", "model": "m1", "usage": {"input_tokens": 5, "cache_read_input_tokens": 2, "output_tokens": 3}}}
+    rows = spark.createDataFrame([("s", json.dumps(used))], "source string, value string")
+    assert jsonl.claude_events(rows).where("kind = 'visible-message'").first()["text"] == "[not json"
+    assert tuple(jsonl.token_usage(jsonl.claude_events(rows)).first()) == ("s", "t", "request", "m1", 5, 2, None, 3, None, 10)
+
+
+def test_offsets_of_any_line_ends_and_resuming(spark, tmp_path):
+    raw = b"one\r\ntwo\n\r\nfour \xc3\xbc\nfive"
+    (tmp_path / "x.jsonl").write_bytes(raw)
+    read = jsonl.lines(spark, str(tmp_path))
+    got = sorted((r["line_start"], r["value"]) for r in read.collect())
+    assert got == [(0, "one"), (5, "two"), (9, ""), (11, "four ü"), (19, "five")]
+    assert all(raw[a : a + len(v.encode())] == v.encode() for a, v in got)
+    done = spark.createDataFrame(jsonl.checkpoint(read).collect(), "source string, complete bigint")
+    (tmp_path / "x.jsonl").write_bytes(raw + b"\nsix\n")
+    assert [r["value"] for r in jsonl.lines(spark, str(tmp_path), after=done).collect()] == ["six"]
+    assert {r["value"] for r in jsonl.lines(spark, str(tmp_path), record_bytes=4).collect()} == {"one", "two", "", None, "five", "six"}
+
+
+def test_turns_and_deltas_of_logs(spark):
+    say = lambda n, role, text: ("s", f"{n:03d}", "visible-message", role, text, None)
+    rows = [say(0, "assistant", "early"), say(1, "user", "q1"), say(2, "assistant", "a"), say(3, "assistant", "b"), ("s", "004", "turn-lifecycle", None, None, "completed"), say(5, "user", "q2")]
+    events = spark.createDataFrame(rows, "source string, at string, kind string, role string, text string, lifecycle string")
+    turns = jsonl.log_turns(events, ["at"])
+    assert sorted((r["turn_no"], r["problem"], r["finalAnswer"], r["terminal"], r["messages"], r["closed"]) for r in turns.collect()) == [(1, "q1", "b", "completed", 3, 1), (2, "q2", None, None, 1, 0)]
+    first = jsonl.log_delta(turns)
+    held = first.selectExpr("session_key as source", "turn_key", "revision", "generation")
+    assert {(r["expected_generation"], r["generation"]) for r in first.collect()} == {(0, 1)} and jsonl.log_delta(turns, held).isEmpty()
+    more = jsonl.log_turns(events.unionByName(spark.createDataFrame([say(6, "assistant", "c")], events.schema)), ["at"])
+    again = jsonl.log_delta(more, held).collect()
+    assert [(r["upsert_no"], r["finalAnswer"], r["expected_generation"], r["generation"]) for r in again] == [(2, "c", 1, 2)] and again[0]["delta_id"] != first.first()["delta_id"]
 
 
 def test_checklists(spark):

@@ -90,6 +90,12 @@ def hotspots(events: DataFrame) -> DataFrame:
     )
 
 
+def token_hotspots(tokens: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """Per provider, model and project: the totals of the token metrics, each only if every event has it, how many have it, and the first event as evidence."""
+    whole = [x for m in metrics for x in (F.when(F.count(m) == F.count(F.lit(1)), F.sum(m)).alias(f"{m}Total"), F.count(m).alias(f"{m}Present"))]
+    return tokens.groupBy("provider", "model", "projectKey").agg(F.count(F.lit(1)).alias("events"), *whole, F.min("eventKey").alias("firstEventKey"))
+
+
 def timeline(events: DataFrame) -> DataFrame:
     """Every session in source order: ordinal from 0, and how often the turn used the capability with the same input (null where that can't be told)."""
     same = ["turnKey", "capabilityKey", "inputFingerprint"]

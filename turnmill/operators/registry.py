@@ -42,17 +42,24 @@ REGISTRY = {
         }, ("eventKey",), "observedAt", payloads=frozenset({"tool.input", "tool.output", "error.content"})),
         Resource("capability-use", _COMMON | _TURN | {
             "useKey": ("useKey", "S"), "originScope": ("originScope", "SFG"), "capability.key": ("capabilityKey", "SFG"), "capability.canonicalName": ("capabilityName", "SFG"),
+            "capability.kind": ("capabilityKind", "SFG"), "capability.observedName": ("capabilityName", "SG"), "attempt.chainKey": ("chainKey", "S"),
             "capability.terminalState": ("terminalState", "SFG"), "capability.inputFingerprint": ("inputFingerprint", "SG"), "capability.correlationDigest": ("correlationDigest", "SG"),
         }, ("useKey",), "observedAt"),
         Resource("file-activity", _COMMON | _TURN | {
             "eventKey": ("eventKey", "S"), "file.ordinal": ("activityOrdinal", "S"), "file.action": ("action", "SFG"), "file.normalizedPath": ("path", "SFG"),
+            "file.phase": ("phase", "SFG"), "file.pathRole": ("pathRole", "SG"), "file.rawPath": ("rawPath", "SG"), "file.relativePath": ("relativePath", "SFG"), "file.absolute": ("absolute", "S"), "file.projectRelative": ("projectRelative", "S"),
         }, ("eventKey", "activityOrdinal"), "observedAt"),
+        Resource("token-usage", _COMMON | _TURN | {
+            "eventKey": ("eventKey", "S"), "token.scope": ("scope", "SG"), "token.model": ("model", "SFG"), "token.input": ("input", "SG#"), "token.cachedInput": ("cachedInput", "SG#"), "token.cacheWriteInput": ("cacheWriteInput", "SG#"),
+            "token.output": ("output", "SG#"), "token.reasoning": ("reasoning", "SG#"), "token.total": ("total", "SG#"),
+        }, ("eventKey",), "observedAt"),
         Resource("error-occurrence", _COMMON | _TURN | {
             "eventKey": ("eventKey", "S"), "error.signature": ("signature", "SFG"), "error.exitCode": ("exitCode", "SG#"), "error.providerState": ("providerState", "SFG"), "error.content": ("content", "S"),
             "capability.key": ("capabilityKey", "SFG"), "capability.canonicalName": ("capabilityName", "SFG"),
         }, ("eventKey",), "observedAt", payloads=frozenset({"error.content"})),
         Resource("delivery-edge", {
-            "repositoryKey": ("repositoryKey", "SFG"), "fromKey": ("fromKey", "SFG"), "toKey": ("toKey", "SFG"), "parentNo": ("parentNo", "SFG#"), "observedAt": ("observedAt", "SFG"),
+            "repositoryKey": ("repositoryKey", "SFG"), "fromKind": ("fromKind", "SFG"), "fromKey": ("fromKey", "SFG"), "toKind": ("toKind", "SFG"), "toKey": ("toKey", "SFG"), "relation": ("relation", "SFG"), "strength": ("strength", "SFG"),
+            "source": ("source", "SFG"), "commitHash": ("fromKey", "SFG"), "edgeKey": ("edgeKey", "SF"), "reachable": ("reachable", "SFG"), "parentNo": ("parentNo", "SFG#"), "observedAt": ("observedAt", "SFG"),
         }, ("repositoryKey", "fromKey", "parentNo"), "observedAt", required="repositoryKey"),
     )
 }

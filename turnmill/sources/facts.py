@@ -84,9 +84,11 @@ def capability_uses(spark: SparkSession, folder: str) -> DataFrame:
     back = [F.col(c).desc() for c in ("recordStart", "contentIndex", "ordinal", "eventKey")]
     line = Window.partitionBy("sessionKey", "correlation").orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)  # backwards, so that the frame only grows
     result = F.when(F.col("kind") == "capability-result", F.struct(outcome().alias("state"), F.col("observedAt").alias("at")))
+    skill = F.col("capabilityName").startswith("skill:")
     return e.withColumn("result", F.last(result, ignorenulls=True).over(line)).where("kind = 'capability-invocation'").unionByName(lone).select(
         F.col("eventKey").alias("useKey"), "sessionKey", "turnKey", "projectKey", "provider", "originScope", "observedAt", "recordStart", "contentIndex", "ordinal", "capabilityKey", "capabilityName",
         "inputFingerprint", F.col("correlation").alias("correlationDigest"), F.coalesce("result.state", F.lit("pending")).alias("terminalState"), F.col("result.at").alias("resultAt"),
+        F.when(skill, "skill").when(~skill, "tool").alias("capabilityKind"), F.sha2(F.concat_ws("\u0000", "sessionKey", "capabilityKey"), 256).alias("chainKey"),
     )
 
 
@@ -102,6 +104,17 @@ def file_activities(spark: SparkSession, folder: str) -> DataFrame:
     return paths.select("eventKey", "activityOrdinal", "sessionKey", "turnKey", "projectKey", "provider", "observedAt", "path", action.alias("action"))
 
 
+def file_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """file_activities with what became of the use (confirmed, failed, attempted or unknown) and how the path was named."""
+    from turnmill.functions.text import normalize_path
+
+    phase = F.when(F.col("terminalState") == "completed", "confirmed").when(F.col("terminalState") == "failed", "failed").when(F.col("terminalState") == "pending", "attempted").otherwise("unknown")
+    uses = capability_uses(spark, folder).select(F.col("useKey").alias("eventKey"), phase.alias("phase"))
+    absolute = F.col("rawPath").rlike(r"^([A-Za-z]:)?[\\/]")
+    rows = file_activities(spark, folder).join(uses, "eventKey").withColumn("rawPath", F.col("path")).withColumn("path", normalize_path(F.col("path")))
+    return rows.withColumns({"pathRole": F.lit("target"), "absolute": absolute.cast("int"), "projectRelative": (~absolute).cast("int"), "relativePath": F.when(~absolute, F.col("path"))})
+
+
 def errors(spark: SparkSession, folder: str) -> DataFrame:
     from turnmill.functions.text import error_signature, nfc
 
@@ -113,13 +126,15 @@ def delivery_edges(spark: SparkSession, folder: str) -> DataFrame:
     """One row per commit and listed parent."""
     c = table(spark, folder, "git_commits").select(
         F.col("repository_id").alias("repositoryKey"), F.lower("object_id").alias("fromKey"), F.posexplode(F.from_json(F.lower("parent_object_ids_json"), "array<string>")).alias("parentNo", "toKey"),
-        micros("committer_timestamp").alias("observedAt"),
+        micros("committer_timestamp").alias("observedAt"), F.col("reachable").cast("int").alias("reachable"),
     )
-    return c.where("trim(toKey) != ''").distinct()
+    kinds = {"fromKind": "commit", "toKind": "commit", "relation": "commit-parent", "strength": "direct", "source": "git-parents"}
+    one = c.where("trim(toKey) != ''").groupBy("repositoryKey", "fromKey", "parentNo", "toKey", "observedAt").agg(F.max("reachable").alias("reachable"))
+    return one.withColumns({k: F.lit(v) for k, v in kinds.items()} | {"edgeKey": F.sha2(F.concat_ws("\u0000", "repositoryKey", "fromKey", "toKey", F.col("parentNo").cast("string")), 256)})
 
 
 RESOURCES = {
-    "session": sessions, "turn": turns, "event": events, "capability-use": capability_uses, "file-activity": file_activities, "error-occurrence": errors, "delivery-edge": delivery_edges,
+    "session": sessions, "turn": turns, "event": events, "capability-use": capability_uses, "file-activity": file_facts, "error-occurrence": errors, "delivery-edge": delivery_edges,
 }
 
 
