@@ -30,6 +30,17 @@ def test_held_out_rows(tagger):
         assert right[k] >= 0.93 * real[k] and right[k] >= 0.93 * found[k], (k, right[k], found[k], real[k])
 
 
+def test_patterns_that_were_not_learnt():
+    """A sixth of the item patterns is left out of training; items in them are found all the same."""
+    kept, left = pii_table.folds(6)[2]
+    tagger = pii.Tagger(pii.train(pii_table.rows(list(LEXICON), ROWS, items=kept), list(LEXICON), 4))
+    right = found = real = 0
+    for text, spans in pii_table.rows(list(LEXICON), 200, seed=91, items=left):
+        a, b = {(x, k) for x, _, k in spans}, {(x, k) for x, _, k in tagger.spans([text])[0]}
+        right, found, real = right + len(a & b), found + len(b), real + len(a)
+    assert right >= 0.85 * real and right >= 0.85 * found, (right, found, real)
+
+
 def test_lookalikes_are_left(tagger):
     texts = ["origin git@git.tavrik.example:core/lane-90.git", "installed @lanes/seal-kit@4.2.03 and tail-reader@0.03.1", "at 10.55.0.50:7050", "Mark Complete was pressed twice", '{"path":"a.rs","lines":"1401-1600"}', "--trace 8072aa84-41ce-4e1e-ae1e-fe8672385578"]
     assert tagger.spans(texts) == [[] for _ in texts]

@@ -69,8 +69,8 @@ def _ascii(s: str) -> str:
 
 
 class Table:
-    def __init__(self, lexicon: list[tuple[str, str]], seed: int = 3):
-        self.rng = random.Random(seed)
+    def __init__(self, lexicon: list[tuple[str, str]], seed: int = 3, items: list[str] | None = None):
+        self.rng, self.items = random.Random(seed), _ITEMS if items is None else items
         self.given = [p for p, k in sorted(lexicon) if k == "given"]
         self.family = [p for p, k in sorted(lexicon) if k == "family"]
 
@@ -170,7 +170,7 @@ class Table:
 
     def row(self) -> tuple[str, list[tuple[int, int, str]]]:
         r = self.rng
-        kinds = [r.choices((_ITEMS, _DECOYS, _FILLER), (5, 4, 3))[0] for _ in range(r.choice((1, 2, 2, 3)))]
+        kinds = [r.choices((self.items, _DECOYS, _FILLER), (5, 4, 3))[0] for _ in range(r.choice((1, 2, 2, 3)))]
         text, spans = "", []
         for k, patterns in enumerate(kinds):
             if k:
@@ -183,7 +183,12 @@ class Table:
         return text, spans
 
 
-def rows(lexicon: list[tuple[str, str]], n: int = 3200, seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """n labelled rows; lexicon: (name part, given or family), known parts that half of the names use."""
-    table = Table(lexicon, seed)
+def rows(lexicon: list[tuple[str, str]], n: int = 3200, seed: int = 3, items: list[str] | None = None) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """n labelled rows; lexicon: (name part, given or family), known parts that half of the names use. items: the patterns with items, all by default."""
+    table = Table(lexicon, seed, items)
     return [table.row() for _ in range(n)]
+
+
+def folds(of: int) -> list[tuple[list[str], list[str]]]:
+    """(kept, left out): the item patterns in `of` ways without every `of`-th, so that accuracy can be measured on patterns that weren't learnt."""
+    return [([p for i, p in enumerate(_ITEMS) if i % of != k], [p for i, p in enumerate(_ITEMS) if i % of == k]) for k in range(of)]

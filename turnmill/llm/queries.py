@@ -35,7 +35,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_conversations(spark: SparkSession, folder: str) -> DataFrame:
     texts = table(spark, folder, "session_messages").where("lower(trim(entry_kind)) = 'message'").select("session_key", F.coalesce("entry_id", F.lit("")).alias("entry_id"), "seq_no", "markdown", "created_at")
     texts = texts.groupBy("session_key", "entry_id", "seq_no").agg(F.min(F.struct("created_at", "markdown")).alias("m"))
-    return _whole(spark, folder).join(texts, ["session_key", "entry_id", "seq_no"]).select("session_key", "msg_index", "role", "entry_id", "m.markdown", "m.created_at")
+    return _whole(spark, folder).join(texts, ["session_key", "entry_id", "seq_no"]).select("session_key", "msg_index", "role", "entry_id", "m.markdown", F.unix_micros(F.col("m.created_at").cast("timestamp")).alias("created_us"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

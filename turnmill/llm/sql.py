@@ -42,6 +42,16 @@ WITH e AS (
 SELECT session_key, row_number() OVER (PARTITION BY session_key ORDER BY seq_no) AS msg_index, entry_id FROM m SEMI JOIN good USING (session_key)
 """
 
+_P5_TEXTS = """, texts AS (
+  SELECT session_key, seq_no, coalesce(entry_id, '') AS entry_id, markdown, created_at FROM session_messages WHERE session_key IS NOT NULL AND lower(trim(entry_kind)) = 'message'
+  QUALIFY row_number() OVER (PARTITION BY session_key, seq_no, coalesce(entry_id, '') ORDER BY created_at NULLS FIRST, markdown NULLS FIRST) = 1
+), numbered AS (
+  SELECT session_key, seq_no, row_number() OVER (PARTITION BY session_key ORDER BY seq_no) AS msg_index, entry_id, CASE role WHEN 'u' THEN 'user' WHEN 'a' THEN 'assistant' ELSE 'system' END AS role FROM m SEMI JOIN good USING (session_key)
+)
+SELECT n.session_key, msg_index, role, coalesce(n.entry_id, '') AS entry_id, markdown, epoch_us(created_at) AS created_us FROM numbered n JOIN texts t ON t.session_key = n.session_key AND t.seq_no = n.seq_no AND t.entry_id = coalesce(n.entry_id, '')
+"""
+P5_CONVERSATIONS = P5[: P5.rindex("SELECT session_key, row_number()")].rstrip() + _P5_TEXTS
+
 _WORDS = r"regexp_extract_all(lower(regexp_replace({0}, '<!--.*?-->|</?[A-Za-z][^<>\n]{{0,200}}>|&(?:[A-Za-z]{{2,8}}|#[0-9]{{1,6}});', ' ', 'g')), '[\p{{L}}\p{{N}}]+')"
 
 P6 = f"""
@@ -50,4 +60,4 @@ a AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS s FROM (SELEC
 SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (s)
 """
 
-SQL = {"p3_found": P3, "p5_found": P5, "p6_found": P6}
+SQL = {"p3_found": P3, "p5_found": P5, "p5_conversations": P5_CONVERSATIONS, "p6_found": P6}
