@@ -47,8 +47,8 @@ def test_nearest_in_time(spark, bucket, monkeypatch):
     for name, k, a, b in left:
         own = [(0 if a <= t <= b else 1, abs(t - b), i) for kk, t, i in right if kk == k and t is not None] if b is not None else []
         if own:
-            out, gap, i = min(own)
-            want.add((name, i, gap, 1 - out))
+            out, _, i = min(own)
+            want.add((name, i, min(max(a - t, t - b, 0) for kk, t, j in right if kk == k and t is not None and j == i), 1 - out))
     real = joins.beside
     monkeypatch.setattr(joins, "beside", lambda *a: real(*a, bucket_us=bucket))
     got = joins.nearest_in_time(df, pts, ["k"], "at", "start", "end", "id").select("l", "id", "gap", "in_window")

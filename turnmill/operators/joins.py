@@ -71,14 +71,14 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], at: str,
     """For each left row the right row of equal keys that is nearest to `end`: one inside [start, end] first, then by the least distance, then by id.
 
     left has keys and the columns start and end (microseconds); right has keys, at and right_id. Left rows without end, or without any right row, are out.
-    Adds right_id, gap (distance to end) and in_window."""
+    Adds right_id, gap (how far it is outside of [start, end], 0 inside) and in_window."""
     own = [c for c in left.columns if c not in keys]
     marks = left.withColumn(at, F.col(end)).withColumn("_row", F.struct(*own)).select(*keys, at, "_row")
     found = beside(right.select(*keys, at, right_id), marks, keys, at, [right_id]).select(*keys, "_row.*", "_last", "_next")
     inside = F.coalesce(F.col(f"_last.{at}") >= F.col(start), F.lit(False))
-    far = lambda p: F.when(F.col(p).isNotNull(), F.struct(F.abs(F.col(f"{p}.{at}") - F.col(end)).alias("gap"), F.col(f"{p}.{right_id}").alias("id")))
+    far = lambda p: F.when(F.col(p).isNotNull(), F.struct(F.abs(F.col(f"{p}.{at}") - F.col(end)).alias("far"), F.col(f"{p}.{right_id}").alias("id"), F.col(f"{p}.{at}").alias("at")))
     best = F.when(inside, far("_last")).otherwise(F.least(far("_last"), far("_next")))
-    return found.withColumn("_n", best).where("_n is not null").select(*keys, *own, F.col("_n.id").alias(right_id), F.col("_n.gap").alias("gap"), inside.cast("int").alias("in_window"))
+    return found.withColumn("_n", best).where("_n is not null").select(*keys, *own, F.col("_n.id").alias(right_id), F.greatest(F.col(start) - F.col("_n.at"), F.col("_n.at") - F.col(end), F.lit(0)).alias("gap"), inside.cast("int").alias("in_window"))
 
 
 def full_compare(now: DataFrame, before: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -256,7 +256,7 @@ def join_prefix_unique(spark: SparkSession, d: str) -> DataFrame:
     return joins.prefix_unique(refs, "repo", "prefix", table(spark, d, "git_commits").select(F.col("repository_id").alias("repo"), F.lower("object_id").alias("id")), "id")
 
 
-@define("join_nearest_in_time", "se tu", "SELECT sessionKey, startedAt, endedAt, turnKey, gap, in_window FROM (SELECT se.sessionKey, startedAt, endedAt, turnKey, abs(observedAt - endedAt) AS gap, CASE WHEN observedAt BETWEEN startedAt AND endedAt THEN 1 ELSE 0 END AS in_window FROM se JOIN tu USING (sessionKey) WHERE observedAt IS NOT NULL AND startedAt IS NOT NULL AND endedAt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY se.sessionKey ORDER BY in_window DESC, gap, turnKey) = 1)")
+@define("join_nearest_in_time", "se tu", "SELECT sessionKey, startedAt, endedAt, turnKey, gap, in_window FROM (SELECT se.sessionKey, startedAt, endedAt, turnKey, greatest(startedAt - observedAt, observedAt - endedAt, 0) AS gap, CASE WHEN observedAt BETWEEN startedAt AND endedAt THEN 1 ELSE 0 END AS in_window FROM se JOIN tu USING (sessionKey) WHERE observedAt IS NOT NULL AND startedAt IS NOT NULL AND endedAt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY se.sessionKey ORDER BY in_window DESC, abs(observedAt - endedAt), turnKey) = 1)")
 def join_nearest_in_time(spark: SparkSession, d: str) -> DataFrame:
     s = facts.sessions(spark, d).where("startedAt is not null and endedAt is not null").select("sessionKey", "startedAt", "endedAt")
     return joins.nearest_in_time(s, facts.turns(spark, d), ["sessionKey"], "observedAt", "startedAt", "endedAt", "turnKey")
