@@ -95,3 +95,49 @@ def agg_top_failed(spark: SparkSession, d: str) -> DataFrame:
     """The chains with most failures: a running top-k, so no task sorts them all."""
     counts = facts.capability_uses(spark, d).groupBy("sessionKey", "capabilityKey").agg(F.count_if(F.col("terminalState") == "failed").alias("failed"))
     return counts.orderBy(F.desc("failed"), "sessionKey", "capabilityKey").limit(20)
+
+
+@define("r_solution_recall_full", "us tu", """, nx AS (SELECT a.useKey, arg_min(b.useKey, (b.recordStart, b.contentIndex, b.ordinal, b.useKey)) AS nextKey FROM us a JOIN us b ON a.sessionKey = b.sessionKey AND a.capabilityKey = b.capabilityKey AND b.terminalState = 'completed' AND (b.recordStart, b.contentIndex, b.ordinal, b.useKey) > (a.recordStart, a.contentIndex, a.ordinal, a.useKey) GROUP BY 1)
+SELECT ev.eventKey, ev.turnKey, ev.kind AS "eventKind", ev.observedAt, tu.finalAnswer, nextKey FROM ev LEFT JOIN tu ON tu.turnKey = ev.turnKey LEFT JOIN nx ON nx.useKey = ev.eventKey
+WHERE list_has_any(regexp_extract_all(lower(coalesce(ev.input, ev.output, '')), '[a-z0-9]+'), ['cursor', 'rollup']) ORDER BY ev.observedAt DESC NULLS LAST, ev.eventKey LIMIT 50""")
+def r_solution_recall_full(spark: SparkSession, d: str) -> DataFrame:
+    """The newest events whose text matches, with the answer of their turn and the next success in their chain."""
+    from turnmill.operators import joins
+
+    e = facts.events(spark, d, "input is not null or output is not null").select("eventKey", "turnKey", "kind", "observedAt", F.coalesce("input", "output").alias("text"))
+    hits = e.join(search.ascii_hits(e, "eventKey", "text", ["cursor", "rollup"]), "eventKey", "left_semi").orderBy(F.col("observedAt").desc_nulls_last(), "eventKey").limit(50)
+    u = joins.next_later(facts.capability_uses(spark, d), ["sessionKey", "capabilityKey"], [*an.SOURCE, "useKey"], F.col("terminalState") == "completed", F.col("useKey"), "nextKey").select(F.col("useKey").alias("eventKey"), "nextKey")
+    out = hits.join(facts.turns(spark, d).select("turnKey", "finalAnswer"), "turnKey", "left").join(u, "eventKey", "left")
+    return out.select("eventKey", "turnKey", F.col("kind").alias("eventKind"), "observedAt", "finalAnswer", "nextKey").orderBy(F.col("observedAt").desc_nulls_last(), "eventKey")
+
+
+@define("r_capability_list", "us se", "SELECT capabilityKey, max(capabilityName) AS capabilityName, count(*) AS uses, " + ", ".join(f"count(*) FILTER (terminalState = '{s}') AS {s}" for s in an.STATES) + ", count(DISTINCT CASE WHEN confidence = 'strong' THEN us.sessionKey END) AS strong, count(DISTINCT CASE WHEN confidence = 'weak' THEN us.sessionKey END) AS weak FROM us LEFT JOIN se ON se.sessionKey = us.sessionKey WHERE capabilityKey > '4' GROUP BY 1 ORDER BY 1 LIMIT 10")
+def r_capability_list(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the list of capabilities by key, with their states and the confidence of the sessions."""
+    rows = an.capability_contexts(facts.capability_uses(spark, d).where("capabilityKey > '4'"), facts.sessions(spark, d))
+    return rows.select("capabilityKey", "capabilityName", F.col("invocations").alias("uses"), *an.STATES, "strong", "weak").orderBy("capabilityKey").limit(10)
+
+
+@define("t_times", "", "SELECT event_key, strftime(observed_at, '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(observed_at) // 1000) % 1000)::VARCHAR, 3, '0') || 'Z' AS canonical, epoch_us(observed_at) // 1000 * 1000 AS parsed FROM (SELECT DISTINCT event_key, observed_at FROM history_events WHERE observed_at IS NOT NULL AND event_key IS NOT NULL)")
+def t_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times as text in milliseconds, and read back."""
+    from turnmill.functions import text as tx
+
+    rows = table(spark, d, "history_events").where("observed_at is not null and event_key is not null").select("event_key", "observed_at").distinct()
+    return rows.select("event_key", tx.canonical_time(F.col("observed_at").cast("timestamp")).alias("canonical")).select("event_key", "canonical", tx.parsed_time(F.col("canonical")).alias("parsed"))
+
+
+@define("t_utf8_prefix", "", "SELECT doc_id, max(left(text, i)) AS prefix FROM (SELECT doc_id, text, unnest(range(1, least(length(text), 64) + 1)) AS i FROM documents WHERE text IS NOT NULL) WHERE octet_length(encode(left(text, i))) <= 64 GROUP BY 1")
+def t_utf8_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """The first 64 bytes of each text that cut no character."""
+    from turnmill.functions import text as tx
+
+    return table(spark, d, "documents").where("text is not null and text != ''").select("doc_id", tx.utf8_prefix(F.col("text"), 64).alias("prefix"))
+
+
+@define("t_canonical_json", "us", """SELECT capabilityKey, '{"a":' || count(*) || ',"z":"' || max(capabilityName) || '"}' AS body FROM us GROUP BY 1""")
+def t_canonical_json(spark: SparkSession, d: str) -> DataFrame:
+    from turnmill.functions import text as tx
+
+    rows = facts.capability_uses(spark, d).groupBy("capabilityKey").agg(F.count(F.lit(1)).alias("a"), F.max("capabilityName").alias("z"))
+    return rows.select("capabilityKey", tx.canonical_json(F.concat(F.lit("{ "), F.lit('"z" : "'), F.col("z"), F.lit('", "a" :'), F.col("a").cast("string"), F.lit("}"))).alias("body"))
