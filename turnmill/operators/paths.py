@@ -15,7 +15,7 @@ from turnmill.operators import windows
 HEAD, TAIL = 96, 32
 #: Groups that families are built from (the most frequent), families that are reported, and the similarity that joins.
 INPUTS, FAMILIES, SIMILAR = 200, 20, 0.70
-#: Turns and independent sessions (copies of one count once) that a family is reported with at least.
+#: Turns and independent sessions (copies of one count once) that a family usually needs.
 LEAST_TURNS, LEAST_SESSIONS = 5, 3
 
 
@@ -41,9 +41,9 @@ def windows_head_tail(runs: DataFrame) -> DataFrame:
     return runs.withColumn("_n", n).where((F.col("run_no") < HEAD) | (F.col("run_no") > F.col("_n") - TAIL)).drop("_n")
 
 
-def families(groups: DataFrame) -> DataFrame:
+def families(groups: DataFrame, least_turns: int = 1, least_sessions: int = 1) -> DataFrame:
     """(family_no, medoid, fingerprint, turns): the most frequent groups joined greedily to the family whose medoid has the same ends and a weighted
-    Jaccard similarity of bigrams of at least 0.70; bigrams weigh by their rarity. Families of under LEAST_TURNS turns, or none of whose groups has LEAST_SESSIONS sessions, are left out. The input is the top INPUTS groups, so one task holds it."""
+    Jaccard similarity of bigrams of at least 0.70; bigrams weigh by their rarity. Families of under least_turns turns, or none of whose groups has least_sessions sessions, are left out. The input is the top INPUTS groups, so one task holds it."""
     top = groups.orderBy(F.desc("turns"), "fingerprint").limit(INPUTS)
 
     def run(t: pa.Table) -> pa.Table:
@@ -63,7 +63,7 @@ def families(groups: DataFrame) -> DataFrame:
                         break
             else:
                 found.append([i])
-        found = [f for f in found if sum(rows[i]["turns"] for i in f) >= LEAST_TURNS and max(rows[i]["sessions"] for i in f) >= LEAST_SESSIONS]
+        found = [f for f in found if sum(rows[i]["turns"] for i in f) >= least_turns and max(rows[i]["sessions"] for i in f) >= least_sessions]
         found.sort(key=lambda f: (-sum(rows[i]["turns"] for i in f), rows[f[0]]["fingerprint"]))
         out = [(n, rows[f[0]]["fingerprint"], rows[i]["fingerprint"], rows[i]["turns"]) for n, f in enumerate(found[:FAMILIES]) for i in f]
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]

@@ -523,7 +523,7 @@ def t_path_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @define("t_path_families")
 def t_path_families(spark: SparkSession, d: str) -> DataFrame:
-    return paths.families(paths.path_groups(facts.capability_uses(spark, d), [*an.SOURCE, "useKey"], facts.sessions(spark, d).select("sessionKey", "groupKey")))
+    return paths.families(paths.path_groups(facts.capability_uses(spark, d), [*an.SOURCE, "useKey"], facts.sessions(spark, d).select("sessionKey", "groupKey")), paths.LEAST_TURNS, paths.LEAST_SESSIONS)
 
 
 _SIGNED = "lower(nfc_normalize(error))"
