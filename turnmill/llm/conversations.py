@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from turnmill.session import cut, fresh_dir
+from turnmill.session import cut, discard, fresh_dir
 
 #: Sequence numbers of one block of state.
 BLOCK = 1024
@@ -210,6 +210,8 @@ def blocks(spark: SparkSession, path: str, files_per_batch: int | None = None, l
         reader = spark.readStream.schema(_ENTRY)
         stream = (reader.option("maxFilesPerTrigger", batch) if ordered else reader).option("maxFileAge", "3650d").parquet(f"{base}/feed")
         ended(stream_blocks(stream, f"{base}/blocks", f"{base}/state", lateness, idle_ms))
+    for done in ("feed", "state"):
+        discard(spark, f"{base}/{done}")
     return spark.read.schema(_OUT).parquet(f"{base}/blocks")
 
 
