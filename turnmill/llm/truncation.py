@@ -64,6 +64,14 @@ def _line_kind(line: str) -> str:
     return re.sub(r"\w+", "w", m[0])[:12] if m else ("code" if line[:4] == "    " else "prose")
 
 
+def _last_tokens(line: str) -> list[str]:
+    """The last three tokens of a line, however long they are: a fourth before them tells that they are whole."""
+    size = 64
+    while len(found := _TOKEN.findall(line[-size:])) < 4 and size < len(line):
+        size *= 4
+    return found[-3:]
+
+
 def features(text: str, near: tuple[bool, bool, float]) -> list[str]:
     """The names of what the model sees. near: (at a limit in characters, in bytes, length by the nearest limit)."""
     mark = _MARK.search(text)
@@ -73,7 +81,7 @@ def features(text: str, near: tuple[bool, bool, float]) -> list[str]:
     fences = len(_FENCE.findall(body))
     line = body[body.rfind("\n") + 1 :]
     inside = fences % 2 == 1
-    tokens = _TOKEN.findall(line)
+    tokens = _last_tokens(line)
     last = tokens[-1] if tokens else ""
     end = body[-1:] or "none"
     kind = "code" if inside else _line_kind(line)
