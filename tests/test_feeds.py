@@ -131,3 +131,27 @@ def test_change_log_and_pages(spark):
         for r in rows:
             sizes[r["page_no"]] = sizes.get(r["page_no"], 0) + len(r["line"]) + 1
         assert numbers == sorted(numbers) and set(numbers) == set(range(max(numbers) + 1)) and max(sizes.values()) <= 200
+
+
+def test_turns_of_growing_logs(spark, tmp_path):
+    """Logs come in pieces, with a restart after each; the last row of every turn is what the whole logs give."""
+    schema = "source string, at timestamp, line_start bigint, kind string, role string, text string, lifecycle string"
+    rows = []
+    for s, script in {"a": "uaauaAua", "b": "auCaau", "c": "u"}.items():
+        for i, x in enumerate(script):
+            role, low = {"u": "user", "a": "assistant"}.get(x.lower()), x.isupper()
+            rows.append((s, f"2026-01-01 00:{i:02d}:00", i * 10, "turn-lifecycle" if low else "visible-message", None if low else role, None if low else f"{s}{i}", "completed" if low else None))
+    frame = lambda part: spark.createDataFrame(part, schema.replace("timestamp", "string")).withColumn("at", F.to_timestamp("at"))
+    src, sink, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    late = [("z", "2026-01-02 00:00:00", 0, "provider-status", None, None, None)]
+    for part in ([r for r in rows if r[2] < 30], [r for r in rows if 30 <= r[2] < 60], [r for r in rows if r[2] >= 60], late):
+        frame(part).coalesce(1).write.mode("append").parquet(src)
+        turns = feeds.assembled_turns(spark.readStream.schema(schema).parquet(src), 60_000, "1 hour")
+        turns.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {}
+    for r in spark.read.parquet(sink).collect():
+        key = (r["source"], r["turn_no"])
+        if key not in got or (r["closed"], r["messages"]) >= got[key][-2:][::-1]:
+            got[key] = (r["problem"], r["finalAnswer"], r["terminal"], r["messages"], r["closed"])
+    want = {(r["source"], r["turn_no"]): (r["problem"], r["finalAnswer"], r["terminal"], r["messages"], r["closed"]) for r in jsonl.log_turns(frame(rows), ["line_start"]).collect()}
+    assert got == want and len(want) == 6

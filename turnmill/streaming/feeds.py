@@ -52,6 +52,58 @@ def change_log(log: DataFrame, owner: str, sequence: str, after: int | None = No
     return rows.groupBy(owner).agg(F.max(sequence).alias(sequence))
 
 
+_TURNS = "source string, turn_no bigint, problem string, finalAnswer string, terminal string, messages bigint, closed int"
+
+
+def assembled_turns(events: DataFrame, idle_ms: int, lateness: str) -> DataFrame:
+    """Turns of growing logs, as a stream: (source, turn_no, problem, finalAnswer, terminal, messages, closed), as jsonl.log_turns gives them for whole logs.
+
+    events: a stream of (source, at timestamp, line_start, kind, role, text, lifecycle); what is appended to a log comes in later batches. The open turn of each log waits in state: it is
+    emitted with closed 1 when the next one begins, and with closed 0 when nothing came for idle_ms of event time; what comes later then still belongs to it and makes it be emitted again,
+    so the last row of a turn holds. One small row of state stays for each log."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    columns = [c.split()[0] for c in _TURNS.split(", ")]
+
+    def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"no": 0, "open": None, "last": 0, "told": True}
+        out = []
+
+        def emit(closed: int) -> None:
+            if held["open"] is not None:
+                out.append((key[0], held["no"], *held["open"], closed))
+
+        if state.hasTimedOut:
+            if not held["told"]:
+                emit(0)
+            held["told"] = True
+        else:
+            rows = pd.concat(list(frames)).sort_values("line_start", kind="stable")
+            for kind, role, text, lifecycle, at in zip(*(rows[c].tolist() for c in ("kind", "role", "text", "lifecycle", "at_ms")), strict=True):
+                held["last"] = max(held["last"], int(at))
+                said = kind == "visible-message"
+                if said and role == "user":
+                    emit(1)
+                    held["no"], held["open"] = held["no"] + 1, [text, None, None, 0]
+                if held["open"] is not None:
+                    turn = held["open"]
+                    turn[3] += said
+                    if said and role == "assistant":
+                        turn[1] = text
+                    if lifecycle in ("completed", "aborted"):
+                        turn[2] = lifecycle
+                    held["told"] = False
+        state.update((json.dumps(held),))
+        if not held["told"]:
+            state.setTimeoutTimestamp(max(held["last"], state.getCurrentWatermarkMs()) + idle_ms)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    rows = events.withWatermark("at", lateness).withColumn("at_ms", F.unix_millis("at"))
+    return rows.groupBy("source").applyInPandasWithState(run, _TURNS, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def rolled_back(events: DataFrame, session: str, order: list[str], turn: str, sealed: str, rollback: str) -> DataFrame:
     """(session, turn, state): turns after replaying rollbacks in order. A rollback of n turns the last n active sealed turns into
     rolled-back ones; if there are fewer, those there are, and the rest of the session's open turns become unresolved.
