@@ -159,3 +159,17 @@ def test_rounds_do_not_grow_with_the_length_of_a_history(spark, monkeypatch):
     starts = spark.createDataFrame(refs, R).selectExpr("repository_id as ns", "object_id as id")
     assert h.reachable(local, starts, direct).count() == 480
     assert len(rounds) - before <= 1 + 6 + 5  # doors, jumps over some 48 chunks, turns
+
+
+def test_plans_grow_with_the_number_of_jumps_and_rings_make_none(spark, monkeypatch):
+    """A line of 40 chunks and a ring over ten chunks: a plan has one join a jump, not one for each way of combining jumps, and jumps end with the line."""
+    joins = []
+    line, ring = [f"{i:04d}" for i in range(200)], [f"r{i:03d}" for i in range(50)]
+    rows = [("p", o, f'["{line[i - 1]}"]' if i else None, None, 1) for i, o in enumerate(line)] + [("p", o, f'["{ring[i - 1]}"]', None, 1) for i, o in enumerate(ring)]
+    commits, refs = spark.createDataFrame(rows, N), spark.createDataFrame([("p", line[-1], "x"), ("p", ring[17], "x")], R)
+    real_cut = h.cut
+    monkeypatch.setattr(h, "cut", lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or real_cut(df))
+    assert {tuple(r) for r in gitgraph.commit_forest(commits, refs, 5).collect()} == brute(rows, [("p", line[-1], "x"), ("p", ring[17], "x")])
+    assert max(joins) <= 20
+    only = h.top_links(h.forest(gitgraph.commit_nodes(spark.createDataFrame(rows[200:] + rows[:10], N)), 5))
+    assert only.count() > 8 and len(h._jumps(only)) <= 4

@@ -157,15 +157,28 @@ def _reached(rows: pa.Table, seeds: pa.Table) -> pa.Table:
 
 
 def _jumps(direct: DataFrame) -> list[DataFrame]:
-    """Where tops lead after 1, 2, 4, ... links: rows (ns, top, next), until none leads so far or all tops are passed."""
-    out, jump, size = [], direct.select("ns", "top", "next"), direct.count()
-    for _ in range(math.ceil(math.log2(size + 1)) if size else 0):
-        if jump.isEmpty():
-            break
-        out.append(jump)
-        far = jump.select("ns", F.col("top").alias("next"), F.col("next").alias("n2"))
-        jump = cut(jump.join(far, ["ns", "next"]).select("ns", "top", F.col("n2").alias("next")))
-    return out
+    """Where tops lead after 1, 2, 4, ... links: rows (ns, top, next), until none leads so far.
+
+    A ring of tops is opened at its least top, since it leads on without end: so there are as many jumps as the longest way has doublings,
+    not as all tops have. Who follows the jumps only misses links that lead to a door, and doors are closed over any parents anyway."""
+    size = direct.count()
+
+    def doubled(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+        out, jump = [], links.select("ns", "top", "next", F.col("top").alias("least"))
+        for _ in range(math.ceil(math.log2(size + 1)) if size else 0):
+            if jump.isEmpty():
+                break
+            out.append(jump.select("ns", "top", "next"))
+            far = jump.select("ns", F.col("top").alias("next"), F.col("next").alias("n2"), F.col("least").alias("l2"))
+            jump = cut(jump.join(far, ["ns", "next"]).select("ns", "top", F.col("n2").alias("next"), F.least("least", "l2").alias("least")))
+        return out, jump
+
+    out, endless = doubled(direct)
+    if endless.isEmpty():
+        return out
+    # After as many links as there are tops all are on a ring, and have met the whole of it.
+    first = endless.join(endless.select("ns", F.col("next").alias("top")).distinct(), ["ns", "top"], "left_semi").where("top = least")
+    return doubled(cut(direct.join(first, ["ns", "top"], "left_anti")))[0]
 
 
 def reachable(local: DataFrame, starts: DataFrame, direct: DataFrame | None = None) -> DataFrame:
@@ -186,7 +199,8 @@ def reachable(local: DataFrame, starts: DataFrame, direct: DataFrame | None = No
     while True:
         tops = new.select("ns", "top").distinct()
         for jump in jumps:
-            tops = tops.unionByName(tops.join(jump, ["ns", "top"]).select("ns", F.col("next").alias("top"))).distinct()
+            # tops are read once here: a union of tops and what they lead to would double the plan with each jump
+            tops = tops.join(jump, ["ns", "top"], "left").select("ns", F.explode(F.array_compact(F.array("top", "next"))).alias("top")).distinct()
         along = tops.join(direct.select("ns", "top", F.col("parent").alias("id")), ["ns", "top"]).select("ns", "id").distinct()
         new = new.unionByName(doors.join(along, ["ns", "id"], "left_semi")).distinct()
         new = cut(new if seen is None else new.join(seen, ["piece", "row"], "left_anti"))
