@@ -71,6 +71,33 @@ def test_unique_overlap(spark, hot):
     assert set(collected(got)) == want and want
 
 
+def rows_of(plan):
+    """The most rows that an operator of a plan that has run gave."""
+    name = plan.nodeName()
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("numOutputRows").value() if plan.metrics().contains("numOutputRows") else 0
+    return max([own, *map(rows_of, below)])
+
+
+@pytest.mark.parametrize(("sets", "bitmaps"), [(131_072, 1 << 27), (90, 1 << 27), (400, 100)])
+def test_overlap_of_common_words_makes_no_pairs(spark, monkeypatch, sets, bitmaps):
+    """300 sets on each side of 4 to 9 of 12 words, some with words of their own: 90,000 pairs, which share more than one word each."""
+    monkeypatch.setattr(joins, "RIGHT_SETS", sets)
+    monkeypatch.setattr(joins, "BITMAPS", bitmaps)
+    r = random.Random(11)
+    some = lambda side, i: [*r.sample([f"w{k}" for k in range(12)], r.randrange(4, 10)), *([f"own{i}"] if i % 9 == 0 else []), f"{side}-only"]
+    left, right = ({i: set(some(side, i)) for i in range(300)} for side in "ab")
+    want = set()
+    for i, mine in left.items():
+        score = sorted(((len(mine & theirs), j) for j, theirs in right.items()), reverse=True)
+        if score[0][0] >= 2 and score[1][0] < score[0][0]:
+            want.add((i, score[0][1], score[0][0]))
+    a, b = (spark.createDataFrame([(i, w) for i, ws in side.items() for w in ws], f"{n} bigint, t string") for n, side in (("l", left), ("r", right)))
+    got = joins.unique_overlap(a, b, "l", "r", "t", hot=20)
+    assert set(collected(got)) == want and len(want) > 10
+    assert rows_of(got._jdf.queryExecution().executedPlan()) < 20_000
+
+
 def test_edges_are_classified(spark):
     cases = [(1, 1, 1, 1, 3, 9), (0, 1, 1, 1, 3, 9), (0, 0, 1, 1, 3, 9), (0, 0, 0, 1, 3, 9), (0, 0, 0, 1, 3, 1), (0, 0, 0, 0, 3, 9), (0, 0, 1, 1, 0, 1), (None, None, None, None, None, None)]
     names = ["hash_observed", "prefix_unique", "in_window", "words_unique", "path_overlap", "word_overlap"]

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnmill.session import cut
+
 #: Rows of a relation given as values by a caller.
 MAX_VALUES = 10_000
+#: Left and right sets of one task at most, about, and bytes of its bitmaps; see unique_overlap.
+LEFT_SETS, RIGHT_SETS, BITMAPS = 65_536, 131_072, 1 << 27
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[str], payload: list[str]) -> DataFrame:
@@ -97,22 +107,113 @@ def with_values(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
     return rows.join(F.broadcast(asked), column)
 
 
+def _counts(bitmaps: list[np.ndarray]) -> list[np.ndarray]:
+    """The number of bitmaps that have each bit, as planes of binary digits, lowest first: full adders over whole bitmaps."""
+    planes, here = [], bitmaps
+    while here:
+        above, here = [], list(here)
+        while len(here) > 2:
+            x, y, z = here.pop(), here.pop(), here.pop()
+            odd = x ^ y
+            carry = x & y
+            carry |= odd & z
+            odd ^= z
+            here.append(odd)
+            above.append(carry)
+        if len(here) == 2:
+            above.append(here[0] & here[1])
+            here = [here[0] ^ here[1]]
+        planes.append(here[0])
+        here = above
+    return planes
+
+
+def _most(planes: list[np.ndarray]) -> tuple[int, np.ndarray]:
+    """The greatest of the counts, and the positions that have it."""
+    most, at = 0, None
+    for n in range(len(planes) - 1, -1, -1):
+        here = planes[n] if at is None else at & planes[n]
+        if here.any():
+            most, at = most | 1 << n, here
+    words = np.flatnonzero(at) if at is not None else np.empty(0, np.int64)
+    word, bit = np.divmod(np.flatnonzero(np.unpackbits(at[words].view(np.uint8), bitorder="little")) if len(words) else words, 64)
+    return most, words[word] * 64 + bit
+
+
+def _top_sets(schema: pa.Schema, least: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For each left set of a cell the greatest overlap with its right sets, how many ids have it (_k) and one of them (_id)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = schema.empty_table()
+        if not left.num_rows or not right.num_rows:
+            return none
+        rights, lefts = right["_hb"].combine_chunks(), left["_ha"].combine_chunks()
+        terms = pc.unique(rights.flatten())
+        code = lambda sets: pc.index_in(sets.flatten(), terms)
+        of_left, of_right = code(lefts).fill_null(-1).to_numpy(), code(rights).to_numpy()
+        row = pc.list_parent_indices(rights).to_numpy()
+        ends = np.cumsum(pc.list_value_length(lefts).to_numpy())
+        ids, k = right["_id"].combine_chunks(), right["_k"].to_numpy()
+        wide = max(64, min(right.num_rows, BITMAPS * 8 // len(terms)) // 64 * 64 + 64)  # more terms than bitmaps have room for: fewer sets at a time
+        out = []
+        for first in range(0, right.num_rows, wide):
+            lo, hi = np.searchsorted(row, [first, first + wide])
+            bits = np.zeros((len(terms), wide // 8), np.uint8)
+            at = row[lo:hi] - first
+            np.bitwise_or.at(bits, (of_right[lo:hi], at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
+            maps, used = bits.view(np.uint64), np.bincount(of_right[lo:hi], minlength=len(terms)) > 0
+            found, overlap, many, one, begin = [], [], [], [], 0
+            for i, end in enumerate(ends):
+                own = of_left[begin:end]
+                begin = end
+                most, where = _most(_counts([maps[t] for t in own[own >= 0] if used[t]]))
+                if most >= least and most:
+                    where = where + first
+                    found.append(i)
+                    overlap.append(most)
+                    many.append(int(k[where].sum()))
+                    one.append(where[0])
+            out.append(pa.table([lefts.take(pa.array(found, pa.int64())), pa.array(overlap, pa.int64()), pa.array(many, pa.int64()), ids.take(pa.array(one, pa.int64()))], names=schema.names).cast(schema))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _top_by_set(a_sets: DataFrame, b_sets: DataFrame, left_id: str, right_id: str, least: int) -> DataFrame | None:
+    """(left_id, _id, overlap, _k): the greatest overlaps with the right sets, one row for each block of these. None without sets.
+
+    Equal sets are one set; each pair of a piece of the left and a block of the right sets is a cell, and its counts are bit operations on bitmaps of the terms."""
+    sets = cut(a_sets.select("_ha").distinct())
+    kinds = cut(b_sets.groupBy("_hb").agg(F.count(F.lit(1)).alias("_k"), F.min(right_id).alias("_id")))
+    n_left, n_right = sets.count(), kinds.count()
+    if not n_left or not n_right:
+        return None
+    pieces, blocks = max(math.ceil(n_left / LEFT_SETS), min(12, math.ceil(n_left / 4096))), math.ceil(n_right / RIGHT_SETS)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_n")
+    left = sets.select("_ha", every(blocks)).select((part("_ha", pieces) * blocks + F.col("_n")).alias("_cell"), "_ha")
+    right = kinds.select("*", every(pieces)).select((F.col("_n") * blocks + part("_hb", blocks)).alias("_cell"), "_hb", "_k", "_id")
+    text = f"_ha array<string>, overlap bigint, _k bigint, _id {kinds.schema['_id'].dataType.simpleString()}"
+    schema = kinds.sparkSession.createDataFrame([], text).toArrow().schema
+    top = left.groupBy("_cell").cogroup(right.groupBy("_cell")).applyInArrow(_top_sets(schema, least), text)
+    return a_sets.join(top, "_ha").select(left_id, "_id", "overlap", "_k")
+
+
 def unique_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, term: str, least: int = 2, hot: int = 1000) -> DataFrame:
     """(left_id, right_id, overlap): for each left id the right id with which it shares most distinct terms, if at least `least` and without a tie.
 
     Both sides are (id, term) rows. Pairs are only made over terms that at most `hot` right ids have; how many of the others a pair shares is read from both ids' sets.
-    Right ids that share only common terms count by their set of these: ids with the same set tie anyway, so sets are joined, not ids. The result is exact for any `hot`."""
+    Right ids that share only common terms count by their set of these: ids with the same set tie anyway. These sets aren't joined by term either, since all may share one;
+    the greatest overlap of each comes from bitmaps of the terms, so a pair of sets costs some bit operations a term. The result is exact for any `hot`."""
     a, b = left.select(left_id, term).where(F.col(left_id).isNotNull() & F.col(term).isNotNull()).distinct(), right.select(right_id, term).where(F.col(right_id).isNotNull() & F.col(term).isNotNull()).distinct()
     common = b.groupBy(term).agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") > hot).select(term)
     sets = lambda rows, key, name: rows.join(common, term, "left_semi").groupBy(key).agg(F.array_sort(F.collect_set(term)).alias(name))  # noqa: E731  as many terms at most as are common
-    a_sets, b_sets = sets(a, left_id, "_ha"), sets(b, right_id, "_hb")
+    a_sets, b_sets = cut(sets(a, left_id, "_ha")), cut(sets(b, right_id, "_hb"))
     rare = a.join(common, term, "left_anti").join(b, term).groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("_n"))
     shared = F.coalesce(F.size(F.array_intersect("_ha", "_hb")), F.lit(0))
     by_id = rare.join(a_sets, left_id, "left").join(b_sets, right_id, "left").select(left_id, F.col(right_id).alias("_id"), (F.col("_n") + F.greatest(shared, F.lit(0))).alias("overlap"), F.lit(1).cast("bigint").alias("_k"))
-    kinds = b_sets.groupBy("_hb").agg(F.count(F.lit(1)).alias("_k"), F.min(right_id).alias("_id"))
-    meet = a_sets.select("_ha").distinct().select("_ha", F.explode("_ha").alias(term)).join(kinds.select("_hb", "_k", "_id", F.explode("_hb").alias(term)), term)
-    by_set = a_sets.join(meet.groupBy("_ha", "_hb", "_k", "_id").agg(F.count(F.lit(1)).alias("overlap")), "_ha").select(left_id, "_id", "overlap", "_k")
-    pairs = by_id.unionByName(by_set).where(F.col("overlap") >= least)
+    by_set = _top_by_set(a_sets, b_sets, left_id, right_id, least)
+    pairs = (by_id if by_set is None else by_id.unionByName(by_set)).where(F.col("overlap") >= least)
     # the greatest overlap, how many ids have it, and one of them: combined before the shuffle by way of one row per overlap
     top = pairs.groupBy(left_id, "overlap").agg(F.sum("_k").alias("_k"), F.min("_id").alias(right_id))
     best = top.groupBy(left_id).agg(F.max(F.struct("overlap", "_k", right_id)).alias("_b"))
