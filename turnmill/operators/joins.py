@@ -140,10 +140,11 @@ def _most(planes: list[np.ndarray]) -> tuple[int, np.ndarray]:
     return most, words[word] * 64 + bit
 
 
-def _top_sets(schema: pa.Schema, least: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """For each left set of a cell the greatest overlap with its right sets, how many ids have it (_k) and one of them (_id)."""
+def _top_sets(least: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For each left set of a cell the greatest overlap with its right sets, how many ids have it (_k) and one set that does (_no)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("_ha", pa.list_(pa.field("element", pa.string()))), ("overlap", pa.int64()), ("_k", pa.int64()), ("_no", pa.int64())])
         none = schema.empty_table()
         if not left.num_rows or not right.num_rows:
             return none
@@ -153,7 +154,7 @@ def _top_sets(schema: pa.Schema, least: int) -> Callable[[pa.Table, pa.Table], p
         of_left, of_right = code(lefts).fill_null(-1).to_numpy(), code(rights).to_numpy()
         row = pc.list_parent_indices(rights).to_numpy()
         ends = np.cumsum(pc.list_value_length(lefts).to_numpy())
-        ids, k = right["_id"].combine_chunks(), right["_k"].to_numpy()
+        number, k = right["_no"].to_numpy(), right["_k"].to_numpy()
         wide = max(64, min(right.num_rows, BITMAPS * 8 // len(terms)) // 64 * 64 + 64)  # more terms than bitmaps have room for: fewer sets at a time
         out = []
         for first in range(0, right.num_rows, wide):
@@ -172,8 +173,8 @@ def _top_sets(schema: pa.Schema, least: int) -> Callable[[pa.Table, pa.Table], p
                     found.append(i)
                     overlap.append(most)
                     many.append(int(k[where].sum()))
-                    one.append(where[0])
-            out.append(pa.table([lefts.take(pa.array(found, pa.int64())), pa.array(overlap, pa.int64()), pa.array(many, pa.int64()), ids.take(pa.array(one, pa.int64()))], names=schema.names).cast(schema))
+                    one.append(number[where[0]])
+            out.append(pa.table([lefts.take(pa.array(found, pa.int64())), pa.array(overlap, pa.int64()), pa.array(many, pa.int64()), pa.array(one, pa.int64())], names=schema.names).cast(schema))
         return pa.concat_tables(out)
 
     return run
@@ -184,19 +185,17 @@ def _top_by_set(a_sets: DataFrame, b_sets: DataFrame, left_id: str, right_id: st
 
     Equal sets are one set; each pair of a piece of the left and a block of the right sets is a cell, and its counts are bit operations on bitmaps of the terms."""
     sets = cut(a_sets.select("_ha").distinct())
-    kinds = cut(b_sets.groupBy("_hb").agg(F.count(F.lit(1)).alias("_k"), F.min(right_id).alias("_id")))
+    kinds = cut(b_sets.groupBy("_hb").agg(F.count(F.lit(1)).alias("_k"), F.min(right_id).alias("_id")).withColumn("_no", F.monotonically_increasing_id()))
     n_left, n_right = sets.count(), kinds.count()
     if not n_left or not n_right:
         return None
-    pieces, blocks = max(math.ceil(n_left / LEFT_SETS), min(12, math.ceil(n_left / 4096))), math.ceil(n_right / RIGHT_SETS)
+    pieces, blocks = max(math.ceil(n_left / LEFT_SETS), min(6, math.ceil(n_left / 4096))), math.ceil(n_right / RIGHT_SETS)
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_n")
     left = sets.select("_ha", every(blocks)).select((part("_ha", pieces) * blocks + F.col("_n")).alias("_cell"), "_ha")
-    right = kinds.select("*", every(pieces)).select((F.col("_n") * blocks + part("_hb", blocks)).alias("_cell"), "_hb", "_k", "_id")
-    text = f"_ha array<string>, overlap bigint, _k bigint, _id {kinds.schema['_id'].dataType.simpleString()}"
-    schema = kinds.sparkSession.createDataFrame([], text).toArrow().schema
-    top = left.groupBy("_cell").cogroup(right.groupBy("_cell")).applyInArrow(_top_sets(schema, least), text)
-    return a_sets.join(top, "_ha").select(left_id, "_id", "overlap", "_k")
+    right = kinds.select("*", every(pieces)).select((F.col("_n") * blocks + part("_hb", blocks)).alias("_cell"), "_hb", "_k", "_no")  # ids stay behind, as each piece gets all sets
+    top = left.groupBy("_cell").cogroup(right.groupBy("_cell")).applyInArrow(_top_sets(least), "_ha array<string>, overlap bigint, _k bigint, _no bigint")
+    return top.join(kinds.select("_no", "_id"), "_no").join(a_sets, "_ha").select(left_id, "_id", "overlap", "_k")
 
 
 def unique_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, term: str, least: int = 2, hot: int = 1000) -> DataFrame:
@@ -205,11 +204,17 @@ def unique_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     Both sides are (id, term) rows. Pairs are only made over terms that at most `hot` right ids have; how many of the others a pair shares is read from both ids' sets.
     Right ids that share only common terms count by their set of these: ids with the same set tie anyway. These sets aren't joined by term either, since all may share one;
     the greatest overlap of each comes from bitmaps of the terms, so a pair of sets costs some bit operations a term. The result is exact for any `hot`."""
-    a, b = left.select(left_id, term).where(F.col(left_id).isNotNull() & F.col(term).isNotNull()).distinct(), right.select(right_id, term).where(F.col(right_id).isNotNull() & F.col(term).isNotNull()).distinct()
-    common = b.groupBy(term).agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") > hot).select(term)
-    sets = lambda rows, key, name: rows.join(common, term, "left_semi").groupBy(key).agg(F.array_sort(F.collect_set(term)).alias(name))  # noqa: E731  as many terms at most as are common
-    a_sets, b_sets = cut(sets(a, left_id, "_ha")), cut(sets(b, right_id, "_hb"))
-    rare = a.join(common, term, "left_anti").join(b, term).groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("_n"))
+    given = lambda rows, key: rows.select(key, term).where(F.col(key).isNotNull() & F.col(term).isNotNull())
+    b = cut(given(right, right_id).groupBy(right_id).agg(F.collect_set(term).alias("_all")))  # sets by id: rows of an id that lie together are one before the shuffle
+    one_by_one = b.select(right_id, F.explode("_all").alias(term))
+    common = cut(one_by_one.groupBy(term).agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") > hot).select(term, F.lit(True).alias("_common")))
+    common = F.broadcast(common) if common.count() <= MAX_VALUES else common
+    split = lambda rows, key, often, rare: cut(
+        rows.join(common, term, "left").groupBy(key).agg(F.array_sort(F.collect_set(F.when(F.col("_common"), F.col(term)))).alias(often), F.collect_set(F.when(F.col("_common").isNull(), F.col(term))).alias(rare))
+    )
+    a, b = split(given(left, left_id), left_id, "_ha", "_ra"), split(one_by_one, right_id, "_hb", "_rb")
+    a_sets, b_sets = a.where("size(_ha) > 0").select(left_id, "_ha"), b.where("size(_hb) > 0").select(right_id, "_hb")
+    rare = a.select(left_id, F.explode("_ra").alias(term)).join(b.select(right_id, F.explode("_rb").alias(term)), term).groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("_n"))
     shared = F.coalesce(F.size(F.array_intersect("_ha", "_hb")), F.lit(0))
     by_id = rare.join(a_sets, left_id, "left").join(b_sets, right_id, "left").select(left_id, F.col(right_id).alias("_id"), (F.col("_n") + F.greatest(shared, F.lit(0))).alias("overlap"), F.lit(1).cast("bigint").alias("_k"))
     by_set = _top_by_set(a_sets, b_sets, left_id, right_id, least)
